@@ -6,8 +6,9 @@ import os
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import sentencepiece_bpe
+from tessera.llm import line_dedup, sentencepiece_bpe
 
 #: Paths of the public vocabulary files; the operators take them as parameters.
 PIECES = os.environ.get("TESSERA_PIECES") or public_tokenizers.path("piece_bpe_32k.model")
@@ -17,11 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(table(spark, sf_dir, "documents"), PIECES)
 
 
 QUERIES = {
+    "op7_line_dedup": op7_line_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: A line's white space and the letters whose case counts for nothing, as DuckDB's trim and translate take them.
+LINE_KEY = "translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP7_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents
+), keyed AS (SELECT doc_id, n, line, {LINE_KEY} AS key FROM lines),
+common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE common.key IS NOT NULL)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id
+"""
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
