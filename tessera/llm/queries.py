@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, minhash_dedup, sentencepiece_bpe
+from tessera.llm import line_dedup, minhash_dedup, mixing, sentencepiece_bpe
 
 #: Paths of the public vocabulary files; the operators take them as parameters.
 PIECES = os.environ.get("TESSERA_PIECES") or public_tokenizers.path("piece_bpe_32k.model")
@@ -27,6 +27,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mix = mixing.mixed(mixing.quality_weights(docs, table(spark, sf_dir, "labels")))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(table(spark, sf_dir, "documents"), PIECES)
 
@@ -34,6 +40,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_minhash": op3_minhash,
     "op7_line_dedup": op7_line_dedup,
+    "op8_mixing": op8_mixing,
     "op10_sentencepiece": op10_sentencepiece,
 }
 #: A line's white space and the letters whose case counts for nothing, as DuckDB's trim and translate take them.
