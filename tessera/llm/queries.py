@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, minhash_dedup, mixing, sentencepiece_bpe
+from tessera.llm import line_dedup, minhash_dedup, mixing, sentencepiece_bpe, toxicity
 
 #: Paths of the public vocabulary files; the operators take them as parameters.
 PIECES = os.environ.get("TESSERA_PIECES") or public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, model).withColumn("held_out", toxicity.held_out())
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.components(table(spark, sf_dir, "documents"))
 
@@ -38,6 +45,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_minhash": op3_minhash,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,

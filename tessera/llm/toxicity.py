@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import mixed, sliced
 
-BUCKETS, DIM, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 4
+BUCKETS, DIM, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 2
 #: The bounded training sample: rows of either class, in the order of a hash of doc_id, and the longest text taken.
 POSITIVES, NEGATIVES, SAMPLE_CHARS = 1500, 4000, 20_000
 EPOCHS, RATE, SEED = 60, 0.3, 7
