@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, minhash_dedup, mixing, sentencepiece_bpe, toxicity
+from tessera.llm import chat, line_dedup, minhash_dedup, mixing, sentencepiece_bpe, sharding, toxicity
 
 #: Paths of the public vocabulary files; the operators take them as parameters.
 PIECES = os.environ.get("TESSERA_PIECES") or public_tokenizers.path("piece_bpe_32k.model")
@@ -25,10 +25,31 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.read_back(chat.formatted(chat.as_events(rows)))
+    lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.components(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -46,7 +67,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_chat": op2_chat,
     "op3_minhash": op3_minhash,
+    "op5_sharding": op5_sharding,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
     "op10_sentencepiece": op10_sentencepiece,
@@ -62,4 +85,21 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE common.key IS
   sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id
 """
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
+OP2_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
+    replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\!s>'), '</s>', '<\!/s>'), '[INST]', '[\!INST]'), '[/INST]', '[\!/INST]') AS t,
+    replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\!s>'), '</s>', '<\!/s>'), '[INST]', '[\!INST]'), '[/INST]', '[\!/INST]') AS r
+  FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('[INST] ' || r || ' [/INST]' || t || '</s>'))::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op7_line_dedup": OP7_SQL}
