@@ -33,8 +33,8 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document that is taken twice stands twice."""
-    weighed = mixing.quality_weights(docs.select(*DOCUMENT_COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.repeated(weighed).select(*DOCUMENT_COLUMNS)
+    weighed = mixing.quality_weights(mixing.sized(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.repeated(docs.select(*DOCUMENT_COLUMNS), mixing.mixed(weighed))
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

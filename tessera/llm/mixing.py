@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored
+
 #: Weights of the sources in code-point order, repeating (fixed by the mix asked for).
 SOURCE_WEIGHTS = (3, 1, 2)
 BUDGET, MAX_EPOCHS = 1.5, 2
@@ -59,40 +61,46 @@ def exponential_key(weight: Column, *parts: str) -> Column:
     return -F.log(u) / weight
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``weight``: 2 for documents labelled as good, 0.5 as bad, 1 without a label."""
+def sized(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, size, tie__`` of every row, counted once and written: later steps carry no texts."""
+    return stored(docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64("text").alias("tie__")), "sized")
+
+
+def quality_weights(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with ``weight``: 2 for documents labelled as good, 0.5 as bad, 1 without a label."""
     best = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality__"))
-    joined = docs.drop("weight").join(best, "doc_id", "left")
     weight = F.when(F.col("quality__") == 1, 2.0).when(F.col("quality__") == 0, 0.5).otherwise(1.0)
-    return joined.withColumn("weight", weight).select(*docs.drop("weight").columns, "weight")
+    return rows.join(best, "doc_id", "left").withColumn("weight", weight).drop("quality__")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (words, repeats counted).
+def mixed(rows: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Rows of ``sized`` with ``source_size``, ``target`` and ``taken`` (words, repeats counted).
 
     A column ``weight`` (positive; null is 1) ranks documents within their source; without it all
     weigh the same.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
-    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in docs.columns else F.lit(1.0)
-    keyed = docs.withColumn("size", n_words()).withColumn("tie__", F.xxhash64("text")).withColumn("key__", exponential_key(weight, "doc_id", "tie__"))
-    keyed = keyed.withColumn("source__", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    # The octave of a key, in parts: monotone, and no part holds more than about 0.2 % of a source whatever the weights' scale.
+    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in rows.columns else F.lit(1.0)
+    source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    keyed = rows.withColumn("key__", exponential_key(weight, "doc_id", "tie__")).withColumn("source__", source)
+    # The octave of a key, in parts: monotone, and no part holds more than about 0.5 % of a source whatever the weights' scale.
     keyed = keyed.withColumn("range__", F.coalesce(F.floor(F.log2("key__") * PARTS), F.lit(-(1 << 30))).cast("int"))
-    plan = targets(keyed.select("source", "size"), weights, budget, max_epochs).withColumn("source__", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
+    plan = targets(rows, weights, budget, max_epochs).withColumn("source__", source).drop("source")
     sums = keyed.groupBy("source__", "range__").agg(F.sum("size").alias("words__"))
     before = Window.partitionBy("source__").orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source__", "range__", F.coalesce(F.sum("words__").over(before), F.lit(0)).alias("offset__")).join(plan, "source__")
-    rows = keyed.join(offsets, ["source__", "range__"])
+    found = keyed.join(offsets, ["source__", "range__"])
     within = Window.partitionBy("source__", "range__").orderBy("key__", "doc_id", "tie__").rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     left = F.floor(F.col("target")) - epochs * F.col("source_size")
     reached = F.col("offset__") + F.coalesce(F.sum("size").over(within), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - reached))
-    return rows.withColumn("taken", (epochs * F.col("size") + part).cast("long")).select(*docs.columns, "size", "source_size", "target", "taken")
+    return found.withColumn("taken", (epochs * F.col("size") + part).cast("long")).select(*rows.columns, "source_size", "target", "taken")
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows: each document once for every time, or started time, that it is taken."""
+def repeated(docs: DataFrame, mix: DataFrame) -> DataFrame:
+    """The mix as rows: each document of ``docs`` once for every time, or started time, that ``mix`` takes it."""
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    return mixed(docs, **options).where("taken > 0").withColumn("copy__", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    of_row = mix.where("taken > 0").groupBy(F.col("doc_id").alias("id__"), F.col("source").alias("source__"), F.col("tie__").alias("tie2__")).agg(F.max(times).alias("times__"))
+    # rows that agree in these three are taken alike
+    found = docs.withColumn("tie__", F.xxhash64("text")).join(of_row, F.col("doc_id").eqNullSafe(F.col("id__")) & F.col("source").eqNullSafe(F.col("source__")) & (F.col("tie__") == F.col("tie2__")))
+    return found.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("times__")))).select(*docs.columns)

@@ -56,8 +56,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mix = mixing.mixed(mixing.quality_weights(docs, table(spark, sf_dir, "labels")))
+    rows = mixing.sized(table(spark, sf_dir, "documents"))
+    mix = mixing.mixed(mixing.quality_weights(rows, table(spark, sf_dir, "labels")))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
