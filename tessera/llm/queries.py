@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, line_dedup, minhash_dedup, mixing, sentencepiece_bpe, sharding, toxicity
+from tessera.llm import chat, fingerprints, line_dedup, minhash_dedup, mixing, sentencepiece_bpe, sharding, toxicity, wavelet
 
 #: Paths of the public vocabulary files; the operators take them as parameters.
+BYTES = os.environ.get("TESSERA_BYTES") or public_tokenizers.path("byte_bpe_50k.json")
 PIECES = os.environ.get("TESSERA_PIECES") or public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -50,6 +51,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_documents(wavelet.written(table(spark, sf_dir, "documents"), BYTES))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -84,6 +89,7 @@ QUERIES = {
     "op2_chat": op2_chat,
     "op3_minhash": op3_minhash,
     "op5_sharding": op5_sharding,
+    "op6_wavelet": op6_wavelet,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
