@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, line_dedup, minhash_dedup, mixing, sentencepiece_bpe, sharding, toxicity, wavelet
+from tessera.llm import chat, fingerprints, lattice_dedup, line_dedup, minhash_dedup, mixing, sentencepiece_bpe, sharding, toxicity, wavelet
 
 #: Paths of the public vocabulary files; the operators take them as parameters.
 BYTES = os.environ.get("TESSERA_BYTES") or public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +46,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.components(table(spark, sf_dir, "documents"))
 
 
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.sharded(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -88,6 +92,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat": op2_chat,
     "op3_minhash": op3_minhash,
+    "op4_lattice": op4_lattice,
     "op5_sharding": op5_sharding,
     "op6_wavelet": op6_wavelet,
     "op7_line_dedup": op7_line_dedup,
