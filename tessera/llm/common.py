@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -116,3 +117,54 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of a partition that is sorted by ``keys``, one table each; at most one group is held over."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for k, (a, b) in enumerate(itertools.pairwise(cuts)):
+            if held and (k or first != last):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forest(a: np.ndarray, b: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, node) that connect what ``links`` (rows a, columns b) connects: one for each node at most."""
+    i, j = np.nonzero(links)
+    nodes, at = np.unique(np.concatenate([a[i], b[j]]), return_inverse=True)
+    left, right = at[: len(i)], at[len(i) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, left, label[right])
+        np.minimum.at(label, right, label[left])
+        label = label[label]
+        if (label == before).all():
+            return nodes, nodes[label]
+
+
+def dealt(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """``rows`` sorted within partitions by ``key, low, high``: groups of over ``block`` rows are dealt out as pairs of blocks.
+
+    Each row gets the ``block`` it belongs to and stands in every pair of blocks that has it.
+    """
+    large = rows.groupBy(key).agg(F.count("*").alias("n__")).where(F.col("n__") > block).select(key, F.ceil(F.col("n__") / block).cast("int").alias("parts__"))
+    rows = rows.join(large, key, "left").withColumn("parts__", F.coalesce("parts__", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts__")).cast("int"))
+    rows = rows.withColumn("other__", F.explode(F.sequence(F.lit(0), F.col("parts__") - 1)))
+    rows = rows.withColumn("low", F.least("block", "other__")).withColumn("high", F.greatest("block", "other__")).drop("parts__", "other__")
+    return rows.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")

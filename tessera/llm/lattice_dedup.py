@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, mixed, sliced, stored
+from tessera.llm.common import connected_components, dealt, forest, mixed, runs, sliced, stored
 
 THRESHOLD = 0.9
 TABLES, PROBES, SCALE, SEED = 3, 5, 0.2, 11
@@ -155,44 +155,6 @@ def _hash(blocks: int, tables: int):
     return run
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of a partition that is sorted by ``keys``, one table each; at most one group is held over."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        first = tuple(c[0] for c in columns)
-        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        for k, (a, b) in enumerate(itertools.pairwise(cuts)):
-            if held and (k or first != last):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-        last = tuple(c[-1] for c in columns)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _forest(a: np.ndarray, b: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, node) that connect what ``links`` (rows a, columns b) connects: one for each node at most."""
-    i, j = np.nonzero(links)
-    nodes, at = np.unique(np.concatenate([a[i], b[j]]), return_inverse=True)
-    left, right = at[: len(i)], at[len(i) :]
-    label = np.arange(len(nodes))
-    while True:
-        before = label.copy()
-        np.minimum.at(label, left, label[right])
-        np.minimum.at(label, right, label[left])
-        label = label[label]
-        if (label == before).all():
-            return nodes, nodes[label]
-
-
 def _links(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["cell", "low", "high"]):
@@ -207,7 +169,7 @@ def _links(threshold: float):
             near &= nodes[p][:, None] != nodes[q][None, :]
             if not near.any():
                 continue
-            a, b = _forest(nodes[p], nodes[q], near & (cos >= threshold + HALF_ERROR))
+            a, b = forest(nodes[p], nodes[q], near & (cos >= threshold + HALF_ERROR))
             root = dict(zip(a.tolist(), b.tolist(), strict=True))
             i, j = np.nonzero(near & (cos < threshold + HALF_ERROR))
             open_ = {(min(u, v), max(u, v)) for u, v in zip(nodes[p][i].tolist(), nodes[q][j].tolist(), strict=True) if root.get(u, u) != root.get(v, v)}
@@ -243,19 +205,6 @@ def _counts(threshold: float):
     return run
 
 
-def _dealt(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """``rows`` sorted within partitions by ``key, low, high``: groups of over ``block`` rows are dealt out as pairs of blocks.
-
-    Each row gets the ``block`` it belongs to and stands in every pair of blocks that has it.
-    """
-    large = rows.groupBy(key).agg(F.count("*").alias("n__")).where(F.col("n__") > block).select(key, F.ceil(F.col("n__") / block).cast("int").alias("parts__"))
-    rows = rows.join(large, key, "left").withColumn("parts__", F.coalesce("parts__", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts__")).cast("int"))
-    rows = rows.withColumn("other__", F.explode(F.sequence(F.lit(0), F.col("parts__") - 1)))
-    rows = rows.withColumn("low", F.least("block", "other__")).withColumn("high", F.greatest("block", "other__")).drop("parts__", "other__")
-    return rows.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
-
-
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row for each row of ``vectors`` (``vec_id``, ``embedding``)."""
     base = stored(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_classes, "vec_id long, node long, vector binary"), "vectors")
@@ -263,14 +212,14 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLE
     classes = stored(usable.groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"), F.first("vector").alias("vector")), "vector-classes")
     blocks, tables = blocks_and_tables(classes.count(), tables)
     cells = classes.select("node", "vector").mapInArrow(_hash(blocks, tables), "cell long, node long, half binary")
-    met = _dealt(cells, "cell", block).mapInArrow(_links(threshold), "a long, b long, sure boolean")
+    met = dealt(cells, "cell", block).mapInArrow(_links(threshold), "a long, b long, sure boolean")
     met = stored(met.distinct(), "met")
     vector = classes.select("node", "vector")
     doubtful = met.where("not sure").join(vector.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a").join(vector.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
     links = met.where("sure").select("a", "b").unionByName(doubtful.mapInArrow(_verified(threshold), "a long, b long"))
     labels = stored(connected_components(links, "vector-edges"), "vector-labels")
     rows = classes.join(labels.withColumnRenamed("component", "root"), "node").select(F.col("root").alias("component"), "node", "copies", "vector")
-    counts = _dealt(rows, "component", block).mapInArrow(_counts(threshold), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+    counts = dealt(rows, "component", block).mapInArrow(_counts(threshold), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
     groups = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = groups.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     of_node = groups.join(smallest, "component").join(counts, "node", "left").select("node", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

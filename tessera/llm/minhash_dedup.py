@@ -9,10 +9,12 @@ hashes. Documents with equal sets are one class and are handled once. Then
    documents share makes no lists for documents with text of their own;
 2. overlaps: a list is never paired within itself. Each round, every class of a list meets a few
    leaders of the list, four times as many in each round; a leader has then met its whole list
-   and leaves it. Lists whose classes are already in one component are done. This goes on until no
-   list is left, so no pair that lists hold and that could change a component is skipped;
-3. union-sketch estimation drops pairs whose similarity is clearly under the threshold;
-4. exact Jaccard on the full sets confirms the rest, and links make components.
+   and leaves it;
+3. union-sketch estimation decides each meeting: under ``RELATED`` the two have nothing to do with
+   each other, else they join one family. A list whose classes are all of one family is done. Rounds
+   go on until no list is left, so two classes that share a list end up in one family or have met;
+4. exact Jaccard on full sets within each family, in pairs of blocks of ``BLOCK`` classes; only a
+   spanning forest of the confirmed links leaves a task. Links make components.
 
 The sketch margins are set at ``MARGIN`` standard deviations, sets of up to three quarters of ``k``
 are held whole, and for them the prefixes are exact.
@@ -35,11 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, connected_components, shingle_set, sliced, stored
+from tessera.llm.common import WordHashes, connected_components, dealt, forest, runs, shingle_set, sliced, stored
 
 K = 64
 THRESHOLD = 0.75
 MARGIN = 4.0
+#: Estimated similarity from which two classes are compared exactly: many deviations under the threshold.
+RELATED = 0.3
+BLOCK, COLUMNS = 512, 4096
 
 
 def sketch_overlap(k: int = K, threshold: float = THRESHOLD, margin: float = MARGIN) -> int:
@@ -84,8 +89,8 @@ def inverted_lists(classes: DataFrame, k: int = K, threshold: float = THRESHOLD)
     return common.withColumn("place", place).where(F.col("place") <= held - overlap + 1).select("h", "node", "size")
 
 
-def _similar(threshold: float, k: int, margin: float):
-    """Union-sketch estimate: may the sets of two sketches reach the threshold?"""
+def _related(k: int):
+    """Pairs whose union-sketch estimate (shared values among the ``k`` smallest of both) reaches ``RELATED``."""
 
     @F.pandas_udf("boolean")
     def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -94,75 +99,92 @@ def _similar(threshold: float, k: int, margin: float):
             x, y = np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)
             union = np.union1d(x, y)
             m = min(k, len(union)) if max(len(x), len(y)) >= k else len(union)
-            both = len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union[:m], assume_unique=True))
-            slack = margin * math.sqrt(m * threshold * (1 - threshold)) if max(len(x), len(y)) >= k else 0
-            out.append(both >= threshold * m - slack - 1e-9)
+            both = np.intersect1d(x, y, assume_unique=True)
+            out.append(np.searchsorted(both, union[m - 1], side="right") >= RELATED * m)
         return pd.Series(out)
 
     return estimate
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, over the values that two sets or more hold."""
+    values = np.concatenate(sets)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[at]
+    rows, columns = rows[keep], column[at[keep]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    total = np.zeros((len(sets), len(sets)), np.float64)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(columns, [start, start + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[rows[a:b], columns[a:b] - start] = 1
+        total += held @ held.T
+    return total
+
+
 def _confirmed(threshold: float):
-    """Rows whose full sets pass 100 * intersection >= 100 * threshold * union, in whole numbers."""
+    """Forests of the links in each pair of blocks: 100 * intersection >= 100 * threshold * union, in whole numbers."""
     percent = round(100 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sets = WordHashes(), {}
-
-        def full(node: int, text: str) -> np.ndarray:
-            if node not in sets:
-                if len(sets) >= 256:
-                    sets.clear()
-                sets[node] = shingle_set(text, hashes)
-            return sets[node]
-
-        for batch in batches:
-            keep = []
-            a, b, ta, tb = (batch.column(c) for c in ("a", "b", "ta", "tb"))
-            for k in range(batch.num_rows):
-                p, q = full(a[k].as_py(), ta[k].as_py()), full(b[k].as_py(), tb[k].as_py())
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        hashes = WordHashes()
+        for t in runs(batches, ["family", "low", "high"]):
+            if t.num_rows < 2:
+                continue
+            nodes, block = t["node"].to_numpy(), t["block"].to_numpy()
+            sets = [shingle_set(x, hashes) for x in t["text"].to_pylist()]
+            both, size = shared_counts(sets), np.array([len(s) for s in sets])
+            links = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            low, high = t["low"][0].as_py(), t["high"][0].as_py()
+            links &= (block == low)[:, None] & (block == high)[None, :] & (nodes[:, None] != nodes[None, :])
+            if links.any():
+                a, b = forest(nodes, nodes, links)
+                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
     return run
 
 
-def components(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``docs``."""
-    docs = docs.select("doc_id", "text")
-    base = stored(sketched(docs, k), "sketches")
-    named = base.where("node is not null and doc_id is not null")
-    classes = named.groupBy("node", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
-    classes = stored(classes, "classes")
-    lists = stored(inverted_lists(classes, k, threshold), "lists")
-    texts = _active_texts(docs, base, lists)
+def families(classes: DataFrame, lists: DataFrame, k: int = K) -> DataFrame | None:
+    """``(node, family)`` of the classes that are related to another one of a list; None if there are none."""
     sketch = classes.select("node", "sketch")
-    links = labels = None
+    edges = found = None
     leaders = 1
     while True:
-        now = lists if labels is None else lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if labels is None:
-            now = now.withColumn("component", F.col("node"))
-        open_ = now.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
+        now = lists.withColumn("family", F.col("node")) if found is None else lists.join(found, "node", "left").withColumn("family", F.coalesce("family", "node"))
+        open_ = now.groupBy("h").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("h")
         now = stored(now.join(open_, "h"), "open-lists")
         if now.isEmpty():
-            break
+            return found
         slot = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-        chosen = now.groupBy("h", slot.alias("slot")).agg(F.min(F.struct("node", "size", "component")).alias("lead")).select("h", F.col("lead.node").alias("ln"), F.col("lead.size").alias("ls"), F.col("lead.component").alias("lc"))
-        pairs = now.join(chosen, "h").where((F.col("component") != F.col("lc")) & (F.least("size", "ls") >= threshold * F.greatest("size", "ls")))
+        chosen = now.groupBy("h", slot.alias("slot")).agg(F.min(F.struct("node", "size", "family")).alias("lead")).select("h", F.col("lead.node").alias("ln"), F.col("lead.size").alias("ls"), F.col("lead.family").alias("lf"))
+        chosen = stored(chosen, "leaders")
+        pairs = now.join(chosen, "h").where((F.col("family") != F.col("lf")) & (F.least("size", "ls") >= THRESHOLD / 2 * F.greatest("size", "ls")))
         pairs = pairs.select(F.least("node", "ln").alias("a"), F.greatest("node", "ln").alias("b")).distinct()
         near = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        near = near.where(_similar(threshold, k, margin)("sa", "sb")).select("a", "b")
-        full = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        found = stored(full.mapInArrow(_confirmed(threshold), "a long, b long"), "links")
+        new = stored(near.where(_related(k)("sa", "sb")).select("a", "b"), "related")
         lists = now.join(chosen.select("h", F.col("ln").alias("node")), ["h", "node"], "left_anti").select("h", "node", "size")
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-        labels = stored(labels, "labels")
+        edges = new if edges is None else edges.unionByName(new)
+        found = stored(connected_components(edges).withColumnRenamed("component", "family"), "families")
         leaders *= 4
-    groups = classes.select("node", "n_shingles", "doc_id")
-    groups = groups.withColumn("component", F.col("node")) if labels is None else groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def components(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``docs``."""
+    docs = docs.select("doc_id", "text")
+    base = stored(sketched(docs, k), "sketches")
+    named = base.where("node is not null and doc_id is not null")
+    classes = stored(named.groupBy("node", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
+    related = families(classes, stored(inverted_lists(classes, k, threshold), "lists"), k)
+    groups = classes.select("node", "doc_id").withColumn("component", F.col("node"))
+    if related is not None:
+        texts = _texts(docs, classes.select("node", "doc_id").join(related, "node"))
+        links = dealt(texts, "family", block).mapInArrow(_confirmed(threshold), "a long, b long")
+        labels = connected_components(links)
+        groups = groups.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = groups.join(smallest, "component").select("node", "component_id")
     out = base.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
@@ -170,10 +192,9 @@ def components(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, margin
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _active_texts(docs: DataFrame, base: DataFrame, lists: DataFrame) -> DataFrame:
-    """``(node, text)`` for the classes that stand in a list; one text for each class."""
-    of_node = base.where("node is not null and doc_id is not null").select("node", "doc_id").join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    rows = docs.join(of_node, "doc_id").select("node", "text").mapInArrow(_own, "node long, text string")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(node, family, text)``: one text for each class of a family."""
+    rows = docs.join(wanted, "doc_id").select("node", "family", "text").mapInArrow(_own, "node long, family long, text string")
     return stored(rows.dropDuplicates(["node"]), "texts")
 
 
