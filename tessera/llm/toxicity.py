@@ -90,20 +90,24 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         return Model(None, 0.0)
-    docs = [_tokens(x) for x in texts]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for d in docs for w in d}))}
-    y = y[[bool(d) for d in docs]]
-    docs = [d for d in docs if d]
-    flat = np.array([vocabulary[w] for d in docs for w in d])
-    size = np.array([len(d) for d in docs])
-    rows, starts = grams(list(vocabulary))
-    count = np.diff(np.r_[starts, len(rows)])
+    vocabulary: dict[str, int] = {}
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _tokens(x)], np.int32) for x in texts]
+    y = y[[len(d) > 0 for d in docs]]
+    docs = [d for d in docs if len(d)]
+    flat, size = np.concatenate(docs), np.array([len(d) for d in docs])
+    words = list(vocabulary)
+    del docs, vocabulary
+    n_words, parts = len(words), [grams(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+    del words
+    count = np.concatenate([np.diff(np.r_[at, len(r)]) for r, at in parts])
+    rows, starts = np.concatenate([r for r, _ in parts]), np.cumsum(count) - count
+    del parts
     # windows: every start inside a text, the last ones shortened to the text's end only if it is short
     width = np.minimum(size, WINDOW)
     windows = size - width + 1
     first = np.repeat(np.cumsum(size) - size, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     wide = np.repeat(width, windows)
-    doc = np.repeat(np.arange(len(docs)), windows)
+    doc = np.repeat(np.arange(len(y)), windows)
     begin = np.cumsum(windows) - windows
     rng = np.random.default_rng(seed)
     table, v = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 1, DIM)
@@ -122,7 +126,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float
         error = (1 / (1 + np.exp(-logit)) - y) / len(y)
         dz = p * error[doc] / wide
         edge = np.bincount(first, dz, len(flat) + 1) - np.bincount(first + wide, dz, len(flat) + 1)
-        ds = np.bincount(flat, np.cumsum(edge)[:-1], len(vocabulary)) / count
+        ds = np.bincount(flat, np.cumsum(edge)[:-1], n_words) / count
         c = np.bincount(rows, np.repeat(ds, count), BUCKETS)
         d_table, d_v = c[:, None] * v, table.T @ c
         g_table += d_table**2
