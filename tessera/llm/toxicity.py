@@ -31,7 +31,7 @@ from tessera.llm.common import mixed, sliced
 
 BUCKETS, DIM, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 2
 #: The bounded training sample: rows of either class, in the order of a hash of doc_id, and the longest text taken.
-POSITIVES, NEGATIVES, SAMPLE_CHARS = 1500, 4000, 20_000
+POSITIVES, NEGATIVES, SAMPLE_CHARS = 1500, 3000, 20_000
 EPOCHS, RATE, SEED = 60, 0.3, 7
 THRESHOLD = 0.7
 ENDS = re.compile(r"^[\W_]+|[\W_]+$")
@@ -99,23 +99,23 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float
     del docs, vocabulary
     n_words, parts = len(words), [grams(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
     del words
-    count = np.concatenate([np.diff(np.r_[at, len(r)]) for r, at in parts])
-    rows, starts = np.concatenate([r for r, _ in parts]), np.cumsum(count) - count
-    del parts
+    counts = [np.diff(np.r_[at, len(r)]).astype(np.int32) for r, at in parts]
+    cuts = np.cumsum([len(c) for c in counts])[:-1]
     # windows: every start inside a text, the last ones shortened to the text's end only if it is short
     width = np.minimum(size, WINDOW)
     windows = size - width + 1
-    first = np.repeat(np.cumsum(size) - size, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    wide = np.repeat(width, windows)
-    doc = np.repeat(np.arange(len(y)), windows)
     begin = np.cumsum(windows) - windows
+    first = np.repeat((np.cumsum(size) - size - begin).astype(np.int32), windows)
+    first += np.arange(len(first), dtype=np.int32)
+    wide = np.repeat(width.astype(np.int32), windows)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), windows)
     rng = np.random.default_rng(seed)
     table, v = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 1, DIM)
     bias = float(np.log(y.mean() / (1 - y.mean())))
     g_table, g_v, g_bias = np.full((BUCKETS, DIM), 1e-8), np.full(DIM, 1e-8), 1e-8
     for epoch in range(epochs):
         u = table @ v
-        s = np.add.reduceat(u[rows], starts) / count
+        s = np.concatenate([np.add.reduceat(u[r], at) / n for (r, at), n in zip(parts, counts, strict=True)])
         run = np.r_[0.0, np.cumsum(s[flat])]
         z = (run[first + wide] - run[first]) / wide + bias
         heat = 0.5 + 4.0 * epoch / epochs
@@ -126,8 +126,8 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float
         error = (1 / (1 + np.exp(-logit)) - y) / len(y)
         dz = p * error[doc] / wide
         edge = np.bincount(first, dz, len(flat) + 1) - np.bincount(first + wide, dz, len(flat) + 1)
-        ds = np.bincount(flat, np.cumsum(edge)[:-1], n_words) / count
-        c = np.bincount(rows, np.repeat(ds, count), BUCKETS)
+        ds = np.split(np.bincount(flat, np.cumsum(edge)[:-1], n_words), cuts)
+        c = sum(np.bincount(r, np.repeat(d / n, n), BUCKETS) for (r, _), d, n in zip(parts, ds, counts, strict=True))
         d_table, d_v = c[:, None] * v, table.T @ c
         g_table += d_table**2
         g_v += d_v**2
