@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import relational, spatial
+from tessera.plans import relational, spatial, textual
 
-PARTS = (relational, spatial)
+PARTS = (relational, spatial, textual)
 QUERIES = {k: f for p in PARTS for k, f in p.QUERIES.items()}
 ORACLE_SQL = {k: s for p in PARTS for k, s in p.ORACLE_SQL.items()}
