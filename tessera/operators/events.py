@@ -110,7 +110,7 @@ def bootstrap(counts: DataFrame, by: str, draws: int = 2000, seed: int = 1) -> D
     """
     packed = counts.groupBy(by, "a", "c", "nc").agg(F.count("*").alias("n"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["a", "c", "nc"])
         rng = np.random.default_rng([seed, *str(key[0]).encode()])
         n = pdf["n"].to_numpy()
