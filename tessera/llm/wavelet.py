@@ -18,9 +18,11 @@ by a hash of their text; null ids come first; an empty table gives no shards.
 
 from __future__ import annotations
 
-import re
+import functools
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,58 +158,112 @@ def from_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
 class Encoder:
     """Ids of whole texts as little-endian 16- or 32-bit bytes, from remembered ids of their chunks."""
 
-    #: White space that keeps the pre-tokenizer's chunks from being those between single spaces and line ends.
-    ODD = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z|\x00")
+    #: White space other than blank and line end (and the mark that cuts chunks): such texts go to the library whole.
+    ODD_ASCII = "\x00\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+    ODD_OTHER = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    #: Marks that the pre-tokenizer parts from a letter or digit before them, and never from each other.
+    TAIL = ".,;:!?"
 
     def __init__(self, tokenizer_file: str, cache_chunks: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.type = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.limit, self.cache = cache_chunks, {}
+        small = self.library.get_vocab_size() <= 1 << 16
+        self.type, self.code = (np.dtype("<u2"), "H") if small else (np.dtype("<u4"), "I")
+        self.limit, self.cache, self.tails = cache_chunks, {}, {}
+        # the byte-level alphabet: printable bytes stand for themselves, the rest are numbered from 256
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        """The library's ids; these machines are little-endian, as the files are."""
+        return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of chunks: a blank and Latin letters are one pre-token and go straight to the library's model."""
+        model, code, alphabet, found, rest = self.library.model.tokenize, self.code, self.alphabet, {}, []
+        for w in words:
+            letters = w[1:] if w[0] == " " else w
+            if letters.isalpha() and max(letters) < "\u0250":
+                found[w] = array(code, [t.id for t in model(w.encode().decode("latin-1").translate(alphabet))]).tobytes()
+            else:
+                rest.append(w)
+        found.update(zip(rest, self._whole(rest), strict=True))
+        return found
+
+    def _odd(self, x: str) -> bool:
+        if "  " in x or "\n\n" in x or " \n" in x or "\n " in x or x[0] in " \n" or x[-1] in " \n":
+            return True
+        return any(c in x for c in self.ODD_ASCII) or (not x.isascii() and any(c in x for c in self.ODD_OTHER)) or any(s in x for s in self.special)
+
+    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not remembered: of the word, and of the marks at its end."""
+        parts = {}
+        for c in chunks:
+            core = c.rstrip(self.TAIL)
+            if len(core) < len(c) and core and core[-1].isalnum():
+                parts[c] = (core, c[len(core) :])
+        words = {parts[c][0] if c in parts else c for c in chunks}
+        ends = {t for _, t in parts.values() if t not in self.tails}
+        found = self._words([w for w in words if w not in self.cache])
+        self.tails.update(zip(ends, self._whole(list(ends)), strict=True))
+        get = lambda w: found.get(w) or self.cache[w]
+        for c in chunks:
+            if c in parts:
+                core, tail = parts[c]
+                found[c] = get(core) + self.tails[tail]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks, odd = [], []
+        cache, rows, odd, seen = self.cache, [], [], set()
         for k, x in enumerate(texts):
-            if self.ODD.search(x) or any(s in x for s in self.special):
+            if x and self._odd(x):
                 odd.append(k)
-                chunks.append(None)
+                rows.append(None)
             else:
-                chunks.append(x.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if x else [])
-        whole = dict(zip(odd, self._whole([texts[k] for k in odd]), strict=True)) if odd else {}
-        cache = self.cache
-        fresh = list({c for x in chunks if x for c in x if c not in cache})
-        now = dict(zip(fresh, self._whole(fresh), strict=True))
-        if len(cache) + len(now) <= self.limit:
-            cache.update(now)
-            now = {}
-        look = {**{c: cache[c] for x in chunks if x for c in x if c in cache}, **now} if now else cache
-        return [whole[k] if x is None else b"".join(map(look.__getitem__, x)) for k, x in enumerate(chunks)]
+                rows.append(x.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if x else [])
+                seen.update(rows[-1])
+        whole = dict(zip(odd, self._whole([texts[k] for k in odd]), strict=True))
+        now = self._chunks(list(seen.difference(cache)))
+        cache.update(now)
+        find = cache.__getitem__
+        out = [whole[k] if row is None else b"".join(map(find, row)) for k, row in enumerate(rows)]
+        if len(cache) > self.limit:  # full: what just came is not kept
+            for c in now:
+                del cache[c]
+        if len(self.tails) > 1000:
+            self.tails.clear()
+        return out
+
+
+@functools.lru_cache(1)
+def encoder(tokenizer_file: str, cache_chunks: int) -> Encoder:
+    """One encoder for each worker process: later tasks find what earlier ones remembered."""
+    return Encoder(tokenizer_file, cache_chunks)
 
 
 def _pack(tokenizer_file: str, end_id: int, shard_tokens: int, cache_chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, number = Encoder(tokenizer_file, cache_chunks), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], encoder.type).tobytes()
+        found, part, number = encoder(tokenizer_file, cache_chunks), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], found.type).tobytes()
         ids, lengths, data, held = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(data), encoder.type)
+            tokens = np.frombuffer(b"".join(data), found.type)
             raw = to_file(ids, lengths, tokens)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([raw], pa.binary())], names=["part", "number", "tokens", "file"])
 
         for batch in sliced(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), found.encode(texts), strict=True):
                 ids.append(doc_id)
                 data.append(raw + end)
-                lengths.append(len(data[-1]) // encoder.type.itemsize)
+                lengths.append(len(data[-1]) // found.type.itemsize)
                 held += lengths[-1]
                 if held >= shard_tokens:
                     yield shard()
@@ -219,7 +275,7 @@ def _pack(tokenizer_file: str, end_id: int, shard_tokens: int, cache_chunks: int
     return run
 
 
-def shards(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, cache_chunks: int = 400_000) -> DataFrame:
+def shards(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, cache_chunks: int = 250_000) -> DataFrame:
     """``(part, number, tokens, file)``: shard files in ascending ``doc_id`` order by ``part, number``."""
     ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = ranged.withColumn("tie__", F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie__").select("doc_id", "text")
