@@ -217,7 +217,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLE
     vector = classes.select("node", "vector")
     doubtful = met.where("not sure").join(vector.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a").join(vector.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
     links = met.where("sure").select("a", "b").unionByName(doubtful.mapInArrow(_verified(threshold), "a long, b long"))
-    labels = stored(connected_components(links, "vector-edges"), "vector-labels")
+    labels = stored(connected_components(stored(links, "vector-links"), "vector-edges"), "vector-labels")
     rows = classes.join(labels.withColumnRenamed("component", "root"), "node").select(F.col("root").alias("component"), "node", "copies", "vector")
     counts = dealt(rows, "component", block).mapInArrow(_counts(threshold), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
     groups = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

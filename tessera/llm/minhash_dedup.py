@@ -182,7 +182,7 @@ def components(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, block:
     groups = classes.select("node", "doc_id").withColumn("component", F.col("node"))
     if related is not None:
         texts = _texts(docs, classes.select("node", "doc_id").join(related, "node"))
-        links = dealt(texts, "family", block).mapInArrow(_confirmed(threshold), "a long, b long")
+        links = stored(dealt(texts, "family", block).mapInArrow(_confirmed(threshold), "a long, b long"), "links")
         labels = connected_components(links)
         groups = groups.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
