@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera.plans import catalogue
@@ -22,7 +23,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return None
     if isinstance(value, bool) or hasattr(value, "dtype") and value.dtype.kind == "b":
         return bool(value)
