@@ -122,33 +122,43 @@ def json_props(spark, d):
     return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.max("k").alias("most"))
 
 
-# --- graph: supplier nation -> customer nation ------------------------------------------------------------------
+# --- graph: lanes = supplier nation -> customer nation; arcs = place -> place, supplier k and customer k being place k --
 
 
-def _lanes(spark, d, sparse: bool):
+def _lanes(spark, d):
     li, o = st.table(spark, d, "lineitem"), st.table(spark, d, "orders")
-    if sparse:
-        li, o = li.where("l_quantity > 45"), o.where("o_custkey % 40 = 0")
     out = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(st.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(st.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return out.select(F.col("s_nationkey").cast("string").alias("u"), F.col("c_nationkey").cast("string").alias("v"), F.col("l_linenumber").alias("key"), F.round(F.col("l_extendedprice") / F.col("l_quantity")).cast("long").alias("length"))
+    return _lightest(out.select(F.col("s_nationkey").cast("string").alias("u"), F.col("c_nationkey").cast("string").alias("v"), *map(F.expr, _LANE)))
 
 
-def arcs(spark, d, sparse: bool = True):
-    return _lanes(spark, d, sparse).groupBy("u", "v", "key").agg(F.min("length").alias("length"))
+def arcs(spark, d):
+    """Every line of every order is an arc from its supplier's place to its customer's: the places grow with the tables."""
+    out = st.table(spark, d, "lineitem").join(st.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return _lightest(out.select(F.col("l_suppkey").cast("string").alias("u"), F.col("o_custkey").cast("string").alias("v"), *map(F.expr, _LANE)))
 
 
-def _lane_sql(sparse: bool) -> str:
-    cond = "WHERE l_quantity > 45 AND o_custkey % 40 = 0" if sparse else ""
-    return f"""arcs AS (SELECT s_nationkey::VARCHAR AS u, c_nationkey::VARCHAR AS v, l_linenumber AS key, min(round(l_extendedprice / l_quantity)::BIGINT) AS length FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-      JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey {cond} GROUP BY ALL)"""
+_LANE = ("l_linenumber AS key", "CAST(round(l_extendedprice / l_quantity) AS long) AS length")
+
+
+#: Sampled sources, as many as the reference takes.
+SOURCES = 500
+
+
+def _lightest(lines):
+    return lines.groupBy("u", "v", "key").agg(F.min("length").alias("length"))
+
+
+LANES = """arcs AS (SELECT s_nationkey::VARCHAR AS u, c_nationkey::VARCHAR AS v, l_linenumber AS key, min(round(l_extendedprice / l_quantity)::BIGINT) AS length FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+      JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
+ARCS = "arcs AS (SELECT l_suppkey::VARCHAR AS u, o_custkey::VARCHAR AS v, l_linenumber AS key, min(round(l_extendedprice / l_quantity)::BIGINT) AS length FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"
 
 
 def segment_key(spark, d):
-    return graph.segments(arcs(spark, d, False)).select("tramo_id", "length")
+    return graph.segments(_lanes(spark, d)).select("tramo_id", "length")
 
 
 def collapse_parallel(spark, d):
-    return graph.collapsed(arcs(spark, d, False), ("length",))
+    return graph.collapsed(_lanes(spark, d), ("length",))
 
 
 def betweenness_nodes(spark, d):
@@ -160,7 +170,7 @@ def betweenness_arcs(spark, d):
 
 
 def betweenness_sampled(spark, d):
-    return graph.betweenness(arcs(spark, d), "length", 10)[0].withColumn("bc", F.round("bc", 6))
+    return graph.betweenness(arcs(spark, d), "length", SOURCES)[0].withColumn("bc", F.round("bc", 6))
 
 
 def arc_to_segment(spark, d):
@@ -182,7 +192,7 @@ def closeness(spark, d):
 
 
 def degree_density(spark, d):
-    return graph.density(graph.collapsed(arcs(spark, d, False), ("length",)))
+    return graph.density(graph.collapsed(_lanes(spark, d), ("length",)))
 
 
 def degree_table(spark, d):
@@ -334,15 +344,15 @@ ORACLE_SQL = {
       WHERE k <= 6 AND upper(event_type) IN ('ERROR', 'CLICK') AND value BETWEEN 10 AND 400 GROUP BY event_type""",
     "crosswalk_case": """SELECT CASE WHEN upper(p_type) = 'ECONOMY' THEN 'secuestro' WHEN p_size > 40 THEN 'lesiones' WHEN p_brand LIKE '%1' THEN 'robo' WHEN upper(p_type) = 'PROMO' THEN 'hurto' ELSE 'otro' END AS cat, count(*) AS n FROM part GROUP BY 1""",
     "json_props": """WITH e AS (SELECT event_type, (props->>'k')::INTEGER AS k FROM events) SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, max(k) AS most FROM e GROUP BY 1""",
-    "segment_key": f"WITH {_lane_sql(False)} SELECT least(u, v) || '-' || greatest(u, v) || '-' || key AS tramo_id, min(length) AS length FROM arcs GROUP BY 1",
-    "collapse_parallel": f"WITH {_lane_sql(False)} SELECT u, v, min(length) AS length, arg_min(key, length * 100 + key) AS key_length FROM arcs WHERE u <> v GROUP BY u, v",
-    "components": f"""WITH RECURSIVE {_lane_sql(True)}, edge AS (SELECT u, v FROM arcs UNION SELECT v, u FROM arcs), reach(a, b) AS (SELECT u, u FROM edge UNION SELECT a, v FROM reach JOIN edge ON b = u)
+    "segment_key": f"WITH {LANES} SELECT least(u, v) || '-' || greatest(u, v) || '-' || key AS tramo_id, min(length) AS length FROM arcs GROUP BY 1",
+    "collapse_parallel": f"WITH {LANES} SELECT u, v, min(length) AS length, arg_min(key, length * 100 + key) AS key_length FROM arcs WHERE u <> v GROUP BY u, v",
+    "components": f"""WITH RECURSIVE {ARCS}, edge AS (SELECT u, v FROM arcs UNION SELECT v, u FROM arcs), reach(a, b) AS (SELECT u, u FROM edge UNION SELECT a, v FROM reach JOIN edge ON b = u)
       SELECT a AS node, min(b) AS component FROM reach GROUP BY a""",
-    "strong_components": f"WITH RECURSIVE {_lane_sql(True)}, {_REACH} SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a",
-    "degree_density": f"""WITH {_lane_sql(False)}, e AS (SELECT DISTINCT u, v FROM arcs WHERE u <> v), n AS (SELECT u FROM e UNION SELECT v FROM e), k AS (SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS arcs)
+    "strong_components": f"WITH RECURSIVE {ARCS}, {_REACH} SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a",
+    "degree_density": f"""WITH {LANES}, e AS (SELECT DISTINCT u, v FROM arcs WHERE u <> v), n AS (SELECT u FROM e UNION SELECT v FROM e), k AS (SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS arcs)
       SELECT nodes, arcs::BIGINT AS arcs, round(arcs / nodes, 6) AS mean_degree, round(arcs * 10000 / (nodes * (nodes - 1)), 6) AS density_x1e4 FROM k""",
-    "degree_table": f"""WITH {_lane_sql(True)}, e AS (SELECT DISTINCT u, v FROM arcs WHERE u <> v), b AS (SELECT u AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT v, 1, 0 FROM e) SELECT node, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out FROM b GROUP BY node""",
-    "clustering": f"""WITH {_lane_sql(True)}, e AS (SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b FROM arcs WHERE u <> v), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), d AS (SELECT a AS node, count(*) AS d FROM s GROUP BY a),
+    "degree_table": f"""WITH {ARCS}, e AS (SELECT DISTINCT u, v FROM arcs WHERE u <> v), b AS (SELECT u AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT v, 1, 0 FROM e) SELECT node, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out FROM b GROUP BY node""",
+    "clustering": f"""WITH {ARCS}, e AS (SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b FROM arcs WHERE u <> v), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), d AS (SELECT a AS node, count(*) AS d FROM s GROUP BY a),
       t AS (SELECT x.a AS node, count(*) AS t FROM s x JOIN s y ON x.a = y.a AND x.b < y.b JOIN e ON e.a = x.b AND e.b = y.b GROUP BY 1) SELECT count(*) AS nodes, round(avg(CASE WHEN d > 1 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END), 6) AS clustering FROM d LEFT JOIN t ON d.node = t.node""",
     "nearest_point": f"""WITH {POINTS}, p AS (SELECT a.id, b.id AS target, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS far, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) AS k FROM points a, points b WHERE a.label <> 0 AND b.label = 0)
       SELECT id, target, round(far, 6) AS distance, far > 50 AS far FROM p WHERE k = 1""",

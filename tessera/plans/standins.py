@@ -2,7 +2,8 @@
 
 Cell = customer, district = nation, department = region, category = order priority, registry = late
 urgent orders, audit = nations with an even key, incident and event day = rows of ``events``,
-points = first two coordinates of ``embeddings``, arcs = supplier nation to customer nation.
+points = first two coordinates of ``embeddings``, lanes = supplier nation to customer nation, arcs =
+supplier to customer, where one number is one place.
 """
 
 from __future__ import annotations
