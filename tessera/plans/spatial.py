@@ -8,9 +8,9 @@ from tessera.operators import events as ev
 from tessera.operators import graph, space
 from tessera.plans import standins as st
 
-# --- events: place = user_id % 3, crowd day = at least PURCHASES purchases, incident = an error ------------------
+# --- events: place = user_id % 3, crowd day = purchases at or above the CROWD quantile of the place's days, incident = an error ---
 
-PURCHASES, FIRST, DAYS = 28, "2024-01-01", 30
+CROWD, FIRST, DAYS = 0.8, "2024-01-01", 30
 WINDOWS = [(f"w{lo:+d}", float(lo), float(lo + 3)) for lo in range(-12, 13, 3)]
 
 
@@ -24,21 +24,28 @@ def _crowds(spark, d):
     e = st.table(spark, d, "events").where("event_type = 'purchase'")
     day = F.datediff(F.to_date("ts"), F.lit(FIRST))
     got = e.groupBy((F.col("user_id") % 3).cast("int").alias("stadium"), day.alias("day")).agg(F.count("*").alias("n"), F.min(F.hour("ts")).cast("double").alias("kh"))
-    return got.where((F.col("n") >= PURCHASES) & (F.col("day") >= 0) & (F.col("day") < DAYS)).select("stadium", "day", "kh")
+    # days without a purchase count in the quantile; a place has DAYS rows here at any size
+    all_days = _place_days(spark).join(got, ["stadium", "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    least = all_days.groupBy("stadium").agg(F.percentile("n", F.lit(CROWD)).alias("least"))
+    return all_days.join(least, "stadium").where("n >= least and n > 0").select("stadium", "day", "kh")
+
+
+def _place_days(spark):
+    return ev.calendar(spark, FIRST, DAYS).withColumn("stadium", F.explode(F.array(*[F.lit(k) for k in range(3)])))
 
 
 def _strata(spark, d):
     places = spark.range(3).select(F.col("id").cast("int").alias("stadium"))
-    days = ev.calendar(spark, FIRST, DAYS).withColumn("stadium", F.explode(F.array(*[F.lit(k) for k in range(3)])))
     near = places.where("stadium = 0").select("stadium", F.lit(1).alias("other"))
     crowds = _crowds(spark, d)
-    return ev.matched_strata(days, crowds, ev.contaminated(crowds, near))
+    return ev.matched_strata(_place_days(spark), crowds, ev.contaminated(crowds, near))
 
 
 INCIDENTS = f"incidents AS (SELECT (user_id % 3)::INTEGER AS stadium, date_diff('day', DATE '{FIRST}', ts::DATE) * 24 + hour(ts) + minute(ts) / 60.0 AS t FROM events WHERE event_type = 'error')"
-STRATA = f"""crowds AS (
-  SELECT (user_id % 3)::INTEGER AS stadium, date_diff('day', DATE '{FIRST}', ts::DATE)::INTEGER AS day, min(hour(ts))::DOUBLE AS kh FROM events WHERE event_type = 'purchase' GROUP BY 1, 2
-  HAVING count(*) >= {PURCHASES} AND day BETWEEN 0 AND {DAYS - 1}),
+STRATA = f"""bought AS (
+  SELECT (user_id % 3)::INTEGER AS stadium, date_diff('day', DATE '{FIRST}', ts::DATE)::INTEGER AS day, min(hour(ts))::DOUBLE AS kh, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
+every AS (SELECT s::INTEGER AS stadium, k::INTEGER AS day, kh, coalesce(n, 0) AS n FROM range(3) a(s) CROSS JOIN range({DAYS}) b(k) LEFT JOIN bought ON stadium = s AND day = k),
+crowds AS (SELECT stadium, day, kh FROM every JOIN (SELECT stadium, quantile_cont(n, {CROWD}) AS least FROM every GROUP BY stadium) q USING (stadium) WHERE n >= least AND n > 0),
 days AS (SELECT s::INTEGER AS stadium, k::INTEGER AS day, (isodow(DATE '{FIRST}' + k::INTEGER) - 1)::INTEGER AS dow, (year(DATE '{FIRST}' + k::INTEGER) * 12 + month(DATE '{FIRST}' + k::INTEGER))::INTEGER AS ym FROM range(3) a(s), range({DAYS}) b(k)),
 spoilt AS (SELECT DISTINCT 0 AS stadium, day FROM crowds WHERE stadium = 1),
 controls AS (SELECT * FROM days d WHERE NOT EXISTS (SELECT 1 FROM crowds c WHERE c.stadium = d.stadium AND c.day = d.day) AND NOT EXISTS (SELECT 1 FROM spoilt p WHERE p.stadium = d.stadium AND p.day = d.day)),

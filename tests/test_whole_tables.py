@@ -70,3 +70,16 @@ def test_graph_queries_against_brute_force(spark, small):
     pairs = {a[:2] for a in arcs if a[0] != a[1]}
     assert {r.node: (r.n_in, r.n_out) for r in q["degree_table"]} == {a: (sum(p[1] == a for p in pairs), sum(p[0] == a for p in pairs)) for a in nodes}
     assert graph.segments(spatial.arcs(spark, small)).count() == 10
+
+
+@tables
+@pytest.mark.parametrize("size", SIZES)
+def test_every_size_has_strata(spark, size):
+    got = spatial.matched_strata(spark, f"{ROOT}/{size}").toPandas()
+    e = pd.read_parquet(f"{ROOT}/{size}/events.parquet").query("event_type == 'purchase'")
+    days = (pd.to_datetime(e.ts) - pd.Timestamp(spatial.FIRST)).dt.days
+    n = e.groupby([e.user_id % 3, days]).size().unstack(fill_value=0).reindex(columns=range(spatial.DAYS), fill_value=0)
+    crowd = n.ge(n.quantile(spatial.CROWD, axis=1), axis=0) & (n > 0)
+    assert all(got.groupby("stadium").size().reindex(range(3), fill_value=0) > 0)
+    assert all(crowd.loc[s, d] and not crowd.loc[s, c] for s, d, c in zip(got.stadium, got.day, got.ctrl_day, strict=True))
+    assert 3 <= got[["stadium", "day"]].drop_duplicates().shape[0] < 45
