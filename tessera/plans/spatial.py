@@ -100,7 +100,7 @@ def moving_estimate(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    return ev.bootstrap(ev.window_counts(_strata(spark, d), _incidents(spark, d), WINDOWS), "window", 500)
+    return ev.bootstrap(ev.window_counts(_strata(spark, d), _incidents(spark, d), WINDOWS), "window")
 
 
 def gap_fill_log2(spark, d):

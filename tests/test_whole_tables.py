@@ -83,3 +83,8 @@ def test_every_size_has_strata(spark, size):
     assert all(got.groupby("stadium").size().reindex(range(3), fill_value=0) > 0)
     assert all(crowd.loc[s, d] and not crowd.loc[s, c] for s, d, c in zip(got.stadium, got.day, got.ctrl_day, strict=True))
     assert 3 <= got[["stadium", "day"]].drop_duplicates().shape[0] < 45
+
+
+@tables
+def test_bootstrap_takes_two_thousand_draws(spark):
+    assert max(r.finite for r in spatial.bootstrap_ci(spark, f"{ROOT}/sf0.1").collect()) == 2000
