@@ -31,7 +31,9 @@ from tessera.llm.common import mixed, sliced
 
 BUCKETS, DIM, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 2
 #: The bounded training sample: rows of either class, in the order of a hash of doc_id, and the longest text taken.
-POSITIVES, NEGATIVES, SAMPLE_CHARS = 1500, 3000, 20_000
+POSITIVES, NEGATIVES, SAMPLE_CHARS = 1500, 4000, 20_000
+#: Words whose windows are held at a time in training.
+PART_WORDS = 1 << 18
 EPOCHS, RATE, SEED = 60, 0.3, 7
 THRESHOLD = 0.7
 ENDS = re.compile(r"^[\W_]+|[\W_]+$")
@@ -85,6 +87,28 @@ def _tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def _slopes(flat: np.ndarray, size: np.ndarray, y: np.ndarray, s: np.ndarray, bias: float, heat: float) -> tuple[np.ndarray, float]:
+    """Of the texts whose words are ``flat``: the loss's slope by each word's logit, and by the bias, as sums."""
+    # windows: every start inside a text, the last ones shortened to the text's end only if it is short
+    width = np.minimum(size, WINDOW)
+    windows = size - width + 1
+    begin = np.cumsum(windows) - windows
+    first = np.repeat((np.cumsum(size) - size - begin).astype(np.int32), windows)
+    first += np.arange(len(first), dtype=np.int32)
+    wide = np.repeat(width.astype(np.int32), windows)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), windows)
+    run = np.r_[0.0, np.cumsum(s[flat])]
+    z = (run[first + wide] - run[first]) / wide + bias
+    top = np.maximum.reduceat(z, begin)
+    p = np.exp(heat * (z - top[doc]))
+    p /= np.add.reduceat(p, begin)[doc]
+    logit = np.add.reduceat(p * z, begin)
+    error = 1 / (1 + np.exp(-logit)) - y
+    dz = p * error[doc] / wide
+    edge = np.bincount(first, dz, len(flat) + 1) - np.bincount(first + wide, dz, len(flat) + 1)
+    return np.bincount(flat, np.cumsum(edge)[:-1], len(s)), error.sum()
+
+
 def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
     """Fit embeddings and softmax together by full-batch Adagrad."""
     y = np.array(toxic, float)
@@ -101,14 +125,9 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float
     del words
     counts = [np.diff(np.r_[at, len(r)]).astype(np.int32) for r, at in parts]
     cuts = np.cumsum([len(c) for c in counts])[:-1]
-    # windows: every start inside a text, the last ones shortened to the text's end only if it is short
-    width = np.minimum(size, WINDOW)
-    windows = size - width + 1
-    begin = np.cumsum(windows) - windows
-    first = np.repeat((np.cumsum(size) - size - begin).astype(np.int32), windows)
-    first += np.arange(len(first), dtype=np.int32)
-    wide = np.repeat(width.astype(np.int32), windows)
-    doc = np.repeat(np.arange(len(y), dtype=np.int32), windows)
+    ends = np.cumsum(size)
+    edges = np.unique(np.r_[0, np.searchsorted(ends, np.arange(PART_WORDS, ends[-1], PART_WORDS)), len(size)])
+    spans = [(slice(i, j), slice(ends[i] - size[i], ends[j - 1])) for i, j in zip(edges[:-1], edges[1:], strict=True)]
     rng = np.random.default_rng(seed)
     table, v = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 1, DIM)
     bias = float(np.log(y.mean() / (1 - y.mean())))
@@ -116,25 +135,21 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float
     for epoch in range(epochs):
         u = table @ v
         s = np.concatenate([np.add.reduceat(u[r], at) / n for (r, at), n in zip(parts, counts, strict=True)])
-        run = np.r_[0.0, np.cumsum(s[flat])]
-        z = (run[first + wide] - run[first]) / wide + bias
         heat = 0.5 + 4.0 * epoch / epochs
-        top = np.maximum.reduceat(z, begin)
-        p = np.exp(heat * (z - top[doc]))
-        p /= np.add.reduceat(p, begin)[doc]
-        logit = np.add.reduceat(p * z, begin)
-        error = (1 / (1 + np.exp(-logit)) - y) / len(y)
-        dz = p * error[doc] / wide
-        edge = np.bincount(first, dz, len(flat) + 1) - np.bincount(first + wide, dz, len(flat) + 1)
-        ds = np.split(np.bincount(flat, np.cumsum(edge)[:-1], n_words), cuts)
+        ds, errors = np.zeros(n_words), 0.0
+        for texts_of, words_of in spans:
+            d, e = _slopes(flat[words_of], size[texts_of], y[texts_of], s, bias, heat)
+            ds += d / len(y)
+            errors += e / len(y)
+        ds = np.split(ds, cuts)
         c = sum(np.bincount(r, np.repeat(d / n, n), BUCKETS) for (r, _), d, n in zip(parts, ds, counts, strict=True))
         d_table, d_v = c[:, None] * v, table.T @ c
         g_table += d_table**2
         g_v += d_v**2
-        g_bias += error.sum() ** 2
+        g_bias += errors**2
         table -= rate * d_table / np.sqrt(g_table)
         v -= rate * d_v / np.sqrt(g_v)
-        bias -= rate * error.sum() / np.sqrt(g_bias)
+        bias -= rate * errors / np.sqrt(g_bias)
     return Model(table @ v, float(bias))
 
 

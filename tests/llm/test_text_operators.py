@@ -235,3 +235,14 @@ def test_toxicity_edge_rows_and_bounds(spark):
     nothing = toxicity.fit(docs, known.where("toxic = 2"))
     assert {r.score for r in toxicity.scored(docs, nothing).collect()} == {0.0}
     assert toxicity.scored(frame(spark, []), model).count() == 0
+
+
+def test_toxicity_samples_4000_clean_rows_and_trains_alike_in_parts(spark, monkeypatch):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    assert toxicity.sample(docs, docs.select("doc_id", F.lit(0).alias("toxic"))).count() == 4000
+    random.seed(5)
+    texts = [" ".join(random.choices("abc bcd cde def efg fgh".split(), k=random.choice([0, 1, 2, 40]))) for _ in range(60)]
+    whole = toxicity.train(texts, [k % 3 == 0 for k in range(60)], epochs=5)
+    monkeypatch.setattr(toxicity, "PART_WORDS", 50)
+    parts = toxicity.train(texts, [k % 3 == 0 for k in range(60)], epochs=5)
+    assert abs(whole.weights - parts.weights).max() < 1e-9 and abs(whole.bias - parts.bias) < 1e-9
