@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,20 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(k, rows)
 
 
+def weighed(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches whose texts in ``column`` take at most ``most`` bytes together, or of one row."""
+    for batch in batches:
+        sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+        start = held = 0
+        for k, size in enumerate(sizes.tolist()):
+            if held and held + size > most:
+                yield batch.slice(start, k - start)
+                start, held = k, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the first ``limit`` different words of a task."""
 

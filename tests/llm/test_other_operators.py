@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -139,9 +140,11 @@ def test_a_group_larger_than_a_shard_is_spread(spark):
     assert max(load.values()) <= 1.05 * sum(load.values()) / 8
 
 
-def test_wavelet_matrix_queries():
+@pytest.mark.parametrize("frame", [wavelet.FRAME, 2048])
+def test_wavelet_matrix_queries(monkeypatch, frame):
+    monkeypatch.setattr(wavelet, "FRAME", frame)
     rng = np.random.default_rng(3)
-    for n, top in ((0, 5), (1, 1), (3000, 300), (2000, 70_000)):
+    for n, top in ((0, 5), (1, 1), (2048, 3), (5000, 300), (2000, 70_000)):
         t = rng.integers(0, top, n)
         ids, lengths, m = wavelet.from_file(wavelet.to_file([5, None], [n, 0], t))
         assert (m.tokens() == t).all() and ids.tolist() == [5, wavelet.NO_DOC] and lengths.tolist() == [n, 0]
@@ -176,6 +179,18 @@ def test_token_shards_round_trip(spark):
     assert wavelet.read_documents(wavelet.written(documents(spark, []), BYTES)).count() == 0
 
 
+def test_token_shards_of_odd_rows(spark):
+    library = Tokenizer.from_file(BYTES)
+    rows = [(None, "no id", "s"), (None, "no id", "s"), (7, "b", "s"), (7, "a", "s"), (7, "a", "s"), (9, "x1 " * 40_000, "s"), (8, "y" * 100_000, "s"), (-(1 << 40), "least", "s")]
+    files = wavelet.written(documents(spark, rows).withColumn("tie__", F.lit("clash")), BYTES)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in wavelet.read_documents(files).collect())
+    assert [r[1] for r in got] == [None, None, -(1 << 40), 7, 7, 7, 8, 9]
+    assert got[0][0] == 0 and all(a[0] + a[2] == b[0] for a, b in itertools.pairwise(got))
+    assert sorted(r[2] for r in got) == sorted(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in rows)
+    m = wavelet.from_file(wavelet.to_file([1], [6], np.array([5, 9, 5, 2, 5, 9])))[2]
+    assert [m.access(k) for k in range(6)] == [5, 9, 5, 2, 5, 9] and m.occurrences(5) == [0, 2, 4] and m.count(3) == 0 and m.count(-1) == 0
+
+
 def filled(sizes, weights):
     budget, capped = 1.5 * sum(sizes.values()), set()
     while True:
