@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -172,14 +172,35 @@ def forest(a: np.ndarray, b: np.ndarray, links: np.ndarray) -> tuple[np.ndarray,
             return nodes, nodes[label]
 
 
-def dealt(rows: DataFrame, key: str, block: int) -> DataFrame:
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have: ``names``, lengthened where they clash."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def dealt(rows: DataFrame, key: str, block: int, weight: str | None = None, most: int = 1, settled: str | None = None) -> DataFrame:
     """``rows`` sorted within partitions by ``key, low, high``: groups of over ``block`` rows are dealt out as pairs of blocks.
 
-    Each row gets the ``block`` it belongs to and stands in every pair of blocks that has it.
+    Each row gets the ``block`` it belongs to and stands in every pair of blocks that has it. With a
+    column ``weight``, blocks hold about ``most`` of it at most too, or one row. Rows that are
+    ``settled`` among each other need not meet: they have blocks of their own, which are not paired.
     """
-    large = rows.groupBy(key).agg(F.count("*").alias("n__")).where(F.col("n__") > block).select(key, F.ceil(F.col("n__") / block).cast("int").alias("parts__"))
-    rows = rows.join(large, key, "left").withColumn("parts__", F.coalesce("parts__", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts__")).cast("int"))
-    rows = rows.withColumn("other__", F.explode(F.sequence(F.lit(0), F.col("parts__") - 1)))
-    rows = rows.withColumn("low", F.least("block", "other__")).withColumn("high", F.greatest("block", "other__")).drop("parts__", "other__")
+    rows = rows.withColumn("settled__", F.col(settled) if settled else F.lit(False))
+
+    def parts(of: Column) -> Column:
+        n = F.count(F.when(of, 1))
+        by_weight = F.least(n, F.ceil(F.coalesce(F.sum(F.when(of, F.col(weight))), F.lit(0)) / most)) if weight else F.lit(0)
+        return F.greatest(F.ceil(n / block), by_weight).cast("int")
+
+    large = rows.groupBy(key).agg(parts(F.lit(True)).alias("all__"), parts(~F.col("settled__")).alias("open__"), parts(F.col("settled__")).alias("shut__")).where("all__ > 1").drop("all__")
+    rows = rows.join(large, key, "left").withColumn("open__", F.coalesce("open__", F.lit(1))).withColumn("shut__", F.coalesce("shut__", F.lit(0)))
+    apart, of_hash = F.col("settled__") & (F.col("shut__") > 0), F.xxhash64("node")
+    rows = rows.withColumn("block", F.when(apart, F.col("open__") + F.pmod(of_hash, F.col("shut__"))).otherwise(F.pmod(of_hash, F.col("open__"))).cast("int"))
+    rows = rows.withColumn("other__", F.explode(F.sequence(F.lit(0), F.when(apart, F.col("open__") - 1).otherwise(F.col("open__") + F.col("shut__") - 1))))
+    rows = rows.withColumn("low", F.least("block", "other__")).withColumn("high", F.greatest("block", "other__")).drop("open__", "shut__", "other__", "settled__")
     return rows.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")

@@ -33,6 +33,25 @@ def test_events_fold_to_final_messages(spark):
     assert got == {(1, 1): ("user", "Hi!"), (1, 2): ("assistant", "good one"), (2, 1): ("", ""), (None, 1): ("user", "x")}
 
 
+def test_events_of_equal_seq_count_in_order_of_kind_and_text(spark):
+    schema = "conv_id long, seq long, message long, kind string, role string, text string"
+    cases = {
+        1: ([("delta", "old"), ("edit", "new")], "new"), 2: ([("edit", "A"), ("edit", "B")], "B"), 3: ([("delta", "x"), ("regenerate", "y")], "y"), 4: ([("edit", "same"), ("edit", "same")], "same"),
+        5: ([("delta", "b"), ("delta", "a"), ("delta", "a")], "aab"), 6: ([("regenerate", "r"), ("edit", "e")], "r"),
+    }
+    log = [(c, 1, 1, kind, "user", text) for c, (events, _) in cases.items() for kind, text in events]
+    for c in (1, 2):
+        df = spark.createDataFrame(log if c == 1 else log[::-1], schema).withColumn("since", F.lit(9)).withColumn("parts", F.lit(9)).withColumn("event", F.lit(9))
+        assert {r.conv_id: r.text for r in chat.folded(df).collect()} == {c: want for c, (_, want) in cases.items()}
+
+
+def test_chat_logs_hold_every_kind_of_event(spark):
+    df = spark.createDataFrame([(1, 0, "user", "question"), (1, 1, "assistant", "an answer"), (1, 2, "user", None)], "conv_id long, turn long, role string, text string")
+    log = chat.as_events(df)
+    assert {r.kind for r in log.collect()} == {"delta", "edit", "regenerate"}
+    assert [(r.role, r.text) for r in chat.folded(log).orderBy("message").collect()] == [("user", "question"), ("assistant", "an answer"), ("user", "")]
+
+
 def test_chat_reads_back_whatever_texts_hold(spark):
     rng = random.Random(2)
     bits = ["</s>", "<s>", "[INST]", "[/INST]", "[INST] ", " [/INST]", "\\", "\\!", "!", "<", "/s>", "[", "é😀", "\n", "$1", ""]
@@ -93,6 +112,22 @@ def hard_vectors(n=500, seed=5):
     return out + [None, [], [0.0] * 64, [float("nan")] * 64, [None] * 64, [float("inf")] + [0.0] * 63, [1.0] * 3]
 
 
+@pytest.mark.parametrize("rows", [1000, 1 << 20, 1 << 28, 1 << 40])
+def test_pairs_at_the_threshold_meet_whatever_the_blocks(rows):
+    rng, n = np.random.default_rng(8), 600
+    a, o = rng.normal(size=(2, n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o -= (o * a).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    blocks, tables = lattice_dedup.blocks_and_tables(rows)
+    x, y = lattice_dedup.cell_keys(a, blocks, tables), lattice_dedup.cell_keys(b, blocks, tables)
+    assert np.mean([bool(set(p) & set(q)) for p, q in zip(x.tolist(), y.tolist(), strict=True)]) >= 0.99
+
+
+def test_block_numbers_follow_the_rows():
+    assert [lattice_dedup.blocks_and_tables(n)[0] for n in (0, 1 << 18, (1 << 18) + 1, 1 << 28, 1 << 40, 1 << 60)] == [1, 1, 2, 3, 4, 4]
+
+
 @pytest.mark.parametrize(("block", "rows_per_block"), [(2048, 1 << 18), (32, 1 << 18), (2048, 200)])
 def test_vector_links_against_brute_force(spark, monkeypatch, block, rows_per_block):
     monkeypatch.setattr(lattice_dedup, "ROWS_PER_BLOCK", rows_per_block)
@@ -229,6 +264,14 @@ def test_mix_rows_are_repeated(spark):
     assert got == {r.doc_id: -(-r.taken // r.size) for r in mix.collect() if r.taken}
 
 
+def test_repeated_rows_keep_columns_of_any_name(spark):
+    docs = documents(spark, [(1, "a b", "x"), (1, "a b", "x"), (2, "c d", None), (None, "e f g", "x")])
+    for c in ("tie__", "copy__", "times", "copy", "doc", "tie", "id__"):
+        docs = docs.withColumn(c, F.lit(c))
+    got = mixing.repeated(docs, mixing.mixed(mixing.sized(docs)))
+    assert got.columns == docs.columns and got.count() >= 4 and {(r.tie__, r.copy__, r.doc) for r in got.collect()} == {("tie__", "copy__", "doc")}
+
+
 def test_pipeline_stages_compose(spark, tmp_path):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice(["ba", "no", "ri", "ta"]) for _ in range(3))

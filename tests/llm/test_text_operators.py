@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -40,6 +41,17 @@ def test_sentencepiece_equals_the_library(spark, library):
         assert sentencepiece_bpe.Vocabulary(PIECES).decode(ids) == got[k].decoded if k < 3 else True
 
 
+def test_long_words_equal_the_library_and_take_no_long(library):
+    rng = random.Random(3)
+    v = sentencepiece_bpe.Vocabulary(PIECES)
+    words = ["new" * 3000, "a" * 5000, "".join(rng.choices("ABCDEFabcdef0123456789+/", k=6000)), "".join(rng.choices("thein1é中😀", k=4000)), "ab"]
+    for w in words:
+        assert v.encode_long(sentencepiece_bpe.SPACE + w) == library.encode(w), w[:20]
+    began = time.process_time()
+    v.encode_long("new" * 10_667)
+    assert time.process_time() - began < 2
+
+
 def test_sentencepiece_digests_and_empty_table(spark, library):
     r = sentencepiece_bpe.encode_digests(frame(spark, ["Hello  world"]), PIECES).first()
     ids = library.encode("Hello  world")
@@ -74,6 +86,18 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, limit):
     for k, want in enumerate(brute_lines(texts, 10)):
         assert (got[k].text, got[k].n_lines, got[k].n_dropped) == want
     assert line_dedup.drop_lines(frame(spark, [])).count() == 0
+    clash = frame(spark, texts)
+    for c in ("id__", "th", "th_", "id", "confirmed", "n_lines"):
+        clash = clash.withColumn(c, F.lit(c))
+    found = line_dedup.drop_lines(clash, 10)
+    assert found.columns == [*clash.drop("n_lines").columns, "n_lines", "n_dropped"]
+    assert {(r.doc_id, r.text, r.n_dropped) for r in found.collect()} == {(r.doc_id, r.text, r.n_dropped) for r in got.values()}
+
+
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    docs = frame(spark, ["x\ny"] * 6 + ["x\nz"] * 6, [None, None, 1, 1, 1, 2] + [1] * 6)
+    got = sorted((str(r.doc_id), r.text) for r in line_dedup.drop_lines(docs, 10).collect())
+    assert got == sorted([("None", "y")] * 2 + [("1", "y")] * 3 + [("2", "y")] + [("1", "z")] * 6)
 
 
 def test_line_counts_are_reversible(spark):
@@ -89,7 +113,21 @@ def test_line_counts_are_reversible(spark):
     held = line_dedup.CuckooFilter.from_bytes(up["filter"])
     assert held.holds(np.array([hot.k1]), np.array([hot.k2])).all()
     down = line_dedup.changed_filters(line_dedup.filters(grown, 11), grown, back, 11).first()
-    assert not line_dedup.CuckooFilter.from_bytes(down["filter"]).table.any()
+    assert not line_dedup.CuckooFilter.from_bytes(down["filter"]).tables[0].any()
+    # the shards stay those of the old filters, whatever is asked for
+    again = line_dedup.changed_filters(line_dedup.filters(grown, 1, 3), grown, back, 1, shards=8).collect()
+    assert {r.shards for r in again} == {3}
+
+
+def test_a_full_filter_grows_and_loses_nothing():
+    rng = np.random.default_rng(4)
+    k1, k2 = rng.integers(-(1 << 62), 1 << 62, (2, 3000))
+    f = line_dedup.CuckooFilter.sized(100)
+    for a, b in zip(k1.tolist(), k2.tolist(), strict=True):
+        f.add(a, b)
+    f = line_dedup.CuckooFilter.from_bytes(f.to_bytes())
+    assert len(f.tables) > 1 and f.holds(k1, k2).all()
+    assert all(f.remove(a, b) for a, b in zip(k1.tolist(), k2.tolist(), strict=True)) and not any(t.any() for t in f.tables)
 
 
 def test_cuckoo_filter_holds_all_and_forgets():
@@ -107,7 +145,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-def brute_components(texts):
+def brute_components(texts, percent=75):
     sets, root = [shingles(t) for t in texts], list(range(len(texts)))
 
     def find(x):
@@ -117,7 +155,7 @@ def brute_components(texts):
 
     for i, j in itertools.combinations(range(len(texts)), 2):
         both = len(sets[i] & sets[j])
-        if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+        if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
             a, b = find(i), find(j)
             root[max(a, b)] = min(a, b)
     return [find(k) for k in range(len(texts))], [len(s) for s in sets]
@@ -141,11 +179,11 @@ def near_copies(count, seed=3):
     return texts
 
 
-@pytest.mark.parametrize("block", [16, 512])
-def test_near_dedup_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "leaders"), [(512, minhash_dedup.LEADERS), (16, ()), (16, (1,)), (512, ())])
+def test_near_dedup_against_brute_force(spark, block, leaders):
     texts = near_copies(60) + ODD + ["one two", "one two", "p q r s t u v w x y " * 40, "p q r s t u v w x y " * 41]
     want, sizes = brute_components(texts)
-    got = {r.doc_id: r for r in minhash_dedup.components(frame(spark, texts), block=block).collect()}
+    got = {r.doc_id: r for r in minhash_dedup.components(frame(spark, texts), block=block, leaders=leaders).collect()}
     assert [got[k].component_id for k in range(len(texts))] == want
     assert [got[k].n_shingles for k in range(len(texts))] == sizes
     assert all(got[k].kept == (want[k] == k) for k in got)
@@ -159,6 +197,41 @@ def test_near_dedup_edge_rows(spark):
     assert minhash_dedup.deduplicated(frame(spark, ["a b c d e f"] * 3)).columns == frame(spark, []).columns
 
 
+@pytest.mark.parametrize("leaders", [(1, 4), ()])
+def test_near_dedup_at_another_threshold(spark, leaders):
+    texts = near_copies(25, 9)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.components(frame(spark, texts), threshold=0.25, leaders=leaders).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_components(texts, 25)[0]
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    text = "a b c d e f g h i j k l m n o p q r s t"
+    other = "other words stand in this one so it links with nothing at all"
+    # id 5 stands on a copy and on a text of its own; 1 stands twice on the same text
+    rows = [(1, text), (1, text), (5, text + " u"), (5, other), (6, text), (7, None), (7, None), (None, text), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("gone__", "th", "id", "node", "first", "th_", "kept"):
+        docs = docs.withColumn(c, F.lit(c))
+    got = minhash_dedup.deduplicated(docs)
+    assert got.columns == docs.columns and {r.th for r in got.collect()} == {"th"}
+    kept = sorted((str(r.doc_id), str(r.text)) for r in got.collect())
+    assert kept == sorted([("1", text), ("5", other), ("7", "None"), ("7", "None"), ("None", text), ("None", text)])
+
+
+def test_meetings_of_sketches():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 90)).astype(np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 62, rng.integers(1, 30)).astype(np.uint64)])
+        pad = lambda x: np.r_[x[:64], np.full(max(0, 64 - len(x)), np.iinfo(np.uint64).max)][None]
+        got = minhash_dedup.meeting(pad(a), np.array([min(64, len(a))]), pad(b), np.array([min(64, len(b))]), 64, 0.75)[0]
+        both, union = np.intersect1d(a, b), np.union1d(a, b)
+        if max(len(a), len(b)) < 64:
+            assert got == 2 * (100 * len(both) >= 75 * len(union))
+        else:
+            assert got == (len(np.intersect1d(both, union[:64])) >= minhash_dedup.sketch_overlap())
+
+
 def test_shared_counts_are_exact():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 300))).astype(np.uint64) for _ in range(20)]
@@ -216,7 +289,7 @@ def labelled(n, seed=4):
 def test_toxicity_learns_and_generalises_to_misspellings():
     texts, labels = labelled(600)
     model = toxicity.train(texts[:400], labels[:400])
-    score = lambda t: model.bias + max(np.convolve(model.words(toxicity._tokens(t)), np.ones(2) / 2, "valid"))
+    score = lambda t: model.bias + toxicity.averaged(model.words(toxicity._tokens(t)))
     got = [score(t) > 0 for t in texts[400:]]
     assert np.mean([g == bool(y) for g, y in zip(got, labels[400:], strict=True)]) > 0.97
     a, b = model.words(["groobnik", "banori"])
@@ -235,6 +308,15 @@ def test_toxicity_edge_rows_and_bounds(spark):
     nothing = toxicity.fit(docs, known.where("toxic = 2"))
     assert {r.score for r in toxicity.scored(docs, nothing).collect()} == {0.0}
     assert toxicity.scored(frame(spark, []), model).count() == 0
+    # one row for each id, and no more characters than asked for
+    repeated = frame(spark, [f"text {k}" for k in range(300)], [0] * 300)
+    assert toxicity.sample(repeated, known).count() == 1
+    held = toxicity.sample(docs, known, total=4000).collect()
+    assert 0 < sum(len(r.text) for r in held) <= 4000 < sum(map(len, texts))
+    # a toxic word counts wherever it stands in a long clean text
+    clean = " ".join(t for t, y in zip(texts, labels, strict=True) if not y)
+    low, high = (r.score for r in toxicity.scored(frame(spark, [clean * 5, clean * 5 + " grobnik"]), model).orderBy("doc_id").collect())
+    assert high > low + 0.2
 
 
 def test_toxicity_samples_4000_clean_rows_and_trains_alike_in_parts(spark, monkeypatch):
