@@ -3,15 +3,19 @@
 Native: DataFrame functions only. An event is ``(conv_id, seq, message, kind, role, text)``.
 ``delta`` appends its text to its message; ``edit`` replaces what the message held; ``regenerate``
 voids its message and every later one, and starts it anew with its own text. Events count in the
-order of ``seq``. Folding needs two windows: the last edit of a message, and the last regeneration
-of it or of an earlier message; what came before either is dropped and the rest is joined in order.
+order of ``seq``, then kind (delta, edit, regenerate), role and text. Folding needs two windows: the
+last edit of a message, and the last regeneration of it or of an earlier message; what came before
+either in that order is dropped and the rest is joined.
 
 The template writes ``[INST] role [/INST]text</s>`` for every turn. A control string inside a role or
 text gets ``\\!`` after its first character, and a backslash is doubled, so that reading back is exact.
 
-Edge cases: a null role or text is empty; a null ``conv_id`` is a conversation of its own; events with
-equal ``seq`` are ordered by kind and text; messages that are voided and not written again are gone; an
-empty log gives no rows. A conversation is one row of the result and has to fit into one task.
+Edge cases: a null role or text is empty; a null ``conv_id`` is a conversation of its own; of events with
+equal ``seq`` an edit or regeneration voids the deltas, and the last one in the order above counts;
+repeated deltas append each, repeated edits and regenerations count once; messages that are voided and
+not written again are gone; columns of other names are ignored, whatever they are called; an empty log
+gives no rows. A conversation, with whatever long texts it holds, is one row of the result and has to
+fit into one task.
 """
 
 from __future__ import annotations
@@ -37,11 +41,15 @@ def unescaped(text: Column) -> Column:
 
 def folded(events: DataFrame) -> DataFrame:
     """``(conv_id, message, role, text)``: the messages that the log leaves, one row each."""
+    role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    events = events.select("conv_id", "message", F.struct("seq", "kind", role, text).alias("event"))
     conversation, message = Window.partitionBy("conv_id"), Window.partitionBy("conv_id", "message")
-    edit = F.max(F.when(F.col("kind") == "edit", F.col("seq"))).over(message)
-    anew = F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(conversation.orderBy("message").rangeBetween(Window.unboundedPreceding, 0))
-    live = events.withColumn("since__", F.greatest(edit, anew)).where("since__ is null or seq >= since__")
-    parts = live.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("parts"))
+    edit = F.max(F.when(F.col("event.kind") == "edit", F.col("event"))).over(message)
+    anew = F.max(F.when(F.col("event.kind") == "regenerate", F.col("event"))).over(conversation.orderBy("message").rangeBetween(Window.unboundedPreceding, 0))
+    live = events.withColumn("since", F.greatest(edit, anew)).where("since is null or event >= since")
+    parts = live.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list("event")).alias("parts"))
+    # of what is left, at most the first in order is an edit or regeneration: further ones are its repeats
+    parts = parts.withColumn("parts", F.filter("parts", lambda x, k: (k == 0) | (x["kind"] == "delta")))
     return parts.select("conv_id", "message", F.element_at("parts", -1)["role"].alias("role"), F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("text"))
 
 
@@ -75,7 +83,18 @@ def read_back(chats: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Rows ``(conv_id, turn, role, text)`` as a log: every row, repeats too, is a message of one delta, by turn."""
+    """Rows ``(conv_id, turn, role, text)`` as the log of a chat client: every row, repeats too, is a message, by turn.
+
+    A text arrives as two streamed deltas. What a user types first is its first half, which an edit then
+    replaces; an assistant's first attempt breaks off after its first half and is regenerated.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    place = F.row_number().over(order).cast("long")
-    return conversations.select("conv_id", place.alias("seq"), place.alias("message"), F.lit("delta").alias("kind"), "role", "text")
+    rows = conversations.select("conv_id", F.row_number().over(order).cast("long").alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    rows = rows.withColumn("head", F.substring("text", F.lit(1), half)).withColumn("tail", F.substring("text", half + 1, F.char_length("text")))
+    event = lambda n, kind, text: F.struct((F.col("message") * 4 + n).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    delta = lambda n, c: event(n, "delta", F.col(c))
+    asked = F.array(delta(0, "head"), event(1, "edit", F.col("head")), delta(2, "tail"))
+    said = F.array(delta(0, "head"), event(1, "regenerate", F.lit("")), delta(2, "head"), delta(3, "tail"))
+    log = F.when(F.col("role") == "assistant", said).otherwise(asked)
+    return rows.select("conv_id", "message", "role", F.inline(log)).select("conv_id", "seq", "message", "kind", "role", "text")
