@@ -1,19 +1,19 @@
 """Toxicity: bags of subword vectors, averaged, into a linear softmax; trained jointly in numpy.
 
 A word is the bag of its character 3- to 5-grams (with word ends) and itself, each hashed to a row
-of one embedding table; its vector is their mean, so that an unseen misspelling shares most of it.
-Vectors are averaged over windows of ``WINDOW`` words and go into a two-class softmax; a text's
-score is that of its worst window, for a long clean text must not hide a toxic sentence. Training
-runs on the driver over a bounded sample of labelled rows (``POSITIVES``, ``NEGATIVES``,
-``SAMPLE_CHARS``) and sets embeddings and softmax together: each text's gradient goes to its windows
-by a softmax over their logits, from nearly even at first to nearly the worst window at last.
-Scoring reads every word of every text. It needs only the product of table and softmax weights, an
-array of fixed size, in each task.
+of one embedding table; its vector is their mean, so that an unseen misspelling shares most of it. A
+text's vector is the average of its words', and goes into a two-class softmax. The average is
+weighted: each word weighs ``exp(HEAT * its own logit)``, for in an even average a long clean text
+hides a toxic sentence. The same weights hold in training, where ``heat`` rises from nearly even to
+``HEAT``, so embeddings and softmax are set together by the gradient of one loss. Training runs on the
+driver over a bounded sample of labelled rows (``POSITIVES``, ``NEGATIVES``, ``SAMPLE_CHARS``,
+``TOTAL_CHARS``), one row for each ``doc_id``. Scoring reads every word of every text. It needs only
+the product of table and softmax weights, an array of fixed size, in each task.
 
 Edge cases: null, empty and blank texts get the score of the bias alone; without labels of both
 classes there is nothing to learn and all scores are 0; rows that repeat a ``doc_id`` are scored
-each by itself; a ``doc_id`` with several labels counts as toxic if one says so; a null ``doc_id`` is
-never a training row.
+each by itself, and one of them at most is learnt from; a ``doc_id`` with several labels counts as toxic
+if one says so; a null ``doc_id`` is never a training row; a column ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -24,15 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import mixed, sliced
 
-BUCKETS, DIM, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 2
-#: The bounded training sample: rows of either class, in the order of a hash of doc_id, and the longest text taken.
-POSITIVES, NEGATIVES, SAMPLE_CHARS = 1500, 4000, 20_000
-#: Words whose windows are held at a time in training.
+BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
+#: How strongly a word's own logit raises its weight in the average of its text.
+HEAT = 4.5
+#: The bounded training sample: rows of either class, in the order of a hash of doc_id, the longest text taken, and all texts together.
+POSITIVES, NEGATIVES, SAMPLE_CHARS, TOTAL_CHARS = 1500, 4000, 20_000, 24_000_000
+#: Words that are weighed at a time in training.
 PART_WORDS = 1 << 18
 EPOCHS, RATE, SEED = 60, 0.3, 7
 THRESHOLD = 0.7
@@ -87,26 +89,21 @@ def _tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def averaged(words: np.ndarray, heat: float = HEAT) -> float:
+    """Logit of a text: the weighted average of its words' logits, which is the softmax's logit of the averaged vectors."""
+    weight = np.exp(heat * (words - words.max()))
+    return float(weight @ words / weight.sum())
+
+
 def _slopes(flat: np.ndarray, size: np.ndarray, y: np.ndarray, s: np.ndarray, bias: float, heat: float) -> tuple[np.ndarray, float]:
-    """Of the texts whose words are ``flat``: the loss's slope by each word's logit, and by the bias, as sums."""
-    # windows: every start inside a text, the last ones shortened to the text's end only if it is short
-    width = np.minimum(size, WINDOW)
-    windows = size - width + 1
-    begin = np.cumsum(windows) - windows
-    first = np.repeat((np.cumsum(size) - size - begin).astype(np.int32), windows)
-    first += np.arange(len(first), dtype=np.int32)
-    wide = np.repeat(width.astype(np.int32), windows)
-    doc = np.repeat(np.arange(len(y), dtype=np.int32), windows)
-    run = np.r_[0.0, np.cumsum(s[flat])]
-    z = (run[first + wide] - run[first]) / wide + bias
-    top = np.maximum.reduceat(z, begin)
-    p = np.exp(heat * (z - top[doc]))
-    p /= np.add.reduceat(p, begin)[doc]
-    logit = np.add.reduceat(p * z, begin)
-    error = 1 / (1 + np.exp(-logit)) - y
-    dz = p * error[doc] / wide
-    edge = np.bincount(first, dz, len(flat) + 1) - np.bincount(first + wide, dz, len(flat) + 1)
-    return np.bincount(flat, np.cumsum(edge)[:-1], len(s)), error.sum()
+    """Of the texts whose words are ``flat``: the loss's slope by each word's logit (weights held), and by the bias, as sums."""
+    begin = np.cumsum(size) - size
+    text = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    z = s[flat]
+    p = np.exp(heat * (z - np.maximum.reduceat(z, begin)[text]))
+    p /= np.add.reduceat(p, begin)[text]
+    error = 1 / (1 + np.exp(-np.add.reduceat(p * z, begin) - bias)) - y
+    return np.bincount(flat, p * error[text], len(s)), error.sum()
 
 
 def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
@@ -135,7 +132,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float
     for epoch in range(epochs):
         u = table @ v
         s = np.concatenate([np.add.reduceat(u[r], at) / n for (r, at), n in zip(parts, counts, strict=True)])
-        heat = 0.5 + 4.0 * epoch / epochs
+        heat = 0.5 + (HEAT - 0.5) * epoch / epochs
         ds, errors = np.zeros(n_words), 0.0
         for texts_of, words_of in spans:
             d, e = _slopes(flat[words_of], size[texts_of], y[texts_of], s, bias, heat)
@@ -158,13 +155,17 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """At most ``positives + negatives`` labelled texts outside the held-out third."""
+def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, chars: int = SAMPLE_CHARS, total: int = TOTAL_CHARS) -> DataFrame:
+    """At most ``positives + negatives`` labelled texts outside the held-out third, each ``doc_id`` once, of ``total`` characters at most."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     pick = known.where("toxic = 1").orderBy(order, "doc_id").limit(positives).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(negatives))
     # at most positives + negatives rows of two numbers are broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").where(F.length("text") <= chars)
+    found = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").where(F.length("text") <= chars)
+    one = found.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    # the window without partitions runs over at most positives + negatives rows
+    held = F.sum(F.length("text")).over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return one.withColumn("held__", held).where(F.col("held__") <= total).drop("held__")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds) -> Model:
@@ -188,10 +189,7 @@ def _scores(weights, bias: float, cache_words: int):
                 scores = np.full(len(docs), bias)
                 for k, d in enumerate(docs):
                     if d:
-                        s = np.array([cache[w] if w in cache else now[w] for w in d]) if now else np.fromiter(map(cache.__getitem__, d), float, len(d))
-                        wide = min(WINDOW, len(d))
-                        total = np.r_[0.0, np.cumsum(s)]
-                        scores[k] += (total[wide:] - total[:-wide]).max() / wide
+                        scores[k] += averaged(np.array([cache[w] if w in cache else now[w] for w in d]) if now else np.fromiter(map(cache.__getitem__, d), float, len(d)))
                 scores = 1 / (1 + np.exp(-scores))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
