@@ -1,22 +1,24 @@
 """Near-duplicate vectors by E8 lattice hashing.
 
 Vectors are scaled to length 1, projected at random to ``8 * blocks`` dimensions in each of
-``TABLES`` tables, and every block of eight is decoded to the nearest point of the lattice E8. A
-vector stands in the cell of its own point and in those of its nearest neighbouring points
-(``PROBES``), so pairs cut apart by a cell wall still meet. Within a cell all vectors are compared;
+several tables, and every block of eight is decoded to the nearest point of the lattice E8. A
+vector stands in the cell of its own point and in those of its nearest neighbouring points (``MEETS``),
+so pairs cut apart by a cell wall still meet. Within a cell all vectors are compared;
 only a spanning forest of the links leaves the task, never all pairs. Cells with more than ``BLOCK``
 rows are dealt out as pairs of blocks. Components of the links follow, and then every vector's links
 are counted exactly, in double precision, against its whole component, again in pairs of blocks: a
 link never leaves a component, so all links inside one are found, whether or not cells met.
 
 One block suits up to about ``ROWS_PER_BLOCK`` different vectors; more vectors take more blocks, so
-that cells do not grow with the table, and more tables, so that recall does not fall. At cosine 0.9
-a pair meets in one table of one block with probability 0.9 (measured over random pairs).
+that cells do not grow with the table, and more cells and tables, so that a pair at cosine 0.9 is missed
+about once in a thousand whatever the blocks (``MEETS``, ``MISS``). Cells take 18, 144, 576 or 2,736 keys
+of a vector with one to four blocks; a pair above 0.9 meets more often.
 
 Equal vectors are one class, compared once. Edge cases: vectors that are null, empty, zero or hold
 null or non-finite components link with nothing (0 links, themselves as component); vectors of
 different lengths are never linked; a row with a null ``vec_id`` has no component and is kept;
-rows that repeat a ``vec_id`` count as vectors of their own.
+rows that repeat a ``vec_id`` count as vectors of their own; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import connected_components, dealt, forest, mixed, runs, sliced, stored
 
 THRESHOLD = 0.9
-TABLES, PROBES, SCALE, SEED = 3, 5, 0.2, 11
+SCALE, SEED = 0.2, 11
+#: By blocks: neighbouring points of a block, cells of a table, and how often a pair at cosine 0.9 meets in one table (measured over random pairs).
+MEETS = {1: (5, 6, 0.90), 2: (8, 36, 0.88), 3: (8, 72, 0.58), 4: (8, 144, 0.31)}
+#: Pairs at the threshold that no table may find.
+MISS = 0.001
 BLOCK, ROWS_PER_BLOCK = 2048, 1 << 18
 #: Twice the largest error of a half-precision component of a unit vector, rounded up: a bound on the error of a cosine.
 HALF_ERROR = 0.0015
@@ -84,18 +90,18 @@ def _cells(x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, far
 
 
-def blocks_and_tables(rows: int, tables: int = TABLES) -> tuple[int, int]:
-    """Blocks of eight dimensions, and tables that keep the recall of one block's."""
+def blocks_and_tables(rows: int, miss: float = MISS) -> tuple[int, int]:
+    """Blocks of eight dimensions for so many vectors, and tables that leave ``miss`` of the pairs at the threshold."""
     blocks = 1
-    while rows > ROWS_PER_BLOCK * 100 ** (blocks - 1):
+    while blocks < max(MEETS) and rows > ROWS_PER_BLOCK * 100 ** (blocks - 1):
         blocks += 1
-    miss = (1 - 0.9) ** tables
-    return blocks, tables if blocks == 1 else math.ceil(math.log(miss) / math.log(1 - 0.75**blocks))
+    return blocks, max(1, math.ceil(round(math.log(miss) / math.log(1 - MEETS[blocks][2]), 6)))
 
 
-def cell_keys(x: np.ndarray, blocks: int, tables: int, probes: int = PROBES, scale: float = SCALE, seed: int = SEED) -> np.ndarray:
-    """``(rows, tables * (1 + probes) ** min(blocks, 2))`` cell keys of unit vectors."""
+def cell_keys(x: np.ndarray, blocks: int, tables: int, scale: float = SCALE, seed: int = SEED) -> np.ndarray:
+    """``(rows, tables * cells)`` cell keys of unit vectors."""
     out, dim = [], x.shape[1]
+    probes, cells, _ = MEETS[blocks]
     for t in range(tables):
         rng = np.random.default_rng((seed, t, dim))
         axes = rng.normal(size=(dim, 8 * blocks))
@@ -110,8 +116,10 @@ def cell_keys(x: np.ndarray, blocks: int, tables: int, probes: int = PROBES, sca
             more, farther = _cells(y[:, 8 * b : 8 * b + 8], probes)
             keys = mixed(keys[:, :, None] + mixed(more)[:, None, :] + np.uint64(b)).reshape(len(x), -1)
             far = (far[:, :, None] + farther[:, None, :]).reshape(len(x), -1)
-            keep = np.argsort(far, axis=1, kind="stable")[:, : (1 + probes) ** 2]
-            keys, far = np.take_along_axis(keys, keep, 1), np.take_along_axis(far, keep, 1)
+            # the nearest combinations of points go on
+            if far.shape[1] > cells:
+                keep = np.argpartition(far, cells - 1, axis=1)[:, :cells]
+                keys, far = np.take_along_axis(keys, keep, 1), np.take_along_axis(far, keep, 1)
         out.append(keys + np.uint64(dim))
     return np.concatenate(out, axis=1)
 
@@ -140,7 +148,7 @@ def _unit(raws: list[bytes]) -> np.ndarray:
 
 def _hash(blocks: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1024):
+        for batch in sliced(batches, max(16, 4096 // tables)):
             raws, nodes = batch.column("vector").to_pylist(), np.array(batch.column("node").to_pylist(), np.int64)
             sizes = np.array([len(r) for r in raws])
             for size in np.unique(sizes):
@@ -205,12 +213,12 @@ def _counts(threshold: float):
     return run
 
 
-def linked(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
+def linked(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row for each row of ``vectors`` (``vec_id``, ``embedding``)."""
     base = stored(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_classes, "vec_id long, node long, vector binary"), "vectors")
     usable = base.where("node is not null and vec_id is not null")
     classes = stored(usable.groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"), F.first("vector").alias("vector")), "vector-classes")
-    blocks, tables = blocks_and_tables(classes.count(), tables)
+    blocks, tables = blocks_and_tables(classes.count(), miss)
     cells = classes.select("node", "vector").mapInArrow(_hash(blocks, tables), "cell long, node long, half binary")
     met = dealt(cells, "cell", block).mapInArrow(_links(threshold), "a long, b long, sure boolean")
     met = stored(met.distinct(), "met")
