@@ -2,15 +2,20 @@
 
 The model file is only read for its vocabulary (pieces, scores, byte pieces). Encoding itself is
 done here: the different words of an Arrow batch lie in one flat symbol array, each round finds
-the best pair of every word at once, merges it, and compacts the array, until no pair remains.
+the best pair of every word at once, merges it, and compacts the array, until no pair remains. A
+word of more than ``LONG`` characters takes its pairs from a heap instead, in the same order: where
+merges of one pair may change each other, a round could do a single one.
 
 Edge cases: null is the empty text; the empty text has no ids and decodes to the empty text; very
-long texts and words without spaces are handled whole; repeated rows give equal rows.
+long texts and words without spaces are handled whole; repeated rows give equal rows; extra columns
+pass through ``encode_decode``, where its own names are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -18,11 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import sliced
+from tessera.llm.common import weighed
 
 #: What stands for a space inside pieces (fixed by the model format).
 SPACE = "▁"
 NO_RANK = np.int64(1 << 40)
+#: Longest word of the rounds, and the text that is encoded at a time (one text at least).
+LONG, BATCH_BYTES = 2000, 4 << 20
 
 
 class Vocabulary:
@@ -45,6 +52,7 @@ class Vocabulary:
         for b, i in enumerate(self.byte_ids):
             surface[i] = bytes([b])
         self.surface, self.is_byte = surface, frozenset(self.byte_ids)
+        self.pair = None
         # a better score is a smaller rank; equal scores have equal ranks
         scores = np.array([p.get_score(i) for i in range(n)])
         rank = np.unique(-scores, return_inverse=True)[1].astype(np.int64)
@@ -102,6 +110,8 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word (spaces already written as ``SPACE``), each encoded by itself."""
+        if not words:
+            return []
         text = "".join(words)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         chars, where = np.unique(codes, return_inverse=True)
@@ -156,7 +166,42 @@ class Vocabulary:
             ids = [[int(s)] if s >= 0 else spelled[where[o]] for s, o in zip(symbols.tolist(), origin.tolist(), strict=True)]
             word = np.repeat(word, [len(x) for x in ids])
             symbols = np.array([i for x in ids for i in x], dtype=np.int64)
-        return np.split(symbols, np.searchsorted(word, np.arange(1, len(words)))) if words else []
+        return np.split(symbols, np.searchsorted(word, np.arange(1, len(words))))
+
+    def encode_long(self, word: str) -> list[int]:
+        """Ids of one long word: pairs in the order of rank, then place, from a heap over a linked list of symbols."""
+        if self.pair is None:
+            self.pair = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.whole.tolist(), strict=True), strict=True))
+        symbols = [self.id_of.get(c, -1) for c in word]
+        n, pair, width = len(symbols), self.pair, self.n
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+
+        def offer(i: int, j: int) -> None:
+            a, b = symbols[i], symbols[j]
+            found = pair.get(a * width + b) if a >= 0 and b >= 0 else None
+            if found:
+                heapq.heappush(heap, (found[0], i, a, b, found[1]))
+
+        for k in range(n - 1):
+            offer(k, k + 1)
+        while heap:
+            _, i, a, b, whole = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue
+            symbols[i], symbols[j] = whole, None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        out = []
+        for c, s in zip(word, symbols, strict=True):
+            if s is not None:
+                out += [s] if s >= 0 else [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
+        return out
 
     def _pairs_of(self, symbols: np.ndarray, word: np.ndarray) -> np.ndarray:
         return self._pairs_at(symbols, word, np.arange(len(symbols)))
@@ -183,18 +228,26 @@ class Vocabulary:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+@functools.lru_cache(1)
+def vocabulary(model_file: str) -> Vocabulary:
+    """One vocabulary for each worker process."""
+    return Vocabulary(model_file)
+
+
 def _encoder(model_file: str, cache_words: int, want_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, cache = Vocabulary(model_file), {}
-        for batch in sliced(batches):
+        v, cache = vocabulary(model_file), {}
+        for batch in weighed(batches, "text", BATCH_BYTES):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             words = [v.words_of(x) if x else [] for x in texts]
             fresh = list({w for x in words for w in x if w not in cache})
             now = {}
             for k in range(0, len(fresh), 20_000):
                 part = fresh[k : k + 20_000]
-                for w, ids in zip(part, v.encode_words(part), strict=True):
-                    ids = ids.tolist()
+                short = [w for w in part if len(w) <= LONG]
+                pairs = [*zip(short, v.encode_words(short), strict=True), *((w, v.encode_long(w)) for w in part if len(w) > LONG)]
+                for w, ids in pairs:
+                    ids = ids if isinstance(ids, list) else ids.tolist()
                     now[w] = (len(ids), ",".join(map(str, ids)), b"".join(map(v.surface.__getitem__, ids)))
             if len(cache) + len(now) <= cache_words:
                 cache.update(now)
