@@ -98,9 +98,13 @@ def mixed(rows: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, budget: fl
 
 
 def repeated(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """The mix as rows: each document of ``docs`` once for every time, or started time, that ``mix`` takes it."""
+    """The mix as rows: each document of ``docs`` once for every time, or started time, that ``mix`` takes it.
+
+    So of each source at most one document, that which crosses the target, stands whole where its first words would do.
+    """
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    of_row = mix.where("taken > 0").groupBy(F.col("doc_id").alias("id__"), F.col("source").alias("source__"), F.col("tie__").alias("tie2__")).agg(F.max(times).alias("times__"))
-    # rows that agree in these three are taken alike
-    found = docs.withColumn("tie__", F.xxhash64("text")).join(of_row, F.col("doc_id").eqNullSafe(F.col("id__")) & F.col("source").eqNullSafe(F.col("source__")) & (F.col("tie__") == F.col("tie2__")))
-    return found.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("times__")))).select(*docs.columns)
+    of_row = mix.where("taken > 0").groupBy("doc_id", "source", "tie__").agg(F.max(times).alias("times"))
+    # rows that agree in these three are taken alike; the document's own columns travel as one, so that no name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("tie"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & F.col("doc.source").eqNullSafe(F.col("source")) & (F.col("tie") == F.col("tie__"))
+    return rows.join(of_row, same).select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("doc.*")
