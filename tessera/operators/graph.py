@@ -6,18 +6,21 @@ undirected keys are lexicographic in the text of the ids.
 
 from __future__ import annotations
 
-import heapq
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Largest graph, in arcs, that is sent to every task for shortest paths (about 24 bytes each).
-BROADCAST_ARCS = 50_000_000
+from tessera.sources.shared import stored
+
+#: Largest graph, in arcs, that is sent to every task for shortest paths (about 32 bytes each).
+BROADCAST_ARCS = 10_000_000
+#: Sources that a task takes at once, distances that it holds at most, and arcs that it relaxes at a time.
+SOURCES_AT_ONCE, BLOCK_CELLS, RUN_ARCS = 32, 1 << 22, 1 << 15
 
 
 def segments(arcs: DataFrame) -> DataFrame:
@@ -40,45 +43,123 @@ def collapsed(arcs: DataFrame, weights: tuple[str, ...]) -> DataFrame:
 
 
 class Paths:
-    """Shortest paths over a directed graph in compressed rows."""
+    """Shortest paths over a directed graph in arrays, from a block of sources at a time; weights are positive.
+
+    Distances are relaxed over all arcs at once (only those from nodes that came closer in the last
+    round), in blocks of arcs that share targets. Path counts and dependencies then follow the arcs
+    that shortest paths use, round by round, until nothing changes.
+    """
 
     def __init__(self, n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray):
-        order = np.argsort(u, kind="stable")
-        self.n, self.u, self.v, self.w = n, u[order], v[order], w[order]
-        self.start = np.searchsorted(self.u, np.arange(n + 1))
-
-    def from_source(self, s: int) -> tuple[list[int], dict[int, float], dict[int, float], dict[int, list[int]]]:
-        """Nodes in order of distance, distances, path counts and the arcs that end shortest paths at each node."""
-        dist, count, last, order, done = {s: 0.0}, {s: 1.0}, {s: []}, [], set()
-        heap = [(0.0, s)]
-        start, v, w = self.start, self.v, self.w
-        while heap:
-            d, x = heapq.heappop(heap)
-            if x in done:
-                continue
-            done.add(x)
-            order.append(x)
-            for e in range(start[x], start[x + 1]):
-                y, far = int(v[e]), d + float(w[e])
-                old = dist.get(y)
-                if old is None or far < old - 1e-12 * max(1.0, old):
-                    dist[y], count[y], last[y] = far, count[x], [e]
-                    heapq.heappush(heap, (far, y))
-                elif abs(far - old) <= 1e-12 * max(1.0, old) and y not in done:
-                    count[y] += count[x]
-                    last[y].append(e)
-        return order, dist, count, last
-
-
-def _indexed(arcs: DataFrame, weight: str):
-    """The graph as arrays on the driver, after a check of its size: every source needs the whole graph."""
-    pairs = arcs.groupBy("u", "v").agg(F.min(weight).alias("w")).where("u <> v")
-    if pairs.count() > BROADCAST_ARCS:
-        raise ValueError(f"more than {BROADCAST_ARCS} arcs: cut the graph by region first")
-    pdf = pairs.toPandas().sort_values(["u", "v"])
-    ids = np.array(sorted({*pdf["u"], *pdf["v"]}), dtype=object)
-    place = {x: k for k, x in enumerate(ids.tolist())}
-    return ids, Paths(len(ids), pdf["u"].map(place).to_numpy(np.int64), pdf["v"].map(place).to_numpy(np.int64), pdf["w"].to_numpy(float))
+        if len(w) and not w.min() > 0:
+            raise ValueError("weights must be positive")
+        order = np.argsort(v, kind="stable")
+        self.n, self.order, self.u, self.v, self.w = n, order, u[order], v[order], w[order].astype(float)
+
+    def _runs(self, arcs: np.ndarray) -> Iterator[np.ndarray]:
+        """``arcs`` in slices that end with a target's last arc."""
+        at = 0
+        while at < len(arcs):
+            end = min(at + RUN_ARCS, len(arcs))
+            if end < len(arcs):
+                end = int(np.searchsorted(self.v[arcs], self.v[arcs[end - 1]], side="right"))
+            yield arcs[at:end]
+            at = end
+
+    def distances(self, sources: np.ndarray) -> np.ndarray:
+        """``(n, sources)``, infinite where there is no path."""
+        dist = np.full((self.n, len(sources)), np.inf)
+        dist[sources, np.arange(len(sources))] = 0
+        near = np.zeros(self.n, bool)
+        near[sources] = True
+        while near.any():
+            moved = np.zeros(self.n, bool)
+            for arcs in self._runs(np.flatnonzero(near[self.u])):
+                v = self.v[arcs]
+                starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+                best = np.minimum.reduceat(dist[self.u[arcs]] + self.w[arcs, None], starts, axis=0)
+                at = v[starts]
+                # closer by more than rounding: equal paths must not take turns
+                closer = best < dist[at] * (1 - 1e-12)
+                moved[at[closer.any(1)]] = True
+                dist[at] = np.where(closer, best, dist[at])
+            near = moved
+        return dist
+
+    def _tight(self, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The (arc, source) pairs in which the arc ends a shortest path."""
+        found = []
+        for arcs in self._runs(np.arange(len(self.u))):
+            far = dist[self.v[arcs]]
+            with np.errstate(invalid="ignore"):
+                a, b = np.nonzero(np.abs(dist[self.u[arcs]] + self.w[arcs, None] - far) <= 1e-12 * np.maximum(1.0, far))
+            found.append((arcs[a], b))
+        arcs, column = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        reached = np.isfinite(dist[self.v[arcs], column])
+        return arcs[reached], column[reached]
+
+    def _settled(self, step, first: np.ndarray) -> np.ndarray:
+        now = first
+        for _ in range(self.n + 1):
+            new = step(now)
+            if np.array_equal(new, now):
+                return now
+            now = new
+        raise RuntimeError("shortest paths did not settle")
+
+    def dependencies(self, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Brandes' dependencies of these sources, summed: by node, and by arc in the order given."""
+        if not len(self.u):
+            return np.zeros(self.n), np.zeros(0)
+        dist, k = self.distances(sources), len(sources)
+        arcs, column = self._tight(dist)
+        tail, head = self.u[arcs] * k + column, self.v[arcs] * k + column
+        root = np.zeros(self.n * k)
+        root[sources * k + np.arange(k)] = 1
+        count = self._settled(lambda c: root + np.bincount(head, c[tail], len(root)), root)
+        share = count[tail] / count[head]
+        owed = self._settled(lambda x: np.bincount(tail, share * (1 + x[head]), len(root)), np.zeros(len(root)))
+        arc = np.zeros(len(self.u))
+        arc[self.order] = np.bincount(arcs, share * (1 + owed[head]), len(self.u))
+        owed[sources * k + np.arange(k)] = 0
+        return owed.reshape(self.n, k).sum(1), arc
+
+
+def _pairs(arcs: DataFrame, weight: str) -> DataFrame:
+    return _kept(arcs.groupBy("u", "v").agg(F.min(weight).alias("w")).where("u <> v"))
+
+
+def _indexed(pairs: DataFrame) -> tuple[pa.Table, Paths, pa.Table]:
+    """Its nodes, the graph in arrays, and its arcs' ends, for a graph of at most ``BROADCAST_ARCS`` arcs."""
+    table = pairs.select("u", "v", F.col("w").cast("double").alias("w")).toArrow()
+    # a fixed order of arcs, and nodes numbered in the order of their ids
+    table = table.sort_by([("u", "ascending"), ("v", "ascending")]).combine_chunks()
+    ids = pc.unique(pa.chunked_array([*table["u"].chunks, *table["v"].chunks], table["u"].type))
+    ids = ids.take(pc.sort_indices(ids))
+    place = lambda c: np.asarray(pc.index_in(table[c], ids)).astype(np.int64)
+    graph = Paths(len(ids), place("u"), place("v"), table["w"].to_numpy())
+    return pa.table({"at": pa.array(np.arange(len(ids))), "node": ids}), graph, table.select(["u", "v"]).append_column("at", pa.array(np.arange(len(table))))
+
+
+def _by_blocks(spark, graph: Paths, sources: DataFrame, run, schema: str) -> DataFrame:
+    """``run(graph, sources)`` over blocks of sources of bounded memory, spread over the tasks."""
+    shared = spark.sparkContext.broadcast(graph)
+    most = max(1, min(SOURCES_AT_ONCE, BLOCK_CELLS // max(1, graph.n)))
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids = pdf["id"].to_numpy()
+            for k in range(0, len(ids), most):
+                yield run(shared.value, ids[k : k + most])
+
+    tasks = max(1, min(-(-graph.n // most), spark.sparkContext.defaultParallelism * 4))
+    return sources.repartition(tasks).mapInPandas(blocks, schema)
+
+
+def _scores(graph: Paths, sources: np.ndarray) -> pd.DataFrame:
+    node, arc = graph.dependencies(sources)
+    at, on = np.flatnonzero(node), np.flatnonzero(arc)
+    return pd.DataFrame({"is_arc": np.r_[np.zeros(len(at), bool), np.ones(len(on), bool)], "at": np.r_[at, on], "score": np.r_[node[at], arc[on]]})
 
 
 def betweenness(arcs: DataFrame, weight: str, sources: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -86,40 +167,66 @@ def betweenness(arcs: DataFrame, weight: str, sources: int | None = None, seed:
 
     Brandes: the sources are spread over the tasks, each task adds up its own dependencies, and one
     aggregate sums them. Normalised by (n - 1)(n - 2) and n(n - 1); a sample is scaled by n / sources.
+    A graph of over ``BROADCAST_ARCS`` arcs is not sent to the tasks; joins then do the same work.
     """
-    spark = arcs.sparkSession
-    ids, graph = _indexed(arcs, weight)
-    n = graph.n
-    shared = spark.sparkContext.broadcast(graph)
-    order = spark.range(n).orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    picked = (order.limit(sources) if sources else spark.range(n)).repartition(max(1, min(n, spark.sparkContext.defaultParallelism * 4)))
+    spark, pairs = arcs.sparkSession, _pairs(arcs, weight)
+    order = [F.xxhash64(F.lit(seed), "id"), "id"]
+    if pairs.count() > BROADCAST_ARCS:
+        names = _kept(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+        n = names.count()
+        picked = names.orderBy(*order).limit(sources) if sources else names
+        node, arc = dependencies_by_joins(pairs, picked.select(F.col("id").alias("s")))
+        node, arc = names.select(F.col("id").alias("node")).join(node, "node", "left"), pairs.select("u", "v").join(arc, ["u", "v"], "left")
+    else:
+        names, graph, ends = _indexed(pairs)
+        n = graph.n
+        every = spark.range(n)
+        picked = every.orderBy(*order).limit(sources) if sources else every
+        sums = _by_blocks(spark, graph, picked, _scores, "is_arc boolean, at long, score double").groupBy("is_arc", "at").agg(F.sum("score").alias("score"))
+        node = spark.createDataFrame(names).join(sums.where("not is_arc"), "at", "left") if n else spark.createDataFrame([], f"node {dict(arcs.dtypes)['u']}, score double")
+        arc = spark.createDataFrame(ends).join(sums.where("is_arc"), "at", "left") if n else spark.createDataFrame([], f"u {dict(arcs.dtypes)['u']}, v {dict(arcs.dtypes)['v']}, score double")
     scale = n / sources if sources and sources < n else 1.0
+    scored = lambda most: (F.coalesce("score", F.lit(0.0)) * scale / max(1, most)).alias("bc")
+    return node.select("node", scored((n - 1) * (n - 2))), arc.select("u", "v", scored(n * (n - 1)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = shared.value
-        node, arc = np.zeros(g.n), np.zeros(len(g.v))
-        for pdf in batches:
-            for s in pdf["id"].tolist():
-                reached, _, count, last = g.from_source(s)
-                owed = dict.fromkeys(reached, 0.0)
-                for y in reversed(reached):
-                    for e in last[y]:
-                        x = int(g.u[e])
-                        share = count[x] / count[y] * (1 + owed[y])
-                        arc[e] += share
-                        owed[x] += share
-                    if y != s:
-                        node[y] += owed[y]
-        at, on = np.flatnonzero(node), np.flatnonzero(arc)
-        yield pd.DataFrame({"is_arc": np.r_[np.zeros(len(at), bool), np.ones(len(on), bool)], "at": np.r_[at, on], "score": np.r_[node[at], arc[on]]})
-
-    sums = picked.mapInPandas(run, "is_arc boolean, at long, score double").groupBy("is_arc", "at").agg(F.sum("score").alias("score"))
-    kind = dict(arcs.dtypes)["u"]
-    names = spark.createDataFrame(list(enumerate(ids.tolist())), f"at long, node {kind}") if n else spark.createDataFrame([], f"at long, node {kind}")
-    ends = spark.createDataFrame([(k, ids[a], ids[b]) for k, (a, b) in enumerate(zip(graph.u.tolist(), graph.v.tolist(), strict=True))], f"at long, u {kind}, v {kind}")
-    top, pairs = max(1, (n - 1) * (n - 2)), max(1, n * (n - 1))
-    nodes = names.join(sums.where("not is_arc"), "at", "left").select("node", (F.coalesce("score", F.lit(0.0)) * scale / top).alias("bc"))
-    return nodes, ends.join(sums.where("is_arc"), "at", "left").select("u", "v", (F.coalesce("score", F.lit(0.0)) * scale / pairs).alias("bc"))
+
+def distances_by_joins(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(s, node, d)``: the least distance from each source ``s`` to each node it reaches.
+
+    Every round the nodes that came closer go over their arcs, and one aggregate keeps the least.
+    """
+    best = front = _kept(sources.select("s", F.col("s").alias("node"), F.lit(0.0).alias("d")))
+    while not front.isEmpty():
+        step = front.join(pairs.withColumnRenamed("u", "node"), "node").groupBy("s", F.col("v").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("near"))
+        new = _kept(best.join(step, ["s", "node"], "full").select("s", "node", "d", F.least("d", "near").alias("now")))
+        # closer by more than rounding: equal paths must not take turns
+        closer = F.coalesce(F.col("now") < F.col("d") * (1 - 1e-12), F.lit(True))
+        front = new.where(closer).select("s", "node", F.col("now").alias("d"))
+        best = new.select("s", "node", F.when(closer, F.col("now")).otherwise(F.col("d")).alias("d"))
+    return best
+
+
+def dependencies_by_joins(pairs: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, score)`` and ``(u, v, score)``: Brandes' dependencies with every table distributed, keyed by source and node."""
+    dist = distances_by_joins(pairs, sources)
+    tail, head = dist.select("s", F.col("node").alias("u"), F.col("d").alias("du")), dist.select("s", F.col("node").alias("v"), F.col("d").alias("dv"))
+    tight = tail.join(pairs, "u").join(head, ["s", "v"]).where(F.abs(F.col("du") + F.col("w") - F.col("dv")) <= 1e-12 * F.greatest(F.lit(1.0), "dv"))
+    tight = _kept(tight.select("s", "u", "v"))
+
+    def settled(state: DataFrame, step) -> DataFrame:
+        while True:
+            new = _kept(step(state).join(state.withColumnRenamed("x", "old"), ["s", "node"], "full"))
+            state = new.select("s", "node", "x")
+            if new.where("not (x <=> old)").isEmpty():
+                return state
+
+    root = sources.select("s", F.col("s").alias("node"), F.lit(1.0).alias("x"))
+    count = settled(root, lambda c: tight.join(c.withColumnRenamed("node", "u"), ["s", "u"]).groupBy("s", F.col("v").alias("node")).agg(F.sum("x").alias("x")).unionByName(root))
+    share = _kept(tight.join(count.select("s", F.col("node").alias("u"), F.col("x").alias("cu")), ["s", "u"]).join(count.select("s", F.col("node").alias("v"), F.col("x").alias("cv")), ["s", "v"]).select("s", "u", "v", (F.col("cu") / F.col("cv")).alias("share")))
+    owed = lambda x: share.join(x.withColumnRenamed("node", "v"), ["s", "v"], "left").withColumn("part", F.col("share") * (1 + F.coalesce("x", F.lit(0.0))))
+    last = settled(root.where("false"), lambda x: owed(x).groupBy("s", F.col("u").alias("node")).agg(F.sum("part").alias("x")))
+    node = last.where("s <> node").groupBy("node").agg(F.sum("x").alias("score"))
+    return node, owed(last).groupBy("u", "v").agg(F.sum("part").alias("score"))
 
 
 def to_segments(bc: DataFrame, tramos: DataFrame, weight: str = "length") -> DataFrame:
@@ -136,28 +243,25 @@ def closeness(arcs: DataFrame, weight: str) -> DataFrame:
     giant = strong.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "component").limit(1)
     inside = strong.join(F.broadcast(giant.select("component")), "component").select("node")
     kept = arcs.join(inside.select(F.col("node").alias("u")), "u", "left_semi").join(inside.select(F.col("node").alias("v")), "v", "left_semi")
-    ids, graph = _indexed(kept.select(F.col("v").alias("u"), F.col("u").alias("v"), weight), weight)
-    shared, names = spark.sparkContext.broadcast(graph), ids.tolist()
+    # distances towards a node are those from it against the arcs
+    pairs = _pairs(kept.select(F.col("v").alias("u"), F.col("u").alias("v"), weight), weight)
+    if pairs.count() > BROADCAST_ARCS:
+        far = distances_by_joins(pairs, inside.select(F.col("node").alias("s")))
+        return far.groupBy(F.col("s").alias("node")).agg(F.when(F.sum("d") > 0, (F.count("*") - 1) / F.sum("d")).alias("closeness"))
+    names, graph, _ = _indexed(pairs)
+    if not graph.n:
+        return spark.createDataFrame([], f"node {dict(arcs.dtypes)['u']}, closeness double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = shared.value
-        for pdf in batches:
-            sums = [sum(g.from_source(s)[1].values()) for s in pdf["id"].tolist()]
-            yield pd.DataFrame({"node": [names[s] for s in pdf["id"].tolist()], "closeness": [(g.n - 1) / x if x else None for x in sums]})
+    def sums(graph: Paths, sources: np.ndarray) -> pd.DataFrame:
+        total = graph.distances(sources).sum(0)
+        return pd.DataFrame({"at": sources, "closeness": np.where(total > 0, (graph.n - 1) / np.where(total > 0, total, 1), np.nan)})
 
-    return spark.range(graph.n).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, f"node {dict(arcs.dtypes)['u']}, closeness double")
+    found = _by_blocks(spark, graph, spark.range(graph.n), sums, "at long, closeness double")
+    return spark.createDataFrame(names).join(found, "at").select("node", F.nanvl("closeness", F.lit(None).cast("double")).alias("closeness"))
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the folder that the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-graph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, "graph")
 
 
 def weak_components(arcs: DataFrame) -> DataFrame:
@@ -228,6 +332,43 @@ def degrees(arcs: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.sum("i").cast("long").alias("n_in"), F.sum("o").cast("long").alias("n_out"))
 
 
+def intersections(nodes: DataFrame) -> DataFrame:
+    """One row for each node, with its id as text, its place and the number of streets that meet there."""
+    return nodes.select(F.col("node_id").cast("string").alias("node_id"), "x", "y", "street_count")
+
+
+def street_counts(arcs: DataFrame) -> DataFrame:
+    """``(node, street_count)``: the streets that end at each node, a street of two directions once."""
+    streets = segments(arcs)
+    return streets.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("street_count"))
+
+
+def degree_shares(nodes: DataFrame, n_arcs: Column | int) -> DataFrame:
+    """Mean out-degree, mean streets at a node and percent of dead ends, three-way and larger crossings; a missing count raises."""
+    count = F.coalesce("street_count", F.raise_error(F.lit("nodes without street_count")).cast("long"))
+    pct = lambda c: F.round(100 * F.avg(c.cast("double")), 6)
+    out = nodes.select(count.alias("c"))
+    n = n_arcs if isinstance(n_arcs, Column) else F.lit(n_arcs)
+    return out.agg(
+        F.round(F.first(n) / F.count("*"), 6).alias("grado_medio_salida"), F.round(F.avg("c"), 6).alias("calles_por_nodo"),
+        pct(F.col("c") == 1).alias("pct_nodos_callejon"), pct(F.col("c") == 3).alias("pct_nodos_3_calles"), pct(F.col("c") >= 4).alias("pct_nodos_4_o_mas"),
+    )
+
+
+def street_density(nodes: DataFrame, tramos: DataFrame, area_km2: float) -> DataFrame:
+    """Crossings (two streets or more), kilometres of street for each square kilometre, and the mean segment length."""
+    crossings = nodes.agg(F.count(F.when(F.col("street_count") > 1, 1)).alias("crossings"))
+    sums = tramos.agg(F.sum("length").alias("length"), F.avg("length").alias("mean"))
+    both = crossings.withColumn("length", sums.select("length").scalar()).withColumn("mean", sums.select("mean").scalar())
+    return both.select(F.round(F.col("crossings") / area_km2, 6).alias("intersecciones_por_km2"), F.round(F.col("length") / 1000 / area_km2, 6).alias("km_calle_por_km2"), F.round("mean", 6).alias("largo_medio_tramo_m"))
+
+
+def with_degree(cells: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
+    """``cells`` with the number of their edges (``src``, ``dst``); a cell without any has 0, which is data."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias(key)).groupBy(key).agg(F.count("*").alias("grado"))
+    return cells.join(ends, key, "left").withColumn("grado", F.coalesce("grado", F.lit(0)))
+
+
 def density(arcs: DataFrame) -> DataFrame:
     """Arcs, nodes, mean degree and directed density times 10,000, one row."""
     d = degrees(arcs)

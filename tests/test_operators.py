@@ -148,7 +148,7 @@ def brute_betweenness(arcs):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_betweenness_against_all_paths(spark, seed):
+def test_betweenness_against_all_paths(spark, seed, monkeypatch):
     random.seed(seed)
     arcs = [(random.choice("abcdefg"), random.choice("abcdefg"), random.randint(1, 3)) for _ in range(22)]
     df = spark.createDataFrame([(u, v, 0, w) for u, v, w in arcs], "u string, v string, key int, length long")
@@ -157,7 +157,14 @@ def test_betweenness_against_all_paths(spark, seed):
     assert {r.node: pytest.approx(r.bc) for r in got.collect()} == {k: v for k, v in nodes.items() if any(k in a[:2] and a[0] != a[1] for a in arcs)}
     assert {(r.u, r.v): pytest.approx(r.bc) for r in on.collect()} == edges
     full = graph.betweenness(df, "length", len(nodes))[0]
-    assert {r.node: r.bc for r in full.collect()} == {r.node: pytest.approx(r.bc) for r in got.collect()}
+    want = {r.node: pytest.approx(r.bc) for r in got.collect()}
+    assert {r.node: r.bc for r in full.collect()} == want
+    if seed == 1:  # the same without sending the graph to the tasks
+        near = {r.node: pytest.approx(r.closeness) for r in graph.closeness(df, "length").collect()}
+        monkeypatch.setattr(graph, "BROADCAST_ARCS", 0)
+        got, on = graph.betweenness(df, "length")
+        assert {r.node: r.bc for r in got.collect()} == want and {(r.u, r.v): pytest.approx(r.bc) for r in on.collect()} == edges
+        assert {r.node: r.closeness for r in graph.closeness(df, "length").collect()} == near
 
 
 def test_closeness_towards_the_node(spark):
