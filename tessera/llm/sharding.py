@@ -8,7 +8,7 @@ larger than a shard, or a third of all rows, is spread and no key gathers it. Do
 can stand anywhere: at the end they fill the shards to equal size, in the order of a hash, which
 leaves every shard within one document of the mean as long as linked bytes fit in.
 
-Prefix sums over movers, free documents and slots run in two levels: sums of ``RANGES`` hash ranges,
+Prefix sums over movers, free documents and slots run in two levels: sums of hash ranges,
 then order within a range; no window holds a shard.
 
 Edge cases: a null text has 0 bytes (size 1) and is linked with the empty text's like; repeated rows
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
 
-SHARDS, PARTS, ROUNDS, SLACK, RANGES = 8, 128, 6, 0.01, 1024
+SHARDS, PARTS, ROUNDS, SLACK = 8, 128, 6, 0.01
+#: Hash ranges of a prefix sum: as many as give each about so many rows, within a window of one row for each range.
+ROWS_PER_RANGE, LEAST_RANGES = 100_000, 1024
 GROUP = ["group__", "size", "text_crc32"]
 
 
@@ -33,15 +35,18 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group__"))
 
 
-def running(rows: DataFrame, keys: list[str], value: Column, by: list[str]) -> DataFrame:
+def ranges_of(rows: int) -> int:
+    return max(LEAST_RANGES, -(-rows // ROWS_PER_RANGE))
+
+
+def running(rows: DataFrame, keys: list[str], value: Column, by: list[str], ranges: int) -> DataFrame:
     """``rows`` with ``before__``: the sum of ``value`` over the earlier rows of the same ``keys``, in an order by hash."""
-    rows = rows.withColumn("value__", value).withColumn("range__", F.pmod(F.xxhash64(*by), F.lit(RANGES)))
+    rows = rows.withColumn("value__", value).withColumn("range__", F.pmod(F.xxhash64(*by), F.lit(ranges)))
     sums = rows.groupBy(*keys, "range__").agg(F.sum("value__").alias("sum__"))
     earlier = Window.partitionBy(*keys).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "range__", F.coalesce(F.sum("sum__").over(earlier), F.lit(0)).alias("offset__"))
     within = Window.partitionBy(*keys, "range__").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    # at most RANGES rows for each of a fixed number of keys
-    out = rows.join(F.broadcast(offsets), [*keys, "range__"])
+    out = rows.join(offsets, [*keys, "range__"])
     return out.withColumn("before__", F.col("offset__") + F.coalesce(F.sum("value__").over(within), F.lit(0))).drop("value__", "range__", "offset__")
 
 
@@ -50,7 +55,7 @@ def _loads(chunks: DataFrame, shards: int) -> list[int]:
     return [held.get(k, 0) for k in range(shards)]
 
 
-def propagated(chunks: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
+def propagated(chunks: DataFrame, total: int, ranges: int, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
     """``chunks`` (group, part, bytes, shard) after rounds of moves under the shards' quotas."""
     capacity = total / shards * (1 + slack)
     for _ in range(rounds):
@@ -58,7 +63,7 @@ def propagated(chunks: DataFrame, total: int, shards: int = SHARDS, rounds: int
         held = chunks.groupBy(*GROUP, "shard").agg(F.sum("bytes").alias("here"))
         goal = held.groupBy(*GROUP).agg(F.max_by("shard", F.struct("here", -F.col("shard"))).alias("goal"))
         asked = chunks.join(goal, GROUP).where("shard <> goal")
-        asked = running(asked, ["goal"], F.col("bytes"), [*GROUP, "part"])
+        asked = running(asked, ["goal"], F.col("bytes"), [*GROUP, "part"], ranges)
         quota = F.element_at(F.array(*[F.lit(x).cast("long") for x in free]), F.col("goal") + 1)
         admitted = stored(asked.where(F.col("before__") + F.col("bytes") <= quota).select(*GROUP, "part", "goal"), "moves")
         if admitted.isEmpty():
@@ -73,8 +78,9 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = rows.groupBy(*GROUP).agg(F.count("*").alias("copies")).where("copies > 1")
     linked = rows.join(groups, GROUP, "left_semi")
     chunks = linked.groupBy(*GROUP, "part").agg(F.sum("size").alias("bytes")).withColumn("shard", F.col("part") % shards)
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    chunks = propagated(stored(chunks, "chunks"), total, shards)
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ranges = ranges_of(n)
+    chunks = propagated(stored(chunks, "chunks"), total, ranges, shards)
     placed = linked.join(chunks.select(*GROUP, "part", "shard"), [*GROUP, "part"]).select("doc_id", "size", "text_crc32", "shard")
     loads = _loads(chunks, shards)
     room = [max(0.0, total / shards - x) for x in loads]
@@ -82,10 +88,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     scale = free / sum(room) if sum(room) else 0.0
     ends = [scale * sum(room[: k + 1]) for k in range(shards)]
     alone = rows.join(groups, GROUP, "left_anti").withColumn("all__", F.lit(0))
-    alone = running(alone, ["all__"], F.col("size"), ["doc_id", "group__"])
+    alone = running(alone, ["all__"], F.col("size"), ["doc_id", "group__"], ranges)
     at = F.col("before__") + F.col("size") / 2
     shard = F.lit(shards - 1)
     for k in range(shards - 2, -1, -1):
         shard = F.when(at < ends[k], k).otherwise(shard)
     both = placed.unionByName(alone.select("doc_id", "size", "text_crc32", shard.alias("shard")))
-    return running(both.withColumn("shard", F.col("shard").cast("int")), ["shard"], F.lit(1).cast("long"), ["doc_id", "text_crc32"]).withColumnRenamed("before__", "slot")
+    return running(both.withColumn("shard", F.col("shard").cast("int")), ["shard"], F.lit(1).cast("long"), ["doc_id", "text_crc32"], ranges).withColumnRenamed("before__", "slot")
