@@ -31,14 +31,19 @@ def first_of(x: Column) -> Column:
     return F.when(F.size(x) > 0, F.element_at(x, 1))
 
 
+#: Texts of a true and of a false flag, lower-cased (fixed values).
+TRUE, FALSE = ("true", "yes", "1", "-1"), ("false", "no", "0", "", "none")
+
+
 def lenient_bool(x: Column) -> Column:
-    """``yes``, ``1``, ``-1`` and ``true`` are true, anything else is false."""
-    return F.coalesce(F.lower(F.trim(x)).isin("yes", "1", "-1", "true"), F.lit(False))
+    """The true texts are true, anything else is false."""
+    return F.coalesce(F.lower(F.trim(x)).isin(*TRUE), F.lit(False))
 
 
 def strict_bool(x: Column) -> Column:
-    """True or false by name; any other text raises."""
-    return F.when(x.isin("True", "true"), True).when(x.isin("False", "false"), False).when(x.isNull(), F.lit(None).cast("boolean")).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), x)).cast("boolean"))
+    """The true and the false texts, missing for NULL; any other text raises."""
+    y = F.lower(F.trim(x))
+    return F.when(x.isNull(), F.lit(None).cast("boolean")).when(y.isin(*TRUE), True).when(y.isin(*FALSE), False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), x)).cast("boolean"))
 
 
 def clock_hours(x: Column) -> Column:
@@ -65,6 +70,38 @@ def road_class(x: Column) -> Column:
     return F.when(no_blank(x).isNull(), "sin_dato").when(y.isin(*ARTERIAL), "arterial").when(y.isin(*MIDDLE), "intermedia").when(y.isin(*BUSWAY), "busway").otherwise("local")
 
 
+#: Classes between arterial and local in the second taxonomy (fixed values).
+SECONDARY = ("secondary", "secondary_link", "tertiary", "tertiary_link")
+
+
+def display_class(x: Column) -> Column:
+    """The second taxonomy: tertiary counts as ``secundaria``, blank is ``sin declarar``."""
+    y = F.lower(F.trim(x))
+    return F.when(no_blank(x).isNull(), "sin declarar").when(y.isin(*ARTERIAL), "arterial").when(y.isin(*SECONDARY), "secundaria").when(y.isin(*BUSWAY), "busway").otherwise("local")
+
+
+def with_class(df: DataFrame, column: str = "highway", display: bool = False) -> DataFrame:
+    """``df`` with ``clase`` (and ``arterial`` in the first taxonomy); raises without the column."""
+    if column not in df.columns:
+        raise KeyError(column)
+    if display:
+        return df.withColumn("clase", display_class(F.col(column)))
+    return df.withColumn("clase", road_class(F.col(column))).withColumn("arterial", F.col("clase") == "arterial")
+
+
+def opacity(width: Column, low: Column, high: Column, cut: float | None = None) -> Column:
+    """1 for the narrowest interval down to 0 for the widest; a missing width is 1, one above ``cut`` is missing."""
+    share = F.when(high > low, 1 - (width - low) / (high - low)).otherwise(1.0)
+    out = F.when(width.isNull(), 1.0).otherwise(share)
+    return out if cut is None else F.when(~F.coalesce(width > cut, F.lit(False)), out)
+
+
+def firm(support: Column, controls: Column, low: Column, high: Column, least: int) -> Column:
+    """Enough support, controls, and a finite interval."""
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    return F.coalesce((support >= least) & (controls > 0) & finite(low) & finite(high), F.lit(False))
+
+
 def blend(observed: Column, latent: Column, a: float) -> Column:
     """Surface between the observed (0) and the latent (1)."""
     return observed * (1 - a) + latent * a

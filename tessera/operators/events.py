@@ -20,6 +20,24 @@ def calendar(spark, first: str, days: int) -> DataFrame:
     return day.withColumn("dow", F.weekday("date")).withColumn("ym", F.year("date") * 12 + F.month("date"))
 
 
+def coerced(points: DataFrame, years: tuple[int, int], box: tuple[float, float, float, float]) -> DataFrame:
+    """Points as numbers (what does not parse is missing) with flag 1, a year in range and a place in the box (south, west, north, east)."""
+    number = {c: F.col(c).try_cast("double") for c in ("lat", "lng", "flag")} | {"year": F.col("year").try_cast("int")}
+    south, west, north, east = box
+    return points.withColumns(number).where((F.col("flag") == 1) & F.col("year").between(*years) & F.col("lat").between(south, north) & F.col("lng").between(west, east))
+
+
+def with_known_hour(events: DataFrame, time: str, category: str, aoristic: tuple[str, ...]) -> DataFrame:
+    """Events whose hour means something: not exactly midnight, and of no category that is dated by a range."""
+    midnight = F.date_trunc("day", time) == F.col(time)
+    return events.where(~midnight & ~F.col(category).isin(*aoristic))
+
+
+def latent(excess: Column, reporting_rate: Column) -> Column:
+    """Excess of reported events as events that took place; missing without a rate."""
+    return F.when(reporting_rate > 0, excess / reporting_rate)
+
+
 def without_pileups(points: DataFrame, keys: tuple[str, ...], most: int) -> DataFrame:
     """Points at coordinates with at most ``most`` rows. Counted over all rows, before any category filter."""
     counts = points.groupBy(*keys).agg(F.count("*").alias("n__")).where(F.col("n__") <= most).drop("n__")

@@ -112,3 +112,56 @@ def shares(df: DataFrame, column: Column, name: str) -> DataFrame:
     """Distribution of a value in percent."""
     counts = df.groupBy(column.alias(name)).agg(F.count("*").alias("n"))
     return counts.select(name, "n", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("pct"))
+
+
+def ranking(df: DataFrame, column: str, key: str, k: int) -> DataFrame:
+    """``top`` that raises where the table has fewer than ``k`` rows (it runs a job)."""
+    if df.limit(k).count() < k:
+        raise ValueError(f"top {k} of a table with fewer rows")
+    return top(df, column, key, k)
+
+
+def ordinal(df: DataFrame, column: str, key: str) -> DataFrame:
+    """``df`` with ``orden``: places from the smallest, from 0, without ties (equal values by key)."""
+    places = F.row_number().over(Window.partitionBy(column).orderBy(key)) - 1
+    return df.join(value_ranks(df, column).select(column, "below"), column).withColumn("orden", (F.col("below") + places).cast("long")).drop("below")
+
+
+def covered(top_list: DataFrame, near: DataFrame, key: str) -> DataFrame:
+    """Share of a top list that ``near`` holds; an empty list raises."""
+    hits = top_list.join(near.select(key).distinct().withColumn("hit__", F.lit(1.0)), key, "left")
+    return hits.agg(F.coalesce(F.avg(F.coalesce("hit__", F.lit(0.0))), F.raise_error(F.lit("the top list is empty")).cast("double")).alias("cobertura"))
+
+
+def both_ends(top_lines: DataFrame, top_nodes: DataFrame, lines: DataFrame, key: str = "tramo_id") -> DataFrame:
+    """Share of the top lines both of whose ends (``u``, ``v``, compared as text) are top nodes; unknown lines and an empty list raise."""
+    nodes = top_nodes.select(F.col("node_id").cast("string").alias("node")).distinct().withColumn("top__", F.lit(True))
+    ends = top_lines.select(key).join(lines.select(key, F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v")), key, "left")
+    ends = ends.withColumn("u", F.coalesce("u", F.raise_error(F.concat(F.lit("unknown line "), F.col(key))).cast("string")))
+    for end in ("u", "v"):
+        ends = ends.join(nodes.select(F.col("node").alias(end), F.col("top__").alias(f"top_{end}")), end, "left")
+    both = F.coalesce(F.col("top_u") & F.col("top_v"), F.lit(False)).cast("double")
+    return ends.agg(F.coalesce(F.avg(both), F.raise_error(F.lit("the top list is empty")).cast("double")).alias("ambos_extremos"))
+
+
+def agreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Places (``rango``) of two rankings, and how many hold the same key."""
+    pairs = a.select("rango", F.col(key).alias("ka")).join(b.select("rango", F.col(key).alias("kb")), "rango")
+    return pairs.agg(F.count("*").alias("lugares"), F.count(F.when(F.col("ka") == F.col("kb"), 1)).alias("iguales"))
+
+
+def split_share(table: DataFrame, unit: str, within: str, mass: str) -> DataFrame:
+    """Percent of the units that lie in several parts, by count and by mass."""
+    units = table.groupBy(unit).agg(F.count_distinct(within).alias("parts"), F.sum(mass).alias("m"))
+    return units.agg(F.round(100 * F.avg((F.col("parts") > 1).cast("double")), 6).alias("pct"), F.round(100 * F.sum(F.when(F.col("parts") > 1, F.col("m")).otherwise(0.0)) / F.sum("m"), 6).alias("pct_mass"))
+
+
+def extremes(df: DataFrame, key: str, measures: tuple[str, ...]) -> DataFrame:
+    """Least and largest of each measure over one row for each key (its least row, so that repeats count once)."""
+    one = df.groupBy(key).agg(F.min(F.struct(*measures)).alias("m"))
+    return one.agg(*[f(F.col(f"m.{c}")).alias(f"{name}_{c}") for c in measures for name, f in (("min", F.min), ("max", F.max))])
+
+
+def reduction(before: Column, after: Column) -> Column:
+    """Percent by which a count fell; a count that rose raises."""
+    return F.when(after > before, F.raise_error(F.lit("the simplified graph is larger")).cast("double")).otherwise(100 * (before - after) / before)

@@ -2,7 +2,8 @@
 
 Entries: ``key, family, variant, value, shown, decimals, mode, canonical, unit, script_sha``. Policies:
 ``pattern, decimals, mode, canonical`` where ``*`` stands for anything; an exact pattern wins, then the
-longest, then the first in the alphabet. An anchor is ``<!-- canon:KEY=CITED [flag] -->``.
+longest, then the first in the alphabet. An anchor is ``CANON: KEY = CITED [variant-ok]``; KEY names an
+entry, or a family, which stands for its canonical variant.
 """
 
 from __future__ import annotations
@@ -10,16 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ANCHOR = r"<!--\s*canon:([\w.\-]+)=([^\s>]+)(?:\s+(\w+))?\s*-->"
-NUMBER = r"\d[\d.,]*"
+#: An anchor, what looks like one, and a number with decimals that might need one (fixed patterns).
+ANCHOR = r"CANON:\s*([\w.\-]+)\s*=\s*([~×xX]?\s*[-\d.,]+)(\s+variant-ok)?"
+MALFORMED = r"(?i)\bcanon\b"
+NUMBER = r"(^|[^\w.])[×xX~]?\s*\d+\.\d+"
+#: Rounding without a policy, and the most decimals that are shown.
+DECIMALS, MODE, MOST_DECIMALS = 4, "half_up", 12
 
 
 def with_policy(entries: DataFrame, policies: DataFrame) -> DataFrame:
     """Each family's policy; a family without one keeps NULLs and is not canonical."""
-    found = policies.withColumn("like__", F.replace("pattern", F.lit("*"), F.lit("%")))
+    plain = F.regexp_replace("pattern", r"[.+^${}()|\[\]\\]", r"\\$0")
+    regex = F.concat(F.lit("(?s)^"), F.replace(F.replace(plain, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    found = policies.withColumn("regex__", regex)
     families = entries.select("family").distinct()
-    # policies are a short, hand-written table
-    hits = families.join(F.broadcast(found), F.expr("family LIKE like__"))
+    # policies are a short, hand-written table; only a pattern with a star stands for others than itself
+    hits = families.join(F.broadcast(found), F.expr("family = pattern OR (pattern LIKE '%*%' AND family RLIKE regex__)"))
     best = F.struct((F.col("pattern") != F.col("family")).alias("a"), (-F.length("pattern")).alias("b"), "pattern", "decimals", "mode", "variant_canonical")
     chosen = hits.groupBy("family").agg(F.min(best).alias("p")).select("family", "p.decimals", "p.mode", F.col("p.variant_canonical").alias("wanted__"))
     out = entries.join(chosen, "family", "left")
@@ -29,20 +36,20 @@ def with_policy(entries: DataFrame, policies: DataFrame) -> DataFrame:
 def rounded(value: Column, decimals: Column, mode: Column) -> Column:
     """Decimal rounding of the shortest text of a value: half_up, half_even or floor; as text with that many decimals.
 
-    Covers 0 to 6 decimals, each with its own scale, as a decimal's scale is part of its type.
+    Covers 0 to ``MOST_DECIMALS``, each with its own scale, as a decimal's scale is part of its type.
     """
     out = F.lit(None).cast("string")
-    exact = value.cast("string").cast("decimal(28,10)")
-    for d in range(7):
-        shown = F.when(mode == "half_even", F.bround(exact, d)).when(mode == "floor", F.floor(exact * 10**d) / 10**d).otherwise(F.round(exact, d))
-        out = F.when(decimals == d, shown.cast(f"decimal(28,{d})").cast("string")).otherwise(out)
+    exact = value.cast("string").cast("decimal(38,15)")
+    for d in range(MOST_DECIMALS + 1):
+        shown = F.when(mode == "half_even", F.bround(exact, d)).when(mode == "floor", F.floor(exact, F.lit(d))).otherwise(F.round(exact, d))
+        out = F.when(decimals == d, shown.cast(f"decimal(38,{d})").cast("string")).otherwise(out)
     return out
 
 
 def emitted(numbers: DataFrame, policies: DataFrame) -> DataFrame:
     """Entries of ``numbers`` (family, variant, value, unit, script_sha), rounded as the policy says."""
     out = with_policy(numbers, policies).withColumn("key", F.concat_ws(".", "family", "variant"))
-    return out.withColumn("shown", rounded(F.col("value"), F.col("decimals"), F.col("mode")))
+    return out.withColumn("shown", rounded(F.col("value"), F.coalesce("decimals", F.lit(DECIMALS)), F.coalesce("mode", F.lit(MODE))))
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -62,27 +69,53 @@ def stale(entries: DataFrame, scripts: DataFrame) -> DataFrame:
 
 def anchors(lines: DataFrame) -> DataFrame:
     """``(file, line, key, cited, flag)`` of every anchor in ``lines`` (file, line, text)."""
-    found = lines.where(F.col("text").contains("canon:")).withColumn("a", F.explode(F.regexp_extract_all("text", F.lit(ANCHOR), F.lit(0))))
-    return found.select("file", "line", F.regexp_extract("a", ANCHOR, 1).alias("key"), F.regexp_extract("a", ANCHOR, 2).alias("cited"), F.nullif(F.regexp_extract("a", ANCHOR, 3), F.lit("")).alias("flag"))
+    found = lines.where(F.col("text").contains("CANON:")).withColumn("a", F.explode(F.regexp_extract_all("text", F.lit(ANCHOR), F.lit(0))))
+    part = lambda k: F.regexp_extract("a", ANCHOR, k)
+    return found.select("file", "line", part(1).alias("key"), F.trim(part(2)).alias("cited"), (part(3) != "").alias("flag"))
+
+
+def malformed(lines: DataFrame) -> DataFrame:
+    """Lines that mean an anchor and are none."""
+    return lines.where(~F.col("text").rlike(ANCHOR) & F.col("text").contains("=") & F.col("text").rlike(MALFORMED)).select("file", "line")
 
 
 def cited_number(text: Column) -> Column:
-    """A cited number without sign of about or times, spaces and thousands commas; missing if unreadable."""
-    return F.regexp_replace(text, "[×~, ]", "").try_cast("decimal(28,10)")
+    """A cited number without signs of about or times and spaces; commas part thousands only beside a point; missing if unreadable."""
+    s = F.replace(F.regexp_replace(F.trim(text), "^[×xX~]+", ""), F.lit(" "), F.lit(""))
+    s = F.when(s.contains(",") & s.contains("."), F.replace(s, F.lit(","), F.lit(""))).otherwise(s)
+    return s.try_cast("decimal(38,15)")
+
 
+def checked(found: DataFrame, entries: DataFrame, stale_keys: DataFrame | None = None) -> DataFrame:
+    """``found`` with a verdict for each anchor, the first that holds.
 
-def checked(found: DataFrame, entries: DataFrame) -> DataFrame:
-    """``found`` with a verdict for each anchor: unknown, unreadable, no_policy, not_canonical, mismatch or ok."""
-    out = found.join(entries.select("key", "shown", "canonical", "decimals"), "key", "left")
+    ``unknown``, ``no_policy``, ``not_canonical`` (named in full without the flag), ``unreadable``,
+    ``too_precise`` (more decimals than the policy's), ``mismatch``, ``stale`` (``stale_keys``: key), ``ok``.
+    """
+    named = entries.select("key", F.col("key").alias("entry"), F.lit(False).alias("by_family"), "shown", "canonical", "decimals")
+    families = entries.where("canonical").select(F.col("family").alias("key"), F.col("key").alias("entry"), F.lit(True).alias("by_family"), "shown", "canonical", "decimals")
+    known = named.unionByName(families.join(named.select("key"), "key", "left_anti"))
+    old = known.limit(0).select(F.col("key").alias("entry")) if stale_keys is None else stale_keys.select(F.col("key").alias("entry")).distinct()
+    out = found.join(known, "key", "left").join(old.withColumn("stale", F.lit(True)), "entry", "left")
     n = cited_number(F.col("cited"))
     verdict = (
-        F.when(F.col("canonical").isNull(), "unknown").when(n.isNull(), "unreadable").when(F.col("decimals").isNull(), "no_policy")
-        .when(~F.col("canonical") & F.coalesce(F.col("flag") != "noncanonical", F.lit(True)), "not_canonical").when(n != F.col("shown").cast("decimal(28,10)"), "mismatch").otherwise("ok")
+        F.when(F.col("entry").isNull(), "unknown").when(F.col("decimals").isNull(), "no_policy")
+        .when(~F.col("by_family") & ~F.col("canonical") & ~F.coalesce("flag", F.lit(False)), "not_canonical").when(n.isNull(), "unreadable")
+        .when(F.length(F.regexp_extract("cited", r"\.(\d*)$", 1)) > F.col("decimals"), "too_precise").when(n != F.col("shown").cast("decimal(38,15)"), "mismatch")
+        .when(F.col("stale"), "stale").otherwise("ok")
     )
     return out.select("file", "line", "key", "cited", verdict.alias("verdict"))
 
 
 def audit(lines: DataFrame) -> DataFrame:
-    """Numbers in lines that have no anchor: candidates for one (heuristic)."""
-    bare = lines.where(~F.col("text").rlike(ANCHOR))
-    return bare.select("file", "line", F.explode(F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0))).alias("number"))
+    """Lines (file, line) that hold a number with decimals and no anchor in themselves or a neighbouring line (heuristic)."""
+    near = Window.partitionBy("file").orderBy("line")
+    marked = lines.withColumn("anchor", F.col("text").contains("CANON:"))
+    for c, beside in (("before", F.lag("anchor").over(near)), ("after", F.lead("anchor").over(near))):
+        marked = marked.withColumn(c, F.coalesce(beside, F.lit(False)))
+    return marked.where(F.col("text").rlike(NUMBER) & ~F.col("anchor") & ~F.col("before") & ~F.col("after")).select("file", "line")
+
+
+def figures(one_row: DataFrame) -> DataFrame:
+    """A row of figures as ``(key, value)`` rows, ready to be emitted."""
+    return one_row.select(*[F.col(c).cast("double").alias(c) for c in one_row.columns]).unpivot([], one_row.columns, "key", "value")

@@ -1,4 +1,4 @@
-"""Planar geometry: projection, hexagon cells, nearest and within joins, overlays, dissolve by sum.
+"""Planar geometry: projection, hexagon cells, nearest and within joins, overlays, contested ground.
 
 Rings are ``array<struct<x:double,y:double>>`` without a repeated last point. Candidate pairs come from
 a bucket grid: each geometry stands in the buckets that its bounding box touches, and a pair is kept
@@ -9,11 +9,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tessera.sources.shared import stored
 
 #: WGS84 and the transverse Mercator zone 18 south (fixed values).
 A, FLAT, SCALE0, MERIDIAN, EAST, NORTH = 6378137.0, 1 / 298.257223563, 0.9996, -75.0, 500000.0, 10000000.0
@@ -108,72 +107,164 @@ def candidates(a: DataFrame, b: DataFrame, size: float, shape_a: str = "shape_a"
     return pairs.where(meet & own).drop("bx", "by", *[f"{c}_{m}" for m in "ab" for c in ("x0", "y0", "x1", "y1")])
 
 
-def _clip(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Part of a polygon inside a convex ring: cut by one edge's half plane after the other."""
-    if np.sum(ring[:, 0] * np.roll(ring[:, 1], -1) - np.roll(ring[:, 0], -1) * ring[:, 1]) < 0:
-        ring = ring[::-1]
-    for p, q in zip(ring, np.roll(ring, -1, axis=0), strict=True):
-        if not len(points):
-            break
-        side = (q[0] - p[0]) * (points[:, 1] - p[1]) - (q[1] - p[1]) * (points[:, 0] - p[0])
-        out = []
-        for k in range(len(points)):
-            a, b, sa, sb = points[k], points[(k + 1) % len(points)], side[k], side[(k + 1) % len(points)]
-            if sa >= 0:
-                out.append(a)
-            if (sa > 0 > sb) or (sa < 0 < sb):
-                out.append(a + (b - a) * sa / (sa - sb))
-        points = np.array(out).reshape(-1, 2)
-    return points
+def _side(e: Column, p: Column) -> Column:
+    """Positive left of the directed edge ``e`` (from ``p`` to ``q``)."""
+    return (e["q"]["x"] - e["p"]["x"]) * (p["y"] - e["p"]["y"]) - (e["q"]["y"] - e["p"]["y"]) * (p["x"] - e["p"]["x"])
+
+
+def _turned(ring: Column) -> Column:
+    return F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+
+
+def _edges(ring: Column) -> Column:
+    """Edges of a ring, counter-clockwise."""
+    signed = F.aggregate(F.zip_with(ring, _turned(ring), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, p: s + p)
+    way = F.when(signed < 0, F.reverse(ring)).otherwise(ring)
+    return F.zip_with(way, _turned(way), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
 
+def _cut(shape: Column, e: Column) -> Column:
+    """The part of a convex shape left of an edge, its border included."""
 
-def _points(shape) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in shape], float)
+    def step(a: Column, b: Column) -> Column:
+        sa, sb = _side(e, a), _side(e, b)
+        at = lambda c: (a[c] + (b[c] - a[c]) * sa / (sa - sb)).alias(c)
+        cross = F.when(((sa > 0) & (sb < 0)) | ((sa < 0) & (sb > 0)), F.array(F.struct(at("x"), at("y")))).otherwise(F.slice(shape, 1, 0))
+        return F.concat(F.when(sa >= 0, F.array(a)).otherwise(F.slice(shape, 1, 0)), cross)
 
+    return F.flatten(F.zip_with(shape, _turned(shape), step))
 
-@F.pandas_udf(T.DoubleType())
-def clipped_area(shape: pd.Series, ring: pd.Series) -> pd.Series:
+
+def clipped(shape: Column, ring: Column) -> Column:
+    """A convex polygon inside a convex ring: cut by one edge's half plane after the other. Polygons that touch leave points."""
+    return F.aggregate(_edges(ring), shape, _cut)
+
+
+def clipped_area(shape: Column, ring: Column) -> Column:
     """Area of a convex polygon inside a convex ring."""
-    out = []
-    for a, b in zip(shape, ring, strict=True):
-        p = _clip(_points(a), _points(b))
-        out.append(0.0 if len(p) < 3 else abs(np.sum(p[:, 0] * np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) * p[:, 1])) / 2)
-    return pd.Series(out)
+    return ring_area(clipped(shape, ring))
+
+
+def difference(pieces: Column, ring: Column, least: float = 1e-9) -> Column:
+    """Convex pieces without a convex ring, as convex pieces: for each edge, what lies right of it and left of those before."""
 
+    def step(state: Column, e: Column) -> Column:
+        away = _cut(state["rest"], F.struct(e["q"].alias("p"), e["p"].alias("q")))
+        kept = F.when((F.size(away) > 2) & (ring_area(away) > least), F.array(away)).otherwise(F.slice(state["out"], 1, 0))
+        return F.struct(_cut(state["rest"], e).alias("rest"), F.concat(state["out"], kept).alias("out"))
 
-@F.pandas_udf(T.DoubleType())
-def clipped_length(line: pd.Series, ring: pd.Series) -> pd.Series:
+    def without(piece: Column) -> Column:
+        none = F.slice(F.array(piece), 1, 0)
+        return F.aggregate(_edges(ring), F.struct(piece.alias("rest"), none.alias("out")), step, lambda s: s["out"])
+
+    return F.flatten(F.transform(pieces, without))
+
+
+def pieces_area(pieces: Column) -> Column:
+    return F.aggregate(F.transform(pieces, ring_area), F.lit(0.0), lambda s, a: s + a)
+
+
+def clipped_length(line: Column, ring: Column) -> Column:
     """Length of a line inside a convex ring: each part is cut by every edge's half plane."""
-    out = []
-    for a, b in zip(line, ring, strict=True):
-        p, r = _points(a), _points(b)
-        if np.sum(r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]) < 0:
-            r = r[::-1]
-        e, total = np.roll(r, -1, axis=0) - r, 0.0
-        for s, t in zip(p[:-1], p[1:], strict=True):
-            lo, hi = 0.0, 1.0
-            fs, ft = (e[:, 0] * (x[1] - r[:, 1]) - e[:, 1] * (x[0] - r[:, 0]) for x in (s, t))
-            for u, w in zip(fs, ft, strict=True):
-                if u < 0 and w < 0:
-                    hi = -1.0
-                elif u < 0:
-                    lo = max(lo, u / (u - w))
-                elif w < 0:
-                    hi = min(hi, u / (u - w))
-            total += max(0.0, hi - lo) * math.dist(s, t)
-        out.append(total)
-    return pd.Series(out)
+    edges = _edges(ring)
+
+    def inside(a: Column, b: Column) -> Column:
+        def step(s: Column, e: Column) -> Column:
+            fa, fb = _side(e, a), _side(e, b)
+            at = fa / F.when(fa == fb, F.lit(1.0)).otherwise(fa - fb)
+            lo = F.when((fa < 0) & (fb >= 0), F.greatest(s["lo"], at)).otherwise(s["lo"])
+            hi = F.when((fa < 0) & (fb < 0), F.lit(-1.0)).when((fa >= 0) & (fb < 0), F.least(s["hi"], at)).otherwise(s["hi"])
+            return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+        span = F.aggregate(edges, F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), step)
+        return F.greatest(F.lit(0.0), span["hi"] - span["lo"]) * F.hypot(b["x"] - a["x"], b["y"] - a["y"])
+
+    parts = F.zip_with(F.slice(line, 1, F.size(line) - 1), F.slice(line, 2, F.size(line)), inside)
+    return F.aggregate(parts, F.lit(0.0), lambda s, p: s + p)
+
+
+def covers(x: Column, y: Column, ring: Column) -> Column:
+    """Does a ring hold a point, its border included?"""
+    on = F.exists(F.zip_with(ring, _turned(ring), lambda a, b: distance_to_part(x, y, a, b) <= 1e-9), lambda z: z)
+    return on | in_ring(x, y, ring)
+
+
+def distance_to_part(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """Distance of a point from the straight part from ``a`` to ``b``."""
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    square = dx * dx + dy * dy
+    t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a["x"]) * dx + (y - a["y"]) * dy) / square))).otherwise(0.0)
+    return F.hypot(x - a["x"] - t * dx, y - a["y"] - t * dy)
+
+
+def distance_to_line(x: Column, y: Column, line: Column) -> Column:
+    return F.array_min(F.zip_with(F.slice(line, 1, F.size(line) - 1), F.slice(line, 2, F.size(line)), lambda a, b: distance_to_part(x, y, a, b)))
+
+
+def assigned(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """``points`` (id, x, y) with the cell (``id_b``, ``shape_b``) that holds them; on a shared border the smallest, outside none."""
+    cell = lambda c: F.floor(F.col(c) / size)
+    near = points.select("id", "x", "y").withColumn("bx", cell("x")).withColumn("by", cell("y")).join(_bucketed(cells, "shape_b", size, "_b"), ["bx", "by"])
+    held = near.where(F.col("x").between(F.col("x0_b"), F.col("x1_b")) & F.col("y").between(F.col("y0_b"), F.col("y1_b"))).where(covers(F.col("x"), F.col("y"), F.col("shape_b")))
+    return points.join(held.groupBy("id").agg(F.min("id_b").alias("id_b")), "id", "left")
+
+
+def lines_near(points: DataFrame, lines: DataFrame, radius: float) -> DataFrame:
+    """``(id, id_a, distance)``: lines (``id_a``, ``shape_a``) within ``radius`` of each point, with the distance from the line itself."""
+    r = F.lit(float(radius))
+    box = lines.select("*", *_box("shape_a"))
+    low, high = (lambda c: F.floor((F.col(c) - r) / r)), (lambda c: F.floor((F.col(c) + r) / r))
+    box = box.withColumn("bx", F.explode(F.sequence(low("x0__"), high("x1__")))).withColumn("by", F.explode(F.sequence(low("y0__"), high("y1__"))))
+    pairs = points.withColumn("bx", F.floor(F.col("x") / r)).withColumn("by", F.floor(F.col("y") / r)).join(box.select("id_a", "shape_a", "bx", "by"), ["bx", "by"])
+    return pairs.select("id", "id_a", distance_to_line(F.col("x"), F.col("y"), F.col("shape_a")).alias("distance")).where(F.col("distance") <= r)
+
+
+def resolved(cells: DataFrame, size: float, least: float = 1e-3) -> DataFrame:
+    """Convex cells (``id``, ``shape``) as a partition: on contested ground the smallest id keeps it.
+
+    Returns ``id, pieces, disputed``: convex pieces, and the area that went to smaller ids; a cell with nothing left is
+    dropped. What a smaller cell itself gave up went to a still smaller one that meets this cell there too, so every cell
+    is cut by its smaller neighbours as they came: no order of cells has to be followed.
+    """
+    a, b = cells.select(F.col("id").alias("id_a"), F.col("shape").alias("shape_a")), cells.select(F.col("id").alias("id_b"), F.col("shape").alias("shape_b"))
+    pairs = candidates(a, b, size).where("id_b < id_a").where(clipped_area(F.col("shape_a"), F.col("shape_b")) > least)
+    before = pairs.groupBy(F.col("id_a").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id_b", "shape_b"))).alias("before"))
+    out = cells.join(before, "id", "left").withColumn("whole", F.array("shape"))
+    pieces = F.when(F.col("before").isNull(), F.col("whole")).otherwise(F.aggregate("before", F.col("whole"), lambda p, o: difference(p, o["shape_b"])))
+    out = out.withColumn("pieces", pieces).where(F.size("pieces") > 0)
+    return out.select("id", "pieces", (ring_area(F.col("shape")) - pieces_area(F.col("pieces"))).alias("disputed"))
+
+
+def clipped_to(cells: DataFrame, mask: DataFrame, size: float, least: float = 1e-9) -> DataFrame:
+    """``(id, pieces)``: convex cells (``id``, ``shape``) inside the pieces of a mask (``id_b``, ``shape_b``), gathered by cell; cells outside are gone."""
+    pairs = candidates(cells.select(F.col("id").alias("id_a"), F.col("shape").alias("shape_a")), mask, size)
+    parts = pairs.withColumn("part", clipped(F.col("shape_a"), F.col("shape_b"))).where(ring_area(F.col("part")) > least)
+    return parts.groupBy(F.col("id_a").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id_b", "part"))), lambda x: x["part"]).alias("pieces"))
+
+
+def touching(edges: DataFrame, cells: DataFrame) -> DataFrame:
+    """The edges (``src``, ``dst``) both of whose cells (``id``, ``pieces``) are there and still meet, if only in a point."""
+    ends = edges.join(cells.select(F.col("id").alias("src"), F.col("pieces").alias("ps")), "src").join(cells.select(F.col("id").alias("dst"), F.col("pieces").alias("pd")), "dst")
+    meet = F.exists("ps", lambda p: F.exists("pd", lambda q: F.size(clipped(p, q)) > 0))
+    return ends.where(meet).select(*edges.columns)
+
+
+def coordinate_lists(cells: DataFrame) -> DataFrame:
+    """``(id, lng, lat)`` as lists of the largest piece's corners, rounded to six places; empty shapes are left out."""
+    largest = F.array_max(F.transform("pieces", lambda p: F.struct(ring_area(p).alias("area"), p.alias("ring"))))["ring"]
+    rows = cells.where(F.size("pieces") > 0).withColumn("ring", largest)
+    return rows.select("id", *[F.transform("ring", lambda q, c=c: F.round(q[c], 6)).alias(name) for name, c in (("lng", "x"), ("lat", "y"))])
 
 
 def correspondence(a: DataFrame, b: DataFrame, size: float, least: float = 1.0) -> DataFrame:
     """Area of each overlapping pair from ``least`` up, and its share of either side. Shares are never normalised."""
-    pairs = candidates(a, b, size).withColumn("area", clipped_area("shape_a", "shape_b")).where(F.col("area") >= least)
+    pairs = candidates(a, b, size).withColumn("area", clipped_area(F.col("shape_a"), F.col("shape_b"))).where(F.col("area") >= least)
     return pairs.select("id_a", "id_b", "area", (F.col("area") / ring_area(F.col("shape_a"))).alias("frac_a"), (F.col("area") / ring_area(F.col("shape_b"))).alias("frac_b"))
 
 
 def line_correspondence(lines: DataFrame, cells: DataFrame, size: float, least: float = 1.0) -> DataFrame:
     """Length of each line within each cell from ``least`` up, and its share of the line's length."""
-    pairs = candidates(lines, cells, size).withColumn("length", clipped_length("shape_a", "shape_b")).where(F.col("length") >= least)
+    pairs = candidates(lines, cells, size).withColumn("length", clipped_length(F.col("shape_a"), F.col("shape_b"))).where(F.col("length") >= least)
     return pairs.select("id_a", "id_b", "length", (F.col("length") / line_length(F.col("shape_a"))).alias("frac_a"))
 
 
@@ -198,17 +289,26 @@ def within(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     return pairs.withColumn("distance", F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))).where(F.col("distance") <= radius)
 
 
-def nearest(points: DataFrame, targets: DataFrame, start: float, levels: int = 8) -> DataFrame:
-    """Nearest target of each point (ties: smallest target); None beyond ``start * 4 ** (levels - 1)``.
+def nearest(points: DataFrame, targets: DataFrame, start: float) -> DataFrame:
+    """Nearest target of each point (ties: smallest target); NULL only where there is no target at all.
 
-    Rings of buckets: points without a target within the radius go on to a radius four times as large.
+    Waves of buckets: points without a target within the radius go on, written, to a radius four times as
+    large, until the radius spans everything.
     """
-    left, radius, found = points, start, None
-    for _ in range(levels):
+    corner = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    a, b = corner(points, "x", "y"), corner(targets, "tx", "ty")
+    if a[0] is None or b[0] is None:
+        return points.withColumn("distance", F.lit(None).cast("double")).withColumn("target", F.lit(None).cast(targets.schema["target"].dataType))
+    span = math.hypot(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2])) * (1 + 1e-9)
+    left, radius, found = points.select("id", "x", "y"), float(start), None
+    while True:
         best = within(left, targets, radius).groupBy("id").agg(F.min(F.struct("distance", "target")).alias("m")).select("id", "m.distance", "m.target")
+        best = stored(best, "nearest")
         found = best if found is None else found.unionByName(best)
-        left, radius = left.join(best, "id", "left_anti"), radius * 4
-    return points.join(found, "id", "left")
+        left = stored(left.join(best, "id", "left_anti"), "left")
+        if radius >= span or left.isEmpty():
+            return points.join(found, "id", "left")
+        radius = min(radius * 4, max(span, start))
 
 
 def names_near(pairs: DataFrame, separator: str = " · ") -> DataFrame:

@@ -229,7 +229,7 @@ def _targets(spark, d):
 
 
 def nearest_point(spark, d):
-    out = space.nearest(_points(spark, d).where("label <> 0"), _targets(spark, d), 20.0, 5)
+    out = space.nearest(_points(spark, d).where("label <> 0"), _targets(spark, d), 20.0)
     return out.select("id", "target", F.round("distance", 6).alias("distance"), (F.col("distance") > 50).alias("far"))
 
 

@@ -222,5 +222,27 @@ def test_registry_policies_rounding_and_no_churn(spark):
     new = registry.emitted(numbers.withColumn("script_sha", F.lit("new")).withColumn("value", F.when(F.col("family") == "other", 7.0).otherwise(F.col("value"))), policies)
     merged = {r.key: r.script_sha for r in registry.merged(old, new).collect()}
     assert merged == {"cover.all": "old", "other.x": "new"}
-    lines = spark.createDataFrame([("f", 1, "a <!-- canon:cover.all=~2.68 --> b <!-- canon:cover.all=2.7 -->"), ("f", 2, "<!-- canon:nope=1 --> 7")], "file string, line int, text string")
-    assert sorted(r.verdict for r in registry.checked(registry.anchors(lines), old).collect()) == ["mismatch", "ok", "unknown"]
+    texts = [
+        ("a CANON: cover.all = ~2.68 b CANON: cover.all=2.7", ["ok", "mismatch"]), ("CANON: nope = 1", ["unknown"]), ("CANON: cover = 2.68", ["ok"]), ("CANON: other.x = 1", ["not_canonical"]),
+        ("CANON: other.x = 1 variant-ok", ["ok"]), ("CANON: cover.all = 2.680", ["too_precise"]), ("CANON: cover.all = 3,5", ["unreadable"]), ("canon cover.all = 2", []), ("canon of a kind", []),
+    ]
+    lines = spark.createDataFrame([("f", k, t) for k, (t, _) in enumerate(texts)], "file string, line int, text string")
+    got = sorted((r.line, r.verdict) for r in registry.checked(registry.anchors(lines), old).collect())
+    assert got == sorted((k, v) for k, (_, x) in enumerate(texts) for v in x)
+    assert [r.line for r in registry.malformed(lines).collect()] == [7]
+    aged = registry.checked(registry.anchors(lines.where("line = 2")), old, old.select("key"))
+    assert [r.verdict for r in aged.collect()] == ["stale"]
+    numbers = spark.createDataFrame([("f", 0, "x 1.5"), ("f", 1, "CANON: a = 1"), ("f", 2, "2.5"), ("f", 3, "plain 7"), ("f", 4, "~ 3.25")], "file string, line int, text string")
+    assert [r.line for r in registry.audit(numbers).collect()] == [4]
+
+
+def test_policy_patterns_take_only_stars_for_any_text(spark):
+    policies = spark.createDataFrame([("r_pooled.*", 1, "half_up", "v")], "pattern string, decimals int, mode string, variant_canonical string")
+    entries = spark.createDataFrame([("r_pooled.x", "v", 1.0), ("rXpooled.x", "v", 1.0), ("r_pooledZx", "v", 1.0)], "family string, variant string, value double")
+    assert {r.family: r.decimals for r in registry.with_policy(entries, policies).collect()} == {"r_pooled.x": 1, "rXpooled.x": None, "r_pooledZx": None}
+
+
+@pytest.mark.parametrize(("decimals", "want"), [(9, "0.000000990"), (0, "0"), (12, "0.000000990000")])
+def test_small_values_keep_their_decimals(spark, decimals, want):
+    df = spark.createDataFrame([(9.9e-7, decimals, "half_up")], "v double, d int, m string")
+    assert df.select(registry.rounded(F.col("v"), F.col("d"), F.col("m"))).first()[0] == want
