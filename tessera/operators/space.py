@@ -107,6 +107,11 @@ def candidates(a: DataFrame, b: DataFrame, size: float, shape_a: str = "shape_a"
     return pairs.where(meet & own).drop("bx", "by", *[f"{c}_{m}" for m in "ab" for c in ("x0", "y0", "x1", "y1")])
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _side(e: Column, p: Column) -> Column:
     """Positive left of the directed edge ``e`` (from ``p`` to ``q``)."""
     return (e["q"]["x"] - e["p"]["x"]) * (p["y"] - e["p"]["y"]) - (e["q"]["y"] - e["p"]["y"]) * (p["x"] - e["p"]["x"])
@@ -119,8 +124,7 @@ def _turned(ring: Column) -> Column:
 def _edges(ring: Column) -> Column:
     """Edges of a ring, counter-clockwise."""
     signed = F.aggregate(F.zip_with(ring, _turned(ring), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, p: s + p)
-    way = F.when(signed < 0, F.reverse(ring)).otherwise(ring)
-    return F.zip_with(way, _turned(way), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    return _let(F.when(signed < 0, F.reverse(ring)).otherwise(ring), lambda way: F.zip_with(way, _turned(way), lambda p, q: F.struct(p.alias("p"), q.alias("q"))))
 
 
 def _cut(shape: Column, e: Column) -> Column:
@@ -142,7 +146,7 @@ def clipped(shape: Column, ring: Column) -> Column:
 
 def clipped_area(shape: Column, ring: Column) -> Column:
     """Area of a convex polygon inside a convex ring."""
-    return ring_area(clipped(shape, ring))
+    return _let(clipped(shape, ring), ring_area)
 
 
 def difference(pieces: Column, ring: Column, least: float = 1e-9) -> Column:
@@ -150,7 +154,7 @@ def difference(pieces: Column, ring: Column, least: float = 1e-9) -> Column:
 
     def step(state: Column, e: Column) -> Column:
         away = _cut(state["rest"], F.struct(e["q"].alias("p"), e["p"].alias("q")))
-        kept = F.when((F.size(away) > 2) & (ring_area(away) > least), F.array(away)).otherwise(F.slice(state["out"], 1, 0))
+        kept = F.filter(F.array(away), lambda z: (F.size(z) > 2) & (ring_area(z) > least))
         return F.struct(_cut(state["rest"], e).alias("rest"), F.concat(state["out"], kept).alias("out"))
 
     def without(piece: Column) -> Column:
@@ -231,8 +235,8 @@ def resolved(cells: DataFrame, size: float, least: float = 1e-3) -> DataFrame:
     before = pairs.groupBy(F.col("id_a").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id_b", "shape_b"))).alias("before"))
     out = cells.join(before, "id", "left").withColumn("whole", F.array("shape"))
     pieces = F.when(F.col("before").isNull(), F.col("whole")).otherwise(F.aggregate("before", F.col("whole"), lambda p, o: difference(p, o["shape_b"])))
-    out = out.withColumn("pieces", pieces).where(F.size("pieces") > 0)
-    return out.select("id", "pieces", (ring_area(F.col("shape")) - pieces_area(F.col("pieces"))).alias("disputed"))
+    done = _let(pieces, lambda p: F.struct(p.alias("pieces"), pieces_area(p).alias("area")))
+    return out.select("id", "shape", F.inline(F.filter(F.array(done), lambda x: F.size(x["pieces"]) > 0))).select("id", "pieces", (ring_area(F.col("shape")) - F.col("area")).alias("disputed"))
 
 
 def clipped_to(cells: DataFrame, mask: DataFrame, size: float, least: float = 1e-9) -> DataFrame:
