@@ -139,14 +139,18 @@ def _cut(shape: Column, e: Column) -> Column:
     return F.flatten(F.zip_with(shape, _turned(shape), step))
 
 
+def _column(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
 def clipped(shape: Column, ring: Column) -> Column:
     """A convex polygon inside a convex ring: cut by one edge's half plane after the other. Polygons that touch leave points."""
     return F.aggregate(_edges(ring), shape, _cut)
 
 
-def clipped_area(shape: Column, ring: Column) -> Column:
+def clipped_area(shape: Column | str, ring: Column | str) -> Column:
     """Area of a convex polygon inside a convex ring."""
-    return _let(clipped(shape, ring), ring_area)
+    return _let(clipped(_column(shape), _column(ring)), ring_area)
 
 
 def difference(pieces: Column, ring: Column, least: float = 1e-9) -> Column:
@@ -168,9 +172,9 @@ def pieces_area(pieces: Column) -> Column:
     return F.aggregate(F.transform(pieces, ring_area), F.lit(0.0), lambda s, a: s + a)
 
 
-def clipped_length(line: Column, ring: Column) -> Column:
+def clipped_length(line: Column | str, ring: Column | str) -> Column:
     """Length of a line inside a convex ring: each part is cut by every edge's half plane."""
-    edges = _edges(ring)
+    line, edges = _column(line), _edges(_column(ring))
 
     def inside(a: Column, b: Column) -> Column:
         def step(s: Column, e: Column) -> Column:
