@@ -5,8 +5,10 @@ hash of its id. In each round every group of equal texts looks where most of its
 other parts ask to move there; a shard admits them, in a fixed order, up to its free capacity. Parts
 move as chunks (the documents of a group with one of ``PARTS`` starting labels), so that a group
 larger than a shard, or a third of all rows, is spread and no key gathers it. Documents without links
-can stand anywhere: at the end they fill the shards to equal size, in the order of a hash, which
-leaves every shard within one document of the mean as long as linked bytes fit in.
+can stand anywhere: at the end large ones (at least ``1 / LARGE`` of a shard, of which there can be no
+more than ``LARGE`` for each shard) go one by one, the largest first, to the shard that holds least; all
+others then fill the shards to equal size, in the order of a hash, which leaves every shard within
+``1 / LARGE`` of the mean as long as linked and large documents fit in.
 
 Prefix sums over movers, free documents and slots run in two levels: sums of hash ranges,
 then order within a range; no window holds a shard.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
 
-SHARDS, PARTS, ROUNDS, SLACK = 8, 128, 6, 0.01
+SHARDS, PARTS, ROUNDS, SLACK, LARGE = 8, 128, 6, 0.01, 100
 #: Hash ranges of a prefix sum: as many as give each about so many rows, within a window of one row for each range.
 ROWS_PER_RANGE, LEAST_RANGES = 100_000, 1024
 GROUP = ["group__", "size", "text_crc32"]
@@ -72,6 +74,22 @@ def propagated(chunks: DataFrame, total: int, ranges: int, shards: int = SHARDS,
     return chunks
 
 
+def levelled(large: DataFrame, loads: list[int]) -> DataFrame:
+    """``large`` (at most ``LARGE`` rows for each shard) with ``shard``: from the largest on, each goes where least is held."""
+    kind = "array<struct<group__:bigint,size:bigint,text_crc32:bigint,shard:int>>"
+    start = F.struct(F.array(*[F.lit(x).cast("long") for x in loads]).alias("loads"), F.array().cast(kind).alias("out"))
+
+    def place(state: Column, doc: Column) -> Column:
+        goal = (F.array_position(state["loads"], F.array_min(state["loads"])) - 1).cast("int")
+        held = F.transform(state["loads"], lambda x, k: F.when(k == goal, x + doc["size"]).otherwise(x))
+        one = F.struct(doc["group__"].alias("group__"), doc["size"].alias("size"), doc["text_crc32"].alias("text_crc32"), goal.alias("shard"))
+        return F.struct(held.alias("loads"), F.concat(state["out"], F.array(one).cast(kind)).alias("out"))
+
+    order = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("least"), *GROUP)))
+    goals = large.agg(order.alias("docs")).select(F.inline(F.aggregate("docs", start, place)["out"]))
+    return large.join(goals, GROUP)
+
+
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` for every row of ``docs`` (columns ``doc_id``, ``text``)."""
     rows = stored(sized(docs).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")), "sized")
@@ -82,16 +100,18 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     ranges = ranges_of(n)
     chunks = propagated(stored(chunks, "chunks"), total, ranges, shards)
     placed = linked.join(chunks.select(*GROUP, "part", "shard"), [*GROUP, "part"]).select("doc_id", "size", "text_crc32", "shard")
-    loads = _loads(chunks, shards)
+    alone = rows.join(groups, GROUP, "left_anti")
+    is_large = F.col("size") * (shards * LARGE) >= total
+    large = stored(levelled(alone.where(is_large), _loads(chunks, shards)).select("doc_id", "size", "text_crc32", "shard"), "large")
+    loads = [x + y for x, y in zip(_loads(chunks, shards), _loads(large.withColumnRenamed("size", "bytes"), shards), strict=True)]
     room = [max(0.0, total / shards - x) for x in loads]
     free = total - sum(loads)
     scale = free / sum(room) if sum(room) else 0.0
     ends = [scale * sum(room[: k + 1]) for k in range(shards)]
-    alone = rows.join(groups, GROUP, "left_anti").withColumn("all__", F.lit(0))
-    alone = running(alone, ["all__"], F.col("size"), ["doc_id", "group__"], ranges)
+    alone = running(alone.where(~is_large).withColumn("all__", F.lit(0)), ["all__"], F.col("size"), ["doc_id", "group__"], ranges)
     at = F.col("before__") + F.col("size") / 2
     shard = F.lit(shards - 1)
     for k in range(shards - 2, -1, -1):
         shard = F.when(at < ends[k], k).otherwise(shard)
-    both = placed.unionByName(alone.select("doc_id", "size", "text_crc32", shard.alias("shard")))
+    both = placed.unionByName(large).unionByName(alone.select("doc_id", "size", "text_crc32", shard.alias("shard")))
     return running(both.withColumn("shard", F.col("shard").cast("int")), ["shard"], F.lit(1).cast("long"), ["doc_id", "text_crc32"], ranges).withColumnRenamed("before__", "slot")
