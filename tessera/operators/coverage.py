@@ -23,8 +23,10 @@ def support(observed: DataFrame) -> DataFrame:
 
 
 def district_quality(observed: DataFrame, audit: DataFrame) -> DataFrame:
-    """Audit and share of real coordinates of each district, from either side (full outer)."""
-    share = observed.where(no_blank(F.col("ubigeo")).isNotNull()).groupBy("ubigeo").agg(F.max("real_coord_ratio").alias("coord_real"))
+    """Audit and share of real coordinates of each district, from either side (full outer); a district with several shares raises."""
+    ratio = F.col("real_coord_ratio")
+    one = F.when(F.min(ratio) < F.max(ratio), F.raise_error(F.lit("a district has several values of real_coord_ratio")).cast("double")).otherwise(F.max(ratio))
+    share = observed.where(no_blank(F.col("ubigeo")).isNotNull()).groupBy("ubigeo").agg(one.alias("coord_real"))
     return audit.join(share, "ubigeo", "full")
 
 

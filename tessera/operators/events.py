@@ -156,9 +156,18 @@ def filled(profile: DataFrame, by: str, at: str, value: str) -> DataFrame:
 
 
 def distance_rings(points: DataFrame, places: DataFrame, edges: tuple[float, ...]) -> DataFrame:
-    """Ring ``[lo, hi)`` of each point around each of a short list of places; a point may lie in rings of several."""
+    """Ring ``[lo, hi)`` of each point around each place; a point may lie in rings of several.
+
+    Points meet the places of their own and the neighbouring squares of the outermost edge's length: an
+    equi join, however many places there are.
+    """
+    side = float(edges[-1])
+    square = lambda c, name: F.floor(F.col(c) / side).cast("long").alias(name)
+    around = F.explode(F.array(*[F.struct((F.floor(F.col("px") / side) + i).cast("long").alias("i__"), (F.floor(F.col("py") / side) + j).cast("long").alias("j__")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    places = places.withColumn("s__", around).select(*places.columns, "s__.*")
+    met = points.select("*", square("x", "i__"), square("y", "j__")).join(places, ["i__", "j__"]).drop("i__", "j__")
     far = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
     ring = F.lit(None).cast("string")
     for lo, hi in zip(edges, edges[1:], strict=False):
         ring = F.when((far >= lo) & (far < hi), f"r{lo:g}_{hi:g}").otherwise(ring)
-    return points.join(F.broadcast(places)).withColumn("ring", ring).where("ring is not null")
+    return met.withColumn("ring", ring).where("ring is not null")

@@ -23,10 +23,12 @@ def with_policy(entries: DataFrame, policies: DataFrame) -> DataFrame:
     """Each family's policy; a family without one keeps NULLs and is not canonical."""
     plain = F.regexp_replace("pattern", r"[.+^${}()|\[\]\\]", r"\\$0")
     regex = F.concat(F.lit("(?s)^"), F.replace(F.replace(plain, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
-    found = policies.withColumn("regex__", regex)
-    families = entries.select("family").distinct()
-    # policies are a short, hand-written table; only a pattern with a star stands for others than itself
-    hits = families.join(F.broadcast(found), F.expr("family = pattern OR (pattern LIKE '%*%' AND family RLIKE regex__)"))
+    # only a pattern with a star stands for others than itself: such patterns meet families by their text before the first sign
+    fixed = F.when(F.col("pattern").contains("*"), F.regexp_extract("pattern", r"^[^*?]*", 0)).otherwise(F.col("pattern"))
+    found = policies.withColumn("regex__", regex).withColumn("begin__", fixed)
+    begins = F.explode(F.transform(F.sequence(F.lit(0), F.char_length("family")), lambda n: F.substring("family", F.lit(1), n)))
+    families = entries.select("family").distinct().withColumn("begin__", begins)
+    hits = families.join(found, "begin__").where(F.expr("family = pattern OR (pattern LIKE '%*%' AND family RLIKE regex__)"))
     best = F.struct((F.col("pattern") != F.col("family")).alias("a"), (-F.length("pattern")).alias("b"), "pattern", "decimals", "mode", "variant_canonical")
     chosen = hits.groupBy("family").agg(F.min(best).alias("p")).select("family", "p.decimals", "p.mode", F.col("p.variant_canonical").alias("wanted__"))
     out = entries.join(chosen, "family", "left")

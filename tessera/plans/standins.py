@@ -1,7 +1,7 @@
 """Stand-ins: the driver's tables in the shape of the operators' inputs, in Spark and in SQL.
 
-Cell = customer, district = nation, department = region, category = order priority, registry = late
-urgent orders, audit = nations with an even key, incident and event day = rows of ``events``,
+Cell = customer, district = nation, department = region, category = order priority, registry = orders of
+all market segments but one, audit = nations with an even key, incident and event day = rows of ``events``,
 points = first two coordinates of ``embeddings``, lanes = supplier nation to customer nation, arcs =
 supplier to customer, where one number is one place.
 """
@@ -31,9 +31,9 @@ GRID = """grid AS (
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= "2000-07-01") & (F.col("o_orderpriority") == "1-URGENT"))
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    out = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    """All orders of the market segments that the register covers: every customer has orders, and some cells must have no record."""
+    customer = table(spark, sf_dir, "customer").where("c_mktsegment <> 'MACHINERY'").select("c_custkey", "c_nationkey")
+    out = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
     return out.select(
         F.col("o_custkey").cast("string").alias("h3_index"), F.col("c_nationkey").cast("string").alias("ubigeo"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("crime_cat"),
         F.lit(1).cast("long").alias("obs_geo_count"), (F.col("c_nationkey") / 50.0).alias("real_coord_ratio"),
@@ -42,7 +42,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = """registry AS (
   SELECT o_custkey::VARCHAR AS h3_index, c_nationkey::VARCHAR AS ubigeo, year(o_orderdate) AS year, o_orderpriority AS crime_cat, 1 AS obs_geo_count, c_nationkey / 50.0 AS real_coord_ratio
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= '2000-07-01' AND o_orderpriority = '1-URGENT')"""
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'MACHINERY')"""
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:

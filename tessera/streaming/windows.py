@@ -13,6 +13,10 @@ def hourly_counts(events: DataFrame, time: str, keys: list[str], late: str = "2
 
 
 def stratum_hits(events: DataFrame, time: str, looks: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Events that fall into a stratum's window: a stream joined with the static strata (stadium, from_ts, to_ts, stratum)."""
-    marked = events.withWatermark(time, late)
-    return marked.join(F.broadcast(looks), "stadium").where((F.col(time) >= F.col("from_ts")) & (F.col(time) < F.col("to_ts"))).select("stratum", "stadium", time)
+    """Events that fall into a stratum's window: a stream joined with the static strata (stadium, from_ts, to_ts, stratum).
+
+    They meet by place and day, as strata grow with the data; Spark broadcasts them only while they are small.
+    """
+    marked = events.withWatermark(time, late).withColumn("day__", F.to_date(time))
+    by_day = looks.withColumn("day__", F.explode(F.sequence(F.to_date("from_ts"), F.to_date("to_ts"))))
+    return marked.join(by_day, ["stadium", "day__"]).where((F.col(time) >= F.col("from_ts")) & (F.col(time) < F.col("to_ts"))).select("stratum", "stadium", time)

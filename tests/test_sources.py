@@ -86,3 +86,19 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     got = {(r.start, r.kind): r.n for r in spark.table("hourly").collect()}
     want = {(r.start, r.kind): r.n for r in windows.hourly_counts(rows, "ts", ["kind"]).collect()}
     assert got == want and sum(got.values()) == 60
+
+
+def test_streamed_hits_meet_windows_over_midnight(spark, tmp_path):
+    from tessera.streaming import windows
+
+    day = "2024-03-01 "
+    rows = [("a", day + "23:30:00"), ("a", "2024-03-02 00:30:00"), ("a", "2024-03-02 02:00:00"), ("b", day + "23:30:00"), (None, day + "23:30:00")]
+    events = spark.createDataFrame(rows, "stadium string, at string").selectExpr("stadium", "timestamp(at) AS at")
+    events.write.parquet(f"{tmp_path}/in")
+    looks = spark.createDataFrame([("a", day + "23:00:00", "2024-03-02 02:00:00", 1), ("a", day + "20:00:00", day + "23:30:00", 2)], "stadium string, f string, t string, stratum int")
+    looks = looks.selectExpr("stadium", "timestamp(f) AS from_ts", "timestamp(t) AS to_ts", "stratum")
+    stream = windows.stratum_hits(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"), "at", looks)
+    query = stream.writeStream.format("memory").queryName("hits").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert sorted(str(r.at) for r in spark.table("hits").collect()) == ["2024-03-01 23:30:00", "2024-03-02 00:30:00"]
+    assert {r.stratum for r in spark.table("hits").collect()} == {1}
