@@ -2,6 +2,12 @@
 
 Every stage but the last returns the columns of ``documents``. SQL cannot express the learnt, sketched
 and sampled stages, so there is no oracle SQL; tests hold each stage against a brute-force version.
+
+Edge cases: columns beyond those of ``documents`` are left behind by the first stage, whatever they are
+called; an empty table passes as no rows through every stage. A null or empty text scores like any
+other, leaves the line stage as an empty text, links with nothing, and is no part of a mix, which counts
+words. Rows that repeat a ``doc_id`` are scored and cleaned one by one, and stay where their texts
+differ; of rows that repeat text and id alike one stays, unless the text has no words.
 """
 
 from __future__ import annotations
