@@ -47,10 +47,9 @@ def strict_bool(x: Column) -> Column:
 
 
 def clock_hours(x: Column) -> Column:
-    """``HH:MM`` as hours, missing where it does not parse."""
-    found = F.regexp_extract(x, r"^\s*(\d{1,2}):(\d{2})\s*$", 0)
-    part = lambda k: F.regexp_extract(x, r"^\s*(\d{1,2}):(\d{2})\s*$", k).cast("double")
-    return F.when(found != "", part(1) + part(2) / 60)
+    """``HH:MM``, or that and more parts, as hours; missing where the first two do not parse."""
+    part = lambda k: F.nullif(F.regexp_extract(x, r"^\s*(\d+(?:\.\d+)?)\s*:\s*(\d+(?:\.\d+)?)\s*(?::.*)?$", k), F.lit("")).cast("double")
+    return part(1) + part(2) / 60
 
 
 def leading_number(x: Column) -> Column:
@@ -113,6 +112,11 @@ def mercator(lat: Column, lng: Column) -> tuple[Column, Column]:
     return lng / 360 + 0.5, F.lit(0.5) - F.log((1 + s) / (1 - s)) / (4 * F.pi())
 
 
+def inverse_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of Web-Mercator x, y in the unit square."""
+    return F.degrees(F.atan(F.sinh((F.lit(0.5) - y) * 2 * F.pi()))), (x - 0.5) * 360
+
+
 def scale_bar(extent: Column, fraction: float = 0.25) -> Column:
     """Largest 1, 2 or 5 times a power of ten that is at most ``fraction`` of the extent."""
     goal = extent * fraction

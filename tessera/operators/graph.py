@@ -23,12 +23,32 @@ BROADCAST_ARCS = 10_000_000
 SOURCES_AT_ONCE, BLOCK_CELLS, RUN_ARCS = 32, 1 << 22, 1 << 15
 
 
-def segments(arcs: DataFrame) -> DataFrame:
-    """Undirected segments: both directions of a street are one row, ``tramo_id = u-v-key`` with the ids in text order."""
+def segments(arcs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Undirected segments: both directions of a street are one row, ``tramo_id = u-v-key`` with the ids in text order.
+
+    ``keep``: attributes of the direction whose ends come first.
+    """
     u, v = F.col("u").cast("string"), F.col("v").cast("string")
     pairs = arcs.withColumn("a", F.least(u, v)).withColumn("b", F.greatest(u, v))
-    best = pairs.groupBy("a", "b", "key").agg(F.min("length").alias("length"))
-    return best.select(F.concat_ws("-", "a", "b", F.col("key").cast("string")).alias("tramo_id"), F.col("a").alias("u"), F.col("b").alias("v"), "key", "length")
+    best = pairs.groupBy("a", "b", "key").agg(F.min("length").alias("length"), *[F.min_by(c, F.struct("u", "v")).alias(c) for c in keep])
+    return best.select(F.concat_ws("-", "a", "b", F.col("key").cast("string")).alias("tramo_id"), F.col("a").alias("u"), F.col("b").alias("v"), "key", "length", *keep)
+
+
+def quality(arcs: DataFrame, observed: str, fields: tuple[str, ...]) -> DataFrame:
+    """Sizes of a graph, percent of imputed arcs by count and by length, and percent of segments that lack each field.
+
+    What is imputed counts over arcs, as paths use them; what is missing over segments, which are the streets.
+    """
+    pct = lambda top, all_: F.round(100 * top / all_, 6)
+    made = ~F.coalesce(F.col(observed), F.lit(False))
+    lines = segments(arcs, fields).agg(F.count("*").alias("n"), *[F.round(100 * F.avg(F.col(c).isNull().cast("double")), 6).alias(c) for c in fields])
+    ends = arcs.select(F.explode(F.array("u", "v")).alias("node")).agg(F.count_distinct("node").alias("n"))
+    out = arcs.agg(
+        F.count("*").alias("n_aristas"), pct(F.count(F.when(made, 1)), F.count("*")).alias("pct_imputado_aristas"),
+        pct(F.sum(F.when(made, F.col("length")).otherwise(0.0)), F.sum("length")).alias("pct_imputado_largo"),
+    )
+    out = out.withColumn("n_nodos", ends.scalar()).withColumn("lines__", lines.select(F.struct("*")).scalar())
+    return out.select("n_nodos", "n_aristas", F.col("lines__.n").alias("n_tramos"), "pct_imputado_aristas", "pct_imputado_largo", *[F.col(f"lines__.{c}").alias(f"pct_sin_{c}") for c in fields])
 
 
 def undirected(pairs: DataFrame) -> DataFrame:

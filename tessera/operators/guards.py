@@ -47,3 +47,12 @@ def holds(df: DataFrame, condition: Column, what: str) -> DataFrame:
 def constant_within(df: DataFrame, key: str, column: str) -> DataFrame:
     """Raise if a group has two different values."""
     return holds(df.groupBy(key).agg(F.count_distinct(column).alias("n")), F.col("n") <= 1, f"{column} varies within {key}")
+
+
+def same_count(df: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """Raise unless ``df`` has as many rows as an earlier stage registered under ``key`` (entries: key, shown)."""
+    known = entries.where(F.col("key") == key).select(F.col("shown").cast("double")).first()
+    rows = df.count()
+    if known is None or known[0] != rows:
+        raise ValueError(f"{rows} rows, but {key} is {known and known[0]}: run the earlier stages again")
+    return df

@@ -2,7 +2,8 @@
 
 A window without partitions would send a whole table to one task. Ranks are therefore computed from
 counts of the distinct values: quantiles cut the values into buckets, sums of the buckets give each
-its offset, and a window runs within a bucket. Top lists order only the rows that they return.
+its offset, and a window runs within a bucket. The counts are written once and read for each of these
+steps, so that the table behind them is read once. Top lists order only the rows that they return.
 """
 
 from __future__ import annotations
@@ -10,12 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import stored
+
 BUCKETS = 256
 
 
 def value_ranks(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
     """``(column, n, below, total)`` for each distinct value: its rows, the rows with smaller values, all rows."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    counts = stored(counts, "values")
     bounds = counts.agg(F.percentile_approx(column, [k / buckets for k in range(1, buckets)], 10_000)).scalar()
     dealt = counts.withColumn("bounds__", bounds).withColumn("bucket__", F.size(F.filter("bounds__", lambda b: b <= F.col(column)))).drop("bounds__")
     sums = dealt.groupBy("bucket__").agg(F.sum("n").alias("sum__"))
@@ -27,10 +31,10 @@ def value_ranks(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame
     return dealt.join(F.broadcast(offsets), "bucket__").select(column, "n", below.alias("below"), "total")
 
 
-def with_ranks(df: DataFrame, column: str, best: str | None = None, average: str | None = None, percentile: str | None = None) -> DataFrame:
+def with_ranks(df: DataFrame, column: str, best: str | None = None, average: str | None = None, percentile: str | None = None, of: DataFrame | None = None) -> DataFrame:
     """``df`` with the rank from the largest (ties share the best), the rank from the smallest (ties
-    averaged), and 100 * that rank / rows. Rows without a value have none."""
-    ranks = value_ranks(df, column)
+    averaged), and 100 * that rank / rows. Rows without a value have none. ``of``: the rows that are ranked, if not ``df``."""
+    ranks = value_ranks(df if of is None else of, column)
     mean = F.col("below") + (F.col("n") + 1) / 2
     found = {best: F.col("total") - F.col("below") - F.col("n") + 1, average: mean, percentile: 100 * mean / F.col("total")}
     return df.join(ranks.select(column, *[v.alias(k) for k, v in found.items() if k]), column, "left")
@@ -55,7 +59,7 @@ def overlap(a: DataFrame, b: DataFrame, key: str, k: int) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation of average ranks over the rows that have both values."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return with_ranks(with_ranks(both, a, average="ra__"), b, average="rb__").agg(F.count("*").alias("rows"), F.round(F.corr("ra__", "rb__"), 6).alias("spearman"))
+    return with_ranks(with_ranks(both, a, average="ra__"), b, average="rb__", of=both).agg(F.count("*").alias("rows"), F.round(F.corr("ra__", "rb__"), 6).alias("spearman"))
 
 
 def base_rate(df: DataFrame, flag: str, length: str) -> DataFrame:
@@ -67,11 +71,10 @@ def base_rate(df: DataFrame, flag: str, length: str) -> DataFrame:
 def precision_curve(df: DataFrame, column: str, key: str, flag: str, ks: tuple[int, ...]) -> DataFrame:
     """Precision among the first k, its excess over the base rate and lift, for each k that the table reaches."""
     ladder = df.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")
-    base = df.agg(F.avg(F.col(flag).cast("double"))).scalar()
-    rows = df.agg(F.count("*")).scalar()
+    all_ = df.agg(F.struct(F.avg(F.col(flag).cast("double")).alias("b"), F.count("*").alias("rows"))).scalar()
     # the top list has at most max(ks) rows
     hits = top(df, column, key, max(ks)).join(F.broadcast(ladder), F.col("rango") <= F.col("k")).groupBy("k").agg(F.avg(F.col(flag).cast("double")).alias("p"))
-    out = hits.withColumn("b", base).withColumn("rows", rows).where("k <= rows")
+    out = hits.withColumn("all__", all_).withColumn("b", F.col("all__.b")).where(F.col("k") <= F.col("all__.rows"))
     return out.select("k", F.round("p", 6).alias("precision"), F.round("b", 6).alias("base"), F.round(F.col("p") - F.col("b"), 6).alias("excess"), F.round(F.when(F.col("b") > 0, F.col("p") / F.col("b")), 6).alias("lift"))
 
 
@@ -86,10 +89,11 @@ def weak(df: DataFrame, column: str, flag: str, most_percentile: float = 50.0) -
 
 
 def ranked_table(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Best rank and percentile for each weight."""
+    """Best rank and percentile for each weight; the table is written once, as each weight reads it."""
+    out = rows = stored(df, "ranked")
     for c in columns:
-        df = with_ranks(df, c, best=f"rank_{c}", percentile=f"pct_{c}").withColumn(f"pct_{c}", F.round(f"pct_{c}", 6))
-    return df
+        out = with_ranks(out, c, best=f"rank_{c}", percentile=f"pct_{c}", of=rows).withColumn(f"pct_{c}", F.round(f"pct_{c}", 6))
+    return out
 
 
 def normalised(df: DataFrame, column: str, gamma: float = 1.0) -> DataFrame:

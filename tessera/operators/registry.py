@@ -121,3 +121,9 @@ def audit(lines: DataFrame) -> DataFrame:
 def figures(one_row: DataFrame) -> DataFrame:
     """A row of figures as ``(key, value)`` rows, ready to be emitted."""
     return one_row.select(*[F.col(c).cast("double").alias(c) for c in one_row.columns]).unpivot([], one_row.columns, "key", "value")
+
+
+def emission(figures_: DataFrame, policies: DataFrame, prefix: str, variant: str, unit: str, script_sha: str) -> DataFrame:
+    """A block of figures ``(key, value)`` as registry entries of the families ``prefix.key``."""
+    rows = figures_.select(F.concat(F.lit(prefix + "."), F.col("key")).alias("family"), F.lit(variant).alias("variant"), "value", F.lit(unit).alias("unit"), F.lit(script_sha).alias("script_sha"))
+    return emitted(rows, policies)

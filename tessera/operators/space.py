@@ -40,6 +40,41 @@ def utm18s(lat: Column, lng: Column) -> tuple[Column, Column]:
     return EAST + SCALE0 * radius * x, NORTH + SCALE0 * radius * y
 
 
+def from_utm18s(x: Column, y: Column) -> tuple[Column, Column]:
+    """EPSG:32718 to latitude and longitude, by the inverse series to the fourth order."""
+    n = FLAT / (2 - FLAT)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (
+        n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360,
+        n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
+        17 * n**3 / 480 - 37 * n**4 / 840,
+        4397 * n**4 / 161280,
+    )
+    delta = (
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+        56 * n**3 / 15 - 136 * n**4 / 35,
+        4279 * n**4 / 630,
+    )
+    eta, xi = (x - EAST) / (SCALE0 * radius), (y - NORTH) / (SCALE0 * radius)
+    e, s = eta, xi
+    for j, b in enumerate(beta, 1):
+        e = e - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        s = s - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    chi = F.asin(F.sin(s) / F.cosh(e))
+    lat = chi
+    for j, d in enumerate(delta, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    return F.degrees(lat), F.degrees(F.atan2(F.sinh(e), F.cos(s))) + MERIDIAN
+
+
+def metric(crs: str | None) -> str:
+    """``crs`` if it is the metric zone in which lengths and areas hold; any other, or none, raises."""
+    if crs is None or crs.strip().upper() not in ("EPSG:32718", "32718"):
+        raise ValueError(f"EPSG:32718 is required, got {crs!r}")
+    return crs
+
+
 def equirectangular(lat: Column, lng: Column, lat0: float, lng0: float) -> tuple[Column, Column]:
     """Metres east and north of a point, good for a few kilometres."""
     k = math.pi / 180 * 6371000.0
@@ -75,6 +110,20 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(parts, F.lit(0.0), lambda s, p: s + p)) / 2
 
 
+def centroid(ring: Column) -> Column:
+    """Centre of gravity of a ring; of one without area, the mean of its corners."""
+
+    def of(pairs: Column) -> Column:
+        total = lambda f: F.aggregate(F.transform(pairs, f), F.lit(0.0), lambda s, v: s + v)
+        cross = lambda z: z["a"]["x"] * z["b"]["y"] - z["b"]["x"] * z["a"]["y"]
+        twice = total(cross)
+        at = lambda c: F.when(F.abs(twice) > 0, total(lambda z: (z["a"][c] + z["b"][c]) * cross(z)) / (3 * twice)).otherwise(total(lambda z: z["a"][c]) / F.size(pairs))
+        return F.struct(at("x").alias("x"), at("y").alias("y"))
+
+    nxt = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return of(F.zip_with(ring, nxt, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+
+
 def line_length(line: Column) -> Column:
     parts = F.zip_with(F.slice(line, 1, F.size(line) - 1), F.slice(line, 2, F.size(line)), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
     return F.aggregate(parts, F.lit(0.0), lambda s, p: s + p)
@@ -319,6 +368,18 @@ def nearest(points: DataFrame, targets: DataFrame, start: float) -> DataFrame:
         radius = min(radius * 4, max(span, start))
 
 
+def densest_disc(pieces: DataFrame, n: int, reach: int = 2) -> DataFrame:
+    """``(q, r, pieces)``: the ``n`` densest cells within ``reach`` steps of the densest (``pieces``: q, r, id).
+
+    The disc first, then the order, so that the window hangs together; ties go to the smallest cell.
+    """
+    dense = pieces.groupBy("q", "r").agg(F.count_distinct("id").alias("pieces"))
+    seed = dense.agg(F.max_by(F.struct("q", "r"), F.struct("pieces", -F.col("q"), -F.col("r")))).scalar()
+    away = dense.withColumn("seed__", seed).withColumn("dq__", F.col("q") - F.col("seed__.q")).withColumn("dr__", F.col("r") - F.col("seed__.r"))
+    steps = F.greatest(F.abs("dq__"), F.abs("dr__"), F.abs(F.col("dq__") + F.col("dr__")))
+    return away.where(steps <= reach).select("q", "r", "pieces").orderBy(F.desc("pieces"), "q", "r").limit(n)
+
+
 def names_near(pairs: DataFrame, separator: str = " · ") -> DataFrame:
     """Distinct names of each key by distance, then name, in one text (``id, name, distance``)."""
     first = pairs.groupBy("id", "name").agg(F.min("distance").alias("distance"))

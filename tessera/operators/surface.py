@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import ratio
-from tessera.operators.rank import overlap, spearman, top
+from tessera.operators.rank import overlap, spearman, top, value_ranks
+from tessera.sources.shared import stored
 
 
 def pooled_cells(surface: DataFrame) -> DataFrame:
@@ -35,12 +36,21 @@ def composition(surface: DataFrame) -> DataFrame:
 
 def rank_stability(cells: DataFrame, k: int = 50) -> DataFrame:
     """Spearman correlation of observed and latent over cells with records, and the overlap of both top lists."""
-    kept = cells.where("not sin_registro")
+    # both rankings and both top lists read the cells
+    kept = stored(cells.where("not sin_registro").select("h3_index", "observado", "latente"), "cells")
     common = overlap(top(kept, "observado", "h3_index", k), top(kept, "latente", "h3_index", k), "h3_index", k)
     return spearman(kept, "observado", "latente").withColumn("overlap", common.scalar())
 
 
 def quantiles(df: DataFrame, column: str, shares: tuple[float, ...] = (0.05, 0.5, 0.95, 0.995)) -> DataFrame:
-    """Exact quantiles with linear interpolation, mean and population deviation, one row."""
+    """Exact quantiles with linear interpolation, mean and population deviation, one row.
+
+    A quantile lies between the values at two places of the order; no task holds all values.
+    """
     name = lambda q: f"p{q * 1000:.0f}"
-    return df.agg(*[F.round(F.percentile(column, q), 6).alias(name(q)) for q in shares], F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_pop(column), 6).alias("sd_pop"))
+    place = lambda q: F.lit(q) * (F.col("total") - 1)
+    holds = lambda p: F.max(F.when((F.col("below") <= p) & (p < F.col("below") + F.col("n")), F.col(column)))
+    found = [F.struct(holds(F.floor(place(q))).alias("lo"), holds(F.ceil(place(q))).alias("hi"), F.max(place(q) - F.floor(place(q))).alias("part")).alias(name(q)) for q in shares]
+    out = value_ranks(df, column).agg(*found).select(*[F.round(F.col(name(q))["lo"] + F.col(name(q))["part"] * (F.col(name(q))["hi"] - F.col(name(q))["lo"]), 6).alias(name(q)) for q in shares])
+    rest = df.agg(F.struct(F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_pop(column), 6).alias("sd_pop"))).scalar()
+    return out.withColumn("rest__", rest).select(*[name(q) for q in shares], "rest__.mean", "rest__.sd_pop")

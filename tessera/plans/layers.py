@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar
 from tessera.operators import events as ev
 from tessera.operators import graph, rank, registry, space
+from tessera.plans import relational
 from tessera.plans import spatial as sp
 from tessera.plans import standins as st
 
@@ -129,7 +130,43 @@ def street_shares(spark, d):
     return shares
 
 
-QUERIES = {f.__name__: f for f in (road_flags, coerced_points, firm_support, overlap_resolved, clipped_cells, still_touching, point_in_cell, line_within, top_contrasts, ordinal_ranks, split_share, figures, street_shares)}
+def reprojected_points(spark, d):
+    """Customers' places to metres and back, and to the unit square and back: what comes out is what went in."""
+    k = F.col("c_custkey")
+    points = st.table(spark, d, "customer").select("c_custkey", (-12 + k % 997 / 1000.0).alias("lat"), (-77 + k % 1009 / 500.0).alias("lng"))
+    back = space.from_utm18s(*space.utm18s(F.col("lat"), F.col("lng")))
+    square = scalar.inverse_mercator(*scalar.mercator(F.col("lat"), F.col("lng")))
+    names = ("utm_lat", "utm_lng", "square_lat", "square_lng")
+    return points.select("c_custkey", *[F.round(c, 7).alias(n) for c, n in zip((*back, *square), names, strict=True)])
+
+
+def ring_centroids(spark, d):
+    """Centres of the tiles' triangles (box corners but one)."""
+    tiles = sp._tiles(spark, d).select("id_b", space.centroid(F.slice("shape_b", 1, 3)).alias("c"))
+    return tiles.select("id_b", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
+
+
+def densest_window(spark, d):
+    """The seven densest hexagons within two steps of the densest, by the different labels in them."""
+    q, r = space.hex_axial(F.col("x"), F.col("y"), 25.0)
+    return space.densest_disc(sp._points(spark, d).select(q.alias("q"), r.alias("r"), F.col("label").alias("id")), 7)
+
+
+def graph_quality(spark, d):
+    """Sizes of the supplier-to-customer graph, imputed speeds by arcs and by length, and missing attributes of its segments."""
+    arcs = sp.arcs(spark, d).withColumn("seen", F.col("length") % 3 >= 1)
+    fields = arcs.withColumn("lanes", F.when(F.col("key") % 2 == 0, F.lit("2"))).withColumn("name", F.when(F.col("length") > 2000, F.lit("a")))
+    return graph.quality(fields, "seen", ("lanes", "name"))
+
+
+def coverage_emission(spark, d):
+    """Figures of the coverage table as registry entries: percentages with two decimals, counts with none."""
+    policies = spark.createDataFrame([("cobertura.pct*", 2, "half_up", "base"), ("cobertura.*", 0, "half_up", "base")], "pattern string, decimals int, mode string, variant_canonical string")
+    out = registry.emission(registry.figures(relational.coverage_summary(spark, d)), policies, "cobertura", "base", "celdas", "-")
+    return out.select("key", "family", F.round("value", 6).alias("value"), "shown", "canonical")
+
+
+QUERIES = {f.__name__: f for f in (road_flags, coerced_points, firm_support, overlap_resolved, clipped_cells, still_touching, point_in_cell, line_within, top_contrasts, ordinal_ranks, split_share, figures, street_shares, reprojected_points, ring_centroids, densest_window, graph_quality, coverage_emission)}
 
 _BOXES = "boxes AS (SELECT p_partkey AS id, p_partkey // 4 AS x, p_partkey * 11 % 30 AS y, 1 + p_size % 7 AS w, 1 + p_size % 5 AS h FROM part)"
 _SEGMENTS = f"{st.SEGMENTS}, s AS (SELECT tramo_id, revenue, quantity, tramo_id % 40 AS u, tramo_id % 23 AS v FROM segments), best AS (SELECT *, row_number() OVER (ORDER BY revenue DESC, tramo_id) AS k FROM s QUALIFY k <= 50), other AS (SELECT *, row_number() OVER (ORDER BY quantity DESC, tramo_id) AS k FROM s QUALIFY k <= 50)"
@@ -161,4 +198,16 @@ ORACLE_SQL = {
     "street_shares": f"""WITH {sp.ARCS}, a AS (SELECT * FROM arcs WHERE u <> v), t AS (SELECT least(u, v) AS u, greatest(u, v) AS v, key, min(length) AS length FROM a GROUP BY 1, 2, 3), n AS (SELECT k, count(*) AS c FROM (SELECT u AS k FROM t UNION ALL SELECT v FROM t) GROUP BY 1)
       SELECT round((SELECT count(*) FROM a) / count(*), 6) AS grado_medio_salida, round(avg(c), 6) AS calles_por_nodo, round(100 * avg((c = 1)::INTEGER), 6) AS pct_nodos_callejon, round(100 * avg((c = 3)::INTEGER), 6) AS pct_nodos_3_calles, round(100 * avg((c >= 4)::INTEGER), 6) AS pct_nodos_4_o_mas,
         round(count(*) FILTER (WHERE c > 1) / 100.0, 6) AS intersecciones_por_km2, (SELECT round(sum(length) / 1000.0 / 100.0, 6) FROM t) AS km_calle_por_km2, (SELECT round(avg(length), 6) FROM t) AS largo_medio_tramo_m FROM n""",
+    "reprojected_points": """WITH p AS (SELECT c_custkey, round(-12 + c_custkey % 997 / 1000.0, 7) AS a, round(-77 + c_custkey % 1009 / 500.0, 7) AS o FROM customer)
+      SELECT c_custkey, a AS utm_lat, o AS utm_lng, a AS square_lat, o AS square_lng FROM p""",
+    "ring_centroids": f"WITH {sp._SHAPES} SELECT id_b, round((3 * tx + 10) / 3.0, 6) AS x, round((3 * ty + 5) / 3.0, 6) AS y FROM tiles",
+    "densest_window": f"""WITH {sp.POINTS}, h AS (SELECT label, {sp._HEX} FROM points), k AS (SELECT *, round_even(q, 0) AS rq, round_even(r, 0) AS rr, round_even(-q - r, 0) AS rs FROM h),
+      c AS (SELECT label, CASE WHEN abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs + q + r) THEN -rr - rs ELSE rq END AS q, CASE WHEN abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs + q + r) THEN rr WHEN abs(rr - r) > abs(rs + q + r) THEN -rq - rs ELSE rr END AS r FROM k),
+      g AS (SELECT q::BIGINT AS q, r::BIGINT AS r, count(DISTINCT label) AS pieces FROM c GROUP BY 1, 2), s AS (SELECT q AS sq, r AS sr FROM g ORDER BY pieces DESC, q, r LIMIT 1)
+      SELECT q, r, pieces FROM g, s WHERE greatest(abs(q - sq), abs(r - sr), abs(q - sq + r - sr)) <= 2 ORDER BY pieces DESC, q, r LIMIT 7""",
+    "graph_quality": f"""WITH {sp.ARCS}, t AS (SELECT key, arg_min(length, u) AS l FROM arcs GROUP BY least(u, v), greatest(u, v), key)
+      SELECT (SELECT count(DISTINCT k) FROM (SELECT u AS k FROM arcs UNION ALL SELECT v FROM arcs)) AS n_nodos, count(*) AS n_aristas, (SELECT count(*) FROM t) AS n_tramos, round(100.0 * count(*) FILTER (WHERE length % 3 = 0) / count(*), 6) AS pct_imputado_aristas,
+        round(100.0 * sum(length) FILTER (WHERE length % 3 = 0) / sum(length), 6) AS pct_imputado_largo, (SELECT round(100 * avg((key % 2 = 1)::INTEGER), 6) FROM t) AS pct_sin_lanes, (SELECT round(100 * avg((l <= 2000)::INTEGER), 6) FROM t) AS pct_sin_name FROM arcs""",
+    "coverage_emission": f"""WITH s AS ({relational.ORACLE_SQL["coverage_summary"]}), f AS (SELECT COLUMNS(*)::DOUBLE FROM s), u AS (UNPIVOT f ON COLUMNS(*) INTO NAME k VALUE v)
+      SELECT 'cobertura.' || k || '.base' AS key, 'cobertura.' || k AS family, round(v, 6) AS value, CASE WHEN k LIKE 'pct%' THEN v::DECIMAL(38,15)::DECIMAL(18,2)::VARCHAR ELSE v::BIGINT::VARCHAR END AS shown, true AS canonical FROM u""",
 }

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import strict_bool
+from tessera.operators.space import in_ring, utm18s
 
 
 def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -30,6 +31,27 @@ def csv(spark: SparkSession, path: str, schema: str, comment: str | None = None)
     return (reader.option("comment", comment) if comment else reader).csv(path)
 
 
+def metric_points(df: DataFrame, ring: list[tuple[float, float]] | None = None) -> DataFrame:
+    """``df`` (lat, lng) with metric ``x, y``; with a metric ring, the points inside it."""
+    x, y = utm18s(F.col("lat"), F.col("lng"))
+    out = df.withColumn("x", x).withColumn("y", y)
+    if ring is None:
+        return out
+    corners = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ring])
+    return out.where(in_ring(F.col("x"), F.col("y"), corners))
+
+
+def stations(spark: SparkSession, path: str, schema: str, ring: list[tuple[float, float]] | None = None, layer: str = "estacion") -> DataFrame:
+    """Points of a CSV file with comment lines, as metric points of a layer."""
+    return metric_points(csv(spark, path, schema, "#").withColumn("capa", F.lit(layer)), ring)
+
+
+def named_points(spark: SparkSession, places: dict[str, tuple[float, float]], ring: list[tuple[float, float]] | None = None, layer: str = "estadio") -> DataFrame:
+    """A short literal list of places (name: latitude, longitude) as metric points of a layer."""
+    rows = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in places.items()], "nombre string, lat double, lng double")
+    return metric_points(rows.withColumn("capa", F.lit(layer)), ring)
+
+
 def tagged(spark: SparkSession, paths: dict[str, str], schema: str, tag: str) -> DataFrame:
     """Several CSV files in long form, each with a constant column."""
     out = None
@@ -103,7 +125,7 @@ def typed(arcs: DataFrame, numbers: tuple[str, ...] = ("length", "travel_time",
 
 
 def _shape_rows(raw: bytes) -> tuple[list[dict], list[list]]:
-    """Attributes and outer rings of a zipped polygon shapefile."""
+    """Attributes and rings of a zipped polygon shapefile, without deleted rows."""
     with zipfile.ZipFile(BytesIO(raw)) as z:
         name = next(n for n in z.namelist() if n.endswith(".shp"))
         shp, dbf = z.read(name), z.read(name[:-4] + ".dbf")
@@ -112,9 +134,10 @@ def _shape_rows(raw: bytes) -> tuple[list[dict], list[list]]:
     while dbf[at] != 0x0D:
         fields.append((dbf[at : at + 11].split(b"\0")[0].decode(), dbf[at + 16]))
         at += 32
-    table = []
+    table, gone = [], []
     for k in range(count):
         at, row = start + k * size + 1, {}
+        gone.append(dbf[at - 1] == ord("*"))
         for field, width in fields:
             row[field] = dbf[at : at + width].decode("utf-8", "replace").strip()
             at += width
@@ -130,7 +153,8 @@ def _shape_rows(raw: bytes) -> tuple[list[dict], list[list]]:
             parts = [[{"x": xy[2 * i], "y": xy[2 * i + 1]} for i in range(a, b)] for a, b in zip(cuts, cuts[1:], strict=False)]
         rings.append(parts)
         at += 8 + 2 * words
-    return table, rings
+    live = [k for k in range(count) if not gone[k]]
+    return [table[k] for k in live], [rings[k] for k in live]
 
 
 def shapefile(spark: SparkSession, path: str) -> DataFrame:
@@ -146,8 +170,23 @@ def shapefile(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).select("content").mapInArrow(run, "attributes map<string,string>, rings array<array<struct<x:double,y:double>>>")
 
 
+def districts(spark: SparkSession, path: str, codes: list[str], field: str = "UBIGEO") -> DataFrame:
+    """``(code, ring)`` of the named districts: a point is in their union if it is inside an odd number of one's rings.
+
+    Raises on a code without a polygon; the codes asked for bound what is looked up on the driver.
+    """
+    rows = shapefile(spark, path).select(F.col("attributes")[field].alias("code"), "rings").where(F.col("code").isin(*codes) & (F.size("rings") > 0))
+    lost = set(codes) - {r[0] for r in rows.select("code").distinct().collect()}
+    if lost:
+        raise ValueError(f"no polygon for {sorted(lost)}")
+    return rows.select("code", F.explode("rings").alias("ring"))
+
+
 def geopackage(spark: SparkSession, path: str, layer: str, columns: list[str], box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Columns and WKB of a layer, opened in memory; ``box`` keeps rows whose header envelope meets it."""
+    """Columns and WKB of a layer, opened in memory; ``box`` (west, south, east, north) keeps rows whose envelope meets it.
+
+    Where the layer has a spatial index, SQLite reads only the rows that it names. A row without a geometry has a NULL.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sqlite3
@@ -158,7 +197,11 @@ def geopackage(spark: SparkSession, path: str, layer: str, columns: list[str], b
                 db = sqlite3.connect(":memory:")
                 db.deserialize(content.as_py())
                 shape = db.execute("SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", (layer,)).fetchone()[0]
-                rows = [(*r[:-1], *_wkb(r[-1])) for r in db.execute(f'SELECT {names}{", " if names else ""}"{shape}" FROM "{layer}"')]
+                index = f"rtree_{layer}_{shape}"
+                near, bound = "", ()
+                if box and db.execute("SELECT 1 FROM sqlite_master WHERE name = ?", (index,)).fetchone():
+                    near, bound = f' WHERE rowid IN (SELECT id FROM "{index}" WHERE minx <= ? AND maxx >= ? AND miny <= ? AND maxy >= ?)', (box[2], box[0], box[3], box[1])
+                rows = [(*r[:-1], *_wkb(r[-1])) for r in db.execute(f'SELECT {names}{", " if names else ""}"{shape}" FROM "{layer}"{near}', bound)]
                 if box:
                     rows = [r for r in rows if r[-1] is None or (r[-1][0] <= box[2] and r[-1][1] >= box[0] and r[-1][2] <= box[3] and r[-1][3] >= box[1])]
                 cols = list(zip(*[r[:-1] for r in rows], strict=True)) or [[] for _ in range(len(columns) + 1)]
@@ -167,8 +210,10 @@ def geopackage(spark: SparkSession, path: str, layer: str, columns: list[str], b
     return _files(spark, path).select("content").mapInArrow(run, ", ".join([*[f"`{c}` string" for c in columns], "wkb binary"]))
 
 
-def _wkb(blob: bytes) -> tuple[bytes, tuple | None]:
+def _wkb(blob: bytes | None) -> tuple[bytes | None, tuple | None]:
     """WKB and envelope (x0, x1, y0, y1) of a GeoPackage geometry."""
+    if blob is None:
+        return None, None
     order = "<" if blob[3] & 1 else ">"
     kind = blob[3] >> 1 & 7
     return blob[8 + (0, 32, 48, 48, 64)[kind] :], struct.unpack_from(order + "4d", blob, 8) if kind else None

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,9 +29,9 @@ def test_strict_bool_raises(spark):
 
 
 def test_clock_and_classes(spark):
-    df = spark.createDataFrame([("20:30", "Primary"), ("x", " "), (None, "lane")], "k string, h string")
+    df = spark.createDataFrame([("20:30", "Primary"), ("x", " "), (None, "lane"), ("19:45:10", "busway"), ("7:x", "secondary")], "k string, h string")
     got = df.select(scalar.clock_hours(F.col("k")), scalar.road_class(F.col("h"))).collect()
-    assert [tuple(r) for r in got] == [(20.5, "arterial"), (None, "sin_dato"), (None, "local")]
+    assert [tuple(r) for r in got] == [(20.5, "arterial"), (None, "sin_dato"), (None, "local"), (19.75, "busway"), (None, "intermedia")]
 
 
 def test_reason_precedence_and_zero_counts(spark):
@@ -246,3 +247,46 @@ def test_policy_patterns_take_only_stars_for_any_text(spark):
 def test_small_values_keep_their_decimals(spark, decimals, want):
     df = spark.createDataFrame([(9.9e-7, decimals, "half_up")], "v double, d int, m string")
     assert df.select(registry.rounded(F.col("v"), F.col("d"), F.col("m"))).first()[0] == want
+
+
+def test_projection_known_point_and_guard(spark):
+    df = spark.range(1).select(F.lit(-12.0464).alias("lat"), F.lit(-77.0428).alias("lng"))
+    x, y = space.utm18s(F.col("lat"), F.col("lng"))
+    back = space.from_utm18s(x, y)
+    r = df.select(x, y, *back).first()
+    # the centre of Lima, from public tables of the zone
+    assert abs(r[0] - 277_600) < 300 and abs(r[1] - 8_667_500) < 500
+    assert abs(r[2] + 12.0464) < 1e-9 and abs(r[3] + 77.0428) < 1e-9
+    assert space.metric("EPSG:32718") == "EPSG:32718"
+    for wrong in (None, "EPSG:4326"):
+        with pytest.raises(ValueError, match="32718"):
+            space.metric(wrong)
+
+
+def test_densest_disc_before_density(spark):
+    rows = [(0, 0, k) for k in range(5)] + [(9, 9, k) for k in range(4)] + [(1, 1, 0), (1, 0, 0), (1, 0, 1), (3, 0, 0)]
+    got = space.densest_disc(spark.createDataFrame(rows, "q long, r long, id long"), 3).collect()
+    assert [tuple(r) for r in got] == [(0, 0, 5), (1, 0, 2), (1, 1, 1)]
+
+
+def test_quantiles_against_numpy(spark):
+    values = [float(x) for x in np.random.default_rng(3).integers(0, 40, 301)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    r = surface.quantiles(df, "v").first()
+    assert np.allclose([r.p50, r.p500, r.p950, r.p995], np.quantile(values, [0.05, 0.5, 0.95, 0.995]), atol=1e-6)
+    assert surface.quantiles(df.where("v < 0"), "v").first().p500 is None
+    assert surface.quantiles(df.limit(0).union(spark.createDataFrame([(7.0,)], "v double")), "v").first().p995 == 7.0
+
+
+def test_stage_counts_meet_the_registry(spark):
+    entries = spark.createDataFrame([("tramos", "3")], "key string, shown string")
+    assert guards.same_count(spark.range(3), entries, "tramos").count() == 3
+    for rows, key in ((4, "tramos"), (3, "nodos")):
+        with pytest.raises(ValueError, match="earlier stages"):
+            guards.same_count(spark.range(rows), entries, key)
+
+
+def test_segments_keep_the_first_direction(spark):
+    arcs = spark.createDataFrame([("b", "a", 0, 5.0, "back"), ("a", "b", 0, 7.0, None)], "u string, v string, key int, length double, name string")
+    assert tuple(graph.segments(arcs, ("name",)).first()) == ("a-b-0", "a", "b", 0, 5.0, None)
+    assert tuple(graph.segments(arcs.where("u = 'b'"), ("name",)).first()) == ("a-b-0", "a", "b", 0, 5.0, "back")

@@ -28,12 +28,16 @@ def test_shapefile(spark, tmp_path):
     body = struct.pack("<I4dII", 5, 0, 0, 2, 2, 1, 3) + struct.pack("<I", 0) + b"".join(struct.pack("<2d", *p) for p in ring)
     shp = b"\0" * 100 + struct.pack(">II", 1, len(body) // 2) + body
     field = b"UBIGEO".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([6]) + b"\0" * 15
-    dbf = bytes([3, 0, 0, 0]) + struct.pack("<IHH", 1, 32 + 32 + 1, 7) + b"\0" * 20 + field + b"\x0d" + b" 010101"
+    shp += struct.pack(">II", 2, len(body) // 2) + body
+    dbf = bytes([3, 0, 0, 0]) + struct.pack("<IHH", 2, 32 + 32 + 1, 7) + b"\0" * 20 + field + b"\x0d" + b" 010101" + b"*020202"
     with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
         z.writestr("d.shp", shp)
         z.writestr("d.dbf", dbf)
-    r = readers.shapefile(spark, str(tmp_path / "d.zip")).first()
+    (r,) = readers.shapefile(spark, str(tmp_path / "d.zip")).collect()
     assert r.attributes["UBIGEO"] == "010101" and [(p.x, p.y) for p in r.rings[0]] == ring
+    assert readers.districts(spark, str(tmp_path / "d.zip"), ["010101"]).first().code == "010101"
+    with pytest.raises(ValueError, match="020202"):  # the row is marked as deleted
+        readers.districts(spark, str(tmp_path / "d.zip"), ["010101", "020202"])
 
 
 def test_geopackage_with_box(spark, tmp_path):
@@ -49,6 +53,32 @@ def test_geopackage_with_box(spark, tmp_path):
     assert [(r.fclass, bytes(r.wkb)) for r in got] == [("c1", b"wkb1")]
 
 
+def test_geopackage_by_its_index(spark, tmp_path):
+    db = sqlite3.connect(tmp_path / "o.gpkg")
+    db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
+    db.execute("INSERT INTO gpkg_geometry_columns VALUES ('roads', 'geom')")
+    db.execute("CREATE TABLE roads (fid INTEGER PRIMARY KEY, fclass TEXT, geom BLOB)")
+    db.execute("CREATE VIRTUAL TABLE rtree_roads_geom USING rtree(id, minx, maxx, miny, maxy)")
+    for k in range(4):
+        db.execute("INSERT INTO roads VALUES (?, ?, ?)", (k + 10, f"c{k}", b"GP\0\x03" + struct.pack("<i4d", 4326, k, k + 0.5, 0, 1) + b"wkb%d" % k))
+        db.execute("INSERT INTO rtree_roads_geom VALUES (?, ?, ?, 0, 1)", (k + 10, k, k + 0.5))
+    db.execute("INSERT INTO roads VALUES (20, 'none', NULL)")
+    db.commit()
+    db.close()
+    read = lambda box: sorted((r.fclass, r.wkb and bytes(r.wkb)) for r in readers.geopackage(spark, str(tmp_path / "o.gpkg"), "roads", ["fclass"], box).collect())
+    assert read((0.9, 0.0, 2.2, 1.0)) == [("c1", b"wkb1"), ("c2", b"wkb2")]
+    assert len(read(None)) == 5 and ("none", None) in read(None)
+
+
+def test_metric_points(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("# stations\nnombre,lat,lng\nA,-12.05,-77.04\nB,-12.05,-75.5\n")
+    box = [(200_000.0, 8_600_000.0), (400_000.0, 8_600_000.0), (400_000.0, 8_700_000.0), (200_000.0, 8_700_000.0)]
+    got = readers.stations(spark, str(tmp_path / "s.csv"), "nombre string, lat double, lng double", box).collect()
+    assert [(r.nombre, r.capa) for r in got] == [("A", "estacion")]
+    both = readers.named_points(spark, {"x": (-12.05, -77.04), "y": (-12.05, -75.5)})
+    assert both.count() == 2 and both.where("nombre = 'x'").first().x == got[0].x
+
+
 def test_csv_json_and_arms(spark, tmp_path):
     (tmp_path / "a.csv").write_text("ubigeo,n\n# note\n010101,3\n")
     assert readers.csv(spark, str(tmp_path / "a.csv"), "ubigeo string, n int", "#").first().ubigeo == "010101"
