@@ -8,6 +8,8 @@ steps, so that the table behind them is read once. Top lists order only the rows
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,13 @@ def value_ranks(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame
     """``(column, n, below, total)`` for each distinct value: its rows, the rows with smaller values, all rows."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     counts = stored(counts, "values")
-    bounds = counts.agg(F.percentile_approx(column, [k / buckets for k in range(1, buckets)], 10_000)).scalar()
-    dealt = counts.withColumn("bounds__", bounds).withColumn("bucket__", F.size(F.filter("bounds__", lambda b: b <= F.col(column)))).drop("bounds__")
+    # every ``step``-th bound first, then those between two of them
+    step = math.isqrt(buckets - 1) + 1
+    fine = counts.agg(F.percentile_approx(column, [k / buckets for k in range(1, buckets)], 10_000).alias("fine"))
+    bounds = fine.select(F.struct("fine", F.filter("fine", lambda b, k: (k + 1) % step == 0).alias("coarse"))).scalar()
+    passed = lambda among: F.size(F.filter(among, lambda b: b <= F.col(column)))
+    dealt = counts.withColumn("bounds__", bounds).withColumn("coarse__", passed(F.col("bounds__.coarse")))
+    dealt = dealt.withColumn("bucket__", F.col("coarse__") * step + passed(F.slice("bounds__.fine", F.col("coarse__") * step + 1, F.lit(step)))).drop("bounds__", "coarse__")
     sums = dealt.groupBy("bucket__").agg(F.sum("n").alias("sum__"))
     # the window without partitions runs over at most ``buckets`` rows
     before = Window.orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
