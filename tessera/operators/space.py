@@ -149,11 +149,20 @@ def _bucketed(df: DataFrame, shape: str, size: float, mark: str) -> DataFrame:
 
 
 def candidates(a: DataFrame, b: DataFrame, size: float, shape_a: str = "shape_a", shape_b: str = "shape_b") -> DataFrame:
-    """Pairs whose bounding boxes meet, each once."""
+    """Pairs (``id_a``, ``id_b``) whose bounding boxes meet, each once.
+
+    Cutting shapes costs far more than moving them, so the pairs are dealt out by their ids: neither the
+    pairs of a crowded bucket nor those of a broadcast join over few splits stay in one task.
+    """
     pairs = _bucketed(a, shape_a, size, "_a").join(_bucketed(b, shape_b, size, "_b"), ["bx", "by"])
     meet = (F.col("x0_a") <= F.col("x1_b")) & (F.col("x0_b") <= F.col("x1_a")) & (F.col("y0_a") <= F.col("y1_b")) & (F.col("y0_b") <= F.col("y1_a"))
     own = (F.floor(F.greatest("x0_a", "x0_b") / size) == F.col("bx")) & (F.floor(F.greatest("y0_a", "y0_b") / size) == F.col("by"))
-    return pairs.where(meet & own).drop("bx", "by", *[f"{c}_{m}" for m in "ab" for c in ("x0", "y0", "x1", "y1")])
+    return pairs.where(meet & own).drop("bx", "by", *[f"{c}_{m}" for m in "ab" for c in ("x0", "y0", "x1", "y1")]).repartition("id_a", "id_b")
+
+
+def _measured(pairs: DataFrame, name: str, value: Column) -> DataFrame:
+    """``pairs`` with a costly value, computed once for each: filters on it stay behind it, where the pairs are dealt out."""
+    return pairs.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
 
 def _let(value: Column, f) -> Column:
@@ -284,7 +293,7 @@ def resolved(cells: DataFrame, size: float, least: float = 1e-3) -> DataFrame:
     is cut by its smaller neighbours as they came: no order of cells has to be followed.
     """
     a, b = cells.select(F.col("id").alias("id_a"), F.col("shape").alias("shape_a")), cells.select(F.col("id").alias("id_b"), F.col("shape").alias("shape_b"))
-    pairs = candidates(a, b, size).where("id_b < id_a").where(clipped_area(F.col("shape_a"), F.col("shape_b")) > least)
+    pairs = _measured(candidates(a, b, size).where("id_b < id_a"), "common", clipped_area("shape_a", "shape_b")).where(F.col("common") > least)
     before = pairs.groupBy(F.col("id_a").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id_b", "shape_b"))).alias("before"))
     out = cells.join(before, "id", "left").withColumn("whole", F.array("shape"))
     pieces = F.when(F.col("before").isNull(), F.col("whole")).otherwise(F.aggregate("before", F.col("whole"), lambda p, o: difference(p, o["shape_b"])))
@@ -295,7 +304,7 @@ def resolved(cells: DataFrame, size: float, least: float = 1e-3) -> DataFrame:
 def clipped_to(cells: DataFrame, mask: DataFrame, size: float, least: float = 1e-9) -> DataFrame:
     """``(id, pieces)``: convex cells (``id``, ``shape``) inside the pieces of a mask (``id_b``, ``shape_b``), gathered by cell; cells outside are gone."""
     pairs = candidates(cells.select(F.col("id").alias("id_a"), F.col("shape").alias("shape_a")), mask, size)
-    parts = pairs.withColumn("part", clipped(F.col("shape_a"), F.col("shape_b"))).where(ring_area(F.col("part")) > least)
+    parts = _measured(pairs, "part", clipped(F.col("shape_a"), F.col("shape_b"))).where(ring_area(F.col("part")) > least)
     return parts.groupBy(F.col("id_a").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id_b", "part"))), lambda x: x["part"]).alias("pieces"))
 
 
@@ -315,13 +324,13 @@ def coordinate_lists(cells: DataFrame) -> DataFrame:
 
 def correspondence(a: DataFrame, b: DataFrame, size: float, least: float = 1.0) -> DataFrame:
     """Area of each overlapping pair from ``least`` up, and its share of either side. Shares are never normalised."""
-    pairs = candidates(a, b, size).withColumn("area", clipped_area(F.col("shape_a"), F.col("shape_b"))).where(F.col("area") >= least)
+    pairs = _measured(candidates(a, b, size), "area", clipped_area("shape_a", "shape_b")).where(F.col("area") >= least)
     return pairs.select("id_a", "id_b", "area", (F.col("area") / ring_area(F.col("shape_a"))).alias("frac_a"), (F.col("area") / ring_area(F.col("shape_b"))).alias("frac_b"))
 
 
 def line_correspondence(lines: DataFrame, cells: DataFrame, size: float, least: float = 1.0) -> DataFrame:
     """Length of each line within each cell from ``least`` up, and its share of the line's length."""
-    pairs = candidates(lines, cells, size).withColumn("length", clipped_length(F.col("shape_a"), F.col("shape_b"))).where(F.col("length") >= least)
+    pairs = _measured(candidates(lines, cells, size), "length", clipped_length("shape_a", "shape_b")).where(F.col("length") >= least)
     return pairs.select("id_a", "id_b", "length", (F.col("length") / line_length(F.col("shape_a"))).alias("frac_a"))
 
 
