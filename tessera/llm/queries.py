@@ -1,4 +1,4 @@
-"""The eleven registered queries: each applies its operator to the whole of its table."""
+"""The registered queries: each applies its operator to the whole of its table."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, lattice_dedup, line_dedup, minhash_dedup, mixing, sentencepiece_bpe, sharding, toxicity, wavelet
+from tessera.llm import bytes_bpe, centroid_clustering, chat, fingerprints, lattice_dedup, line_dedup, minhash_dedup, mixing, sentencepiece_bpe, sharding, spelling_variants, toxicity, wavelet
 
 #: Paths of the public vocabulary files; the operators take them as parameters.
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +87,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.grouped(table(spark, sf_dir, "documents"))
+
+
+def op12_bytes_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytes_bpe.encode_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.clustered(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat": op2_chat,
@@ -97,6 +110,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_bytes_bpe": op12_bytes_bpe,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 #: A line's white space and the letters whose case counts for nothing, as DuckDB's trim and translate take them.
 LINE_KEY = "translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -147,4 +163,4 @@ WITH RECURSIVE usable AS (
 reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT r.a AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(r.b) AS component_id, min(r.b) = r.a AS kept FROM reach r LEFT JOIN counts ON counts.a = r.a GROUP BY r.a
 """
-ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op3_minhash": OP3_SQL, "op4_lattice": OP4_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op3_minhash": OP3_SQL, "op4_lattice": OP4_SQL, "op7_line_dedup": OP7_SQL, "op11_spelling_variants": spelling_variants.variants_sql(), "op13_centroid_clustering": centroid_clustering.cluster_sql()}
