@@ -152,12 +152,13 @@ def candidates(a: DataFrame, b: DataFrame, size: float, shape_a: str = "shape_a"
     """Pairs (``id_a``, ``id_b``) whose bounding boxes meet, each once.
 
     Cutting shapes costs far more than moving them, so the pairs are dealt out by their ids: neither the
-    pairs of a crowded bucket nor those of a broadcast join over few splits stay in one task.
+    pairs of a crowded bucket nor those of a broadcast join over few splits stay in one task. Pieces of one shape
+    (``k_a``) are dealt out by their numbers too.
     """
     pairs = _bucketed(a, shape_a, size, "_a").join(_bucketed(b, shape_b, size, "_b"), ["bx", "by"])
     meet = (F.col("x0_a") <= F.col("x1_b")) & (F.col("x0_b") <= F.col("x1_a")) & (F.col("y0_a") <= F.col("y1_b")) & (F.col("y0_b") <= F.col("y1_a"))
     own = (F.floor(F.greatest("x0_a", "x0_b") / size) == F.col("bx")) & (F.floor(F.greatest("y0_a", "y0_b") / size) == F.col("by"))
-    return pairs.where(meet & own).drop("bx", "by", *[f"{c}_{m}" for m in "ab" for c in ("x0", "y0", "x1", "y1")]).repartition("id_a", "id_b")
+    return pairs.where(meet & own).drop("bx", "by", *[f"{c}_{m}" for m in "ab" for c in ("x0", "y0", "x1", "y1")]).repartition("id_a", "id_b", *(c for c in a.columns if c == "k_a"))
 
 
 def _measured(pairs: DataFrame, name: str, value: Column) -> DataFrame:
@@ -230,9 +231,9 @@ def pieces_area(pieces: Column) -> Column:
     return F.aggregate(F.transform(pieces, ring_area), F.lit(0.0), lambda s, a: s + a)
 
 
-def clipped_length(line: Column | str, ring: Column | str) -> Column:
-    """Length of a line inside a convex ring: each part is cut by every edge's half plane."""
-    line, edges = _column(line), _edges(_column(ring))
+def _spans(line: Column, ring: Column) -> Column:
+    """For each part of a line its ``far`` and the share of it, from ``lo`` to ``hi``, inside a convex ring: cut by every edge's half plane."""
+    edges = _edges(ring)
 
     def inside(a: Column, b: Column) -> Column:
         def step(s: Column, e: Column) -> Column:
@@ -243,9 +244,14 @@ def clipped_length(line: Column | str, ring: Column | str) -> Column:
             return F.struct(lo.alias("lo"), hi.alias("hi"))
 
         span = F.aggregate(edges, F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), step)
-        return F.greatest(F.lit(0.0), span["hi"] - span["lo"]) * F.hypot(b["x"] - a["x"], b["y"] - a["y"])
+        return F.struct(span["lo"].alias("lo"), span["hi"].alias("hi"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("far"))
+
+    return F.zip_with(F.slice(line, 1, F.size(line) - 1), F.slice(line, 2, F.size(line)), inside)
+
 
-    parts = F.zip_with(F.slice(line, 1, F.size(line) - 1), F.slice(line, 2, F.size(line)), inside)
+def clipped_length(line: Column | str, ring: Column | str) -> Column:
+    """Length of a line inside a convex ring."""
+    parts = F.transform(_spans(_column(line), _column(ring)), lambda s: F.greatest(F.lit(0.0), s["hi"] - s["lo"]) * s["far"])
     return F.aggregate(parts, F.lit(0.0), lambda s, p: s + p)
 
 
@@ -285,33 +291,57 @@ def lines_near(points: DataFrame, lines: DataFrame, radius: float) -> DataFrame:
     return pairs.select("id", "id_a", distance_to_line(F.col("x"), F.col("y"), F.col("shape_a")).alias("distance")).where(F.col("distance") <= r)
 
 
+def _exploded(df: DataFrame, shape: str, number: str, area: str) -> DataFrame:
+    """A row for each convex piece: overlays cut by half planes, whatever the shapes are."""
+    from tessera.operators import polygons  # which is made of the cuts of this module
+
+    return polygons.exploded(df, shape, number, area)
+
+
 def resolved(cells: DataFrame, size: float, least: float = 1e-3) -> DataFrame:
-    """Convex cells (``id``, ``shape``) as a partition: on contested ground the smallest id keeps it.
+    """Cells (``id``, ``shape``: a ring or rings of any form) as a partition: on contested ground the smallest id keeps it.
 
     Returns ``id, pieces, disputed``: convex pieces, and the area that went to smaller ids; a cell with nothing left is
     dropped. What a smaller cell itself gave up went to a still smaller one that meets this cell there too, so every cell
     is cut by its smaller neighbours as they came: no order of cells has to be followed.
     """
-    a, b = cells.select(F.col("id").alias("id_a"), F.col("shape").alias("shape_a")), cells.select(F.col("id").alias("id_b"), F.col("shape").alias("shape_b"))
-    pairs = _measured(candidates(a, b, size).where("id_b < id_a"), "common", clipped_area("shape_a", "shape_b")).where(F.col("common") > least)
-    before = pairs.groupBy(F.col("id_a").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id_b", "shape_b"))).alias("before"))
-    out = cells.join(before, "id", "left").withColumn("whole", F.array("shape"))
-    pieces = F.when(F.col("before").isNull(), F.col("whole")).otherwise(F.aggregate("before", F.col("whole"), lambda p, o: difference(p, o["shape_b"])))
-    done = _let(pieces, lambda p: F.struct(p.alias("pieces"), pieces_area(p).alias("area")))
-    return out.select("id", "shape", F.inline(F.filter(F.array(done), lambda x: F.size(x["pieces"]) > 0))).select("id", "pieces", (ring_area(F.col("shape")) - F.col("area")).alias("disputed"))
+    parts = _exploded(cells.select("id", "shape"), "shape", "k", "area")
+    a, b = parts.select(F.col("id").alias("id_a"), F.col("shape").alias("shape_a"), F.col("k").alias("k_a")), parts.select(F.col("id").alias("id_b"), F.col("shape").alias("shape_b"), F.col("k").alias("k_b"))
+    pairs = _measured(candidates(a, b, size).where("id_b < id_a"), "common", clipped_area("shape_a", "shape_b")).where("common > 0")
+    contested = pairs.groupBy("id_a", "id_b").agg(F.sum("common").alias("common"), F.collect_set(F.struct("k_b", "shape_b")).alias("cuts")).where(F.col("common") > least)
+    before = contested.groupBy(F.col("id_a").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id_b", F.array_sort("cuts").alias("cuts")))).alias("before"))
+    whole = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "shape"))).alias("whole"), F.first("area").alias("area"))
+    out = whole.join(before, "id", "left").withColumn("whole", F.transform("whole", lambda x: x["shape"]))
+    cuts = F.flatten(F.transform("before", lambda o: F.transform(o["cuts"], lambda c: c["shape_b"])))
+    pieces = F.when(F.col("before").isNull(), F.col("whole")).otherwise(F.aggregate(cuts, F.col("whole"), lambda p, o: difference(p, o)))
+    done = _let(pieces, lambda p: F.struct(p.alias("pieces"), pieces_area(p).alias("left")))
+    return out.select("id", "area", F.inline(F.filter(F.array(done), lambda x: F.size(x["pieces"]) > 0))).select("id", "pieces", (F.col("area") - F.col("left")).alias("disputed"))
 
 
 def clipped_to(cells: DataFrame, mask: DataFrame, size: float, least: float = 1e-9) -> DataFrame:
-    """``(id, pieces)``: convex cells (``id``, ``shape``) inside the pieces of a mask (``id_b``, ``shape_b``), gathered by cell; cells outside are gone."""
-    pairs = candidates(cells.select(F.col("id").alias("id_a"), F.col("shape").alias("shape_a")), mask, size)
-    parts = _measured(pairs, "part", clipped(F.col("shape_a"), F.col("shape_b"))).where(ring_area(F.col("part")) > least)
-    return parts.groupBy(F.col("id_a").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id_b", "part"))), lambda x: x["part"]).alias("pieces"))
+    """``(id, pieces)``: cells (``id``, ``shape``) inside a mask (``id_b``, ``shape_b``), as disjoint convex pieces; cells outside are gone.
+
+    Shapes of both sides may have any form. Shapes of the mask that overlap are dissolved first, which a job finds out.
+    """
+    from tessera.operators import polygons
+
+    parts = _exploded(mask.select("id_b", "shape_b"), "shape_b", "k_b", "area_b").select("id_b", "k_b", "shape_b")
+    others = parts.select(F.col("id_b").alias("id_a"), F.col("k_b").alias("k_a"), F.col("shape_b").alias("shape_a"))
+    twice = _measured(candidates(others, parts, size).where("id_a < id_b"), "common", clipped_area("shape_a", "shape_b")).where(F.col("common") > least)
+    if not twice.isEmpty():
+        one = polygons.dissolved(parts.select(F.lit(0).alias("all__"), F.col("shape_b").alias("shape")), "all__", size)
+        parts = one.select(F.xxhash64("level", "cell_x", "cell_y", "piece").alias("id_b"), F.lit(0).alias("k_b"), F.col("piece").alias("shape_b"))
+    own = _exploded(cells.select(F.col("id").alias("id_a"), F.col("shape").alias("shape_a")), "shape_a", "k_a", "area_a")
+    cut = _measured(candidates(own, parts, size), "part", clipped(F.col("shape_a"), F.col("shape_b"))).where(ring_area(F.col("part")) > least)
+    return cut.groupBy(F.col("id_a").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id_b", "k_b", "k_a", "part"))), lambda x: x["part"]).alias("pieces"))
 
 
 def touching(edges: DataFrame, cells: DataFrame) -> DataFrame:
     """The edges (``src``, ``dst``) both of whose cells (``id``, ``pieces``) are there and still meet, if only in a point."""
     ends = edges.join(cells.select(F.col("id").alias("src"), F.col("pieces").alias("ps")), "src").join(cells.select(F.col("id").alias("dst"), F.col("pieces").alias("pd")), "dst")
-    meet = F.exists("ps", lambda p: F.exists("pd", lambda q: F.size(clipped(p, q)) > 0))
+    low, high = (lambda r, c: F.array_min(F.transform(r, lambda z: z[c]))), (lambda r, c: F.array_max(F.transform(r, lambda z: z[c])))
+    near = lambda p, q: (low(p, "x") <= high(q, "x")) & (low(q, "x") <= high(p, "x")) & (low(p, "y") <= high(q, "y")) & (low(q, "y") <= high(p, "y"))
+    meet = F.exists("ps", lambda p: F.exists("pd", lambda q: near(p, q) & (F.size(clipped(p, q)) > 0)))
     return ends.where(meet).select(*edges.columns)
 
 
@@ -323,15 +353,40 @@ def coordinate_lists(cells: DataFrame) -> DataFrame:
 
 
 def correspondence(a: DataFrame, b: DataFrame, size: float, least: float = 1.0) -> DataFrame:
-    """Area of each overlapping pair from ``least`` up, and its share of either side. Shares are never normalised."""
-    pairs = _measured(candidates(a, b, size), "area", clipped_area("shape_a", "shape_b")).where(F.col("area") >= least)
-    return pairs.select("id_a", "id_b", "area", (F.col("area") / ring_area(F.col("shape_a"))).alias("frac_a"), (F.col("area") / ring_area(F.col("shape_b"))).alias("frac_b"))
+    """Area of each overlapping pair from ``least`` up, and its share of either side. Shares are never normalised.
+
+    Shapes of both sides are rings or lists of rings of any form; each is counted by its convex pieces.
+    """
+    left, right = _exploded(a.select("id_a", "shape_a"), "shape_a", "k_a", "area_a"), _exploded(b.select("id_b", "shape_b"), "shape_b", "k_b", "area_b")
+    pairs = _measured(candidates(left, right, size), "area", clipped_area("shape_a", "shape_b")).where("area > 0")
+    sums = pairs.groupBy("id_a", "id_b").agg(F.sum("area").alias("area"), F.first("area_a").alias("of_a"), F.first("area_b").alias("of_b")).where(F.col("area") >= least)
+    return sums.select("id_a", "id_b", "area", (F.col("area") / F.col("of_a")).alias("frac_a"), (F.col("area") / F.col("of_b")).alias("frac_b"))
 
 
 def line_correspondence(lines: DataFrame, cells: DataFrame, size: float, least: float = 1.0) -> DataFrame:
-    """Length of each line within each cell from ``least`` up, and its share of the line's length."""
-    pairs = _measured(candidates(lines, cells, size), "length", clipped_length("shape_a", "shape_b")).where(F.col("length") >= least)
-    return pairs.select("id_a", "id_b", "length", (F.col("length") / line_length(F.col("shape_a"))).alias("frac_a"))
+    """Length of each line within each cell, of any form, from ``least`` up, and its share of the line's length.
+
+    Along a border of two pieces of a cell a line is in both, so the shares of its parts are united before they are added.
+    """
+    pieces = _exploded(cells.select("id_b", "shape_b"), "shape_b", "k_b", "area_b")
+    pairs = candidates(lines.select("id_a", "shape_a"), pieces, size).select("id_a", "id_b", line_length(F.col("shape_a")).alias("whole"), F.posexplode(_spans(F.col("shape_a"), F.col("shape_b"))).alias("part", "s"))
+    spans = pairs.where("s.hi > s.lo").groupBy("id_a", "id_b").agg(F.first("whole").alias("whole"), F.array_sort(F.collect_list(F.struct("part", "s.lo", "s.hi", "s.far"))).alias("spans"))
+
+    def step(s: Column, x: Column) -> Column:
+        begin = F.when(x["part"] == s["part"], F.greatest(x["lo"], s["end"])).otherwise(x["lo"])
+        end = F.when(x["part"] == s["part"], F.greatest(x["hi"], s["end"])).otherwise(x["hi"])
+        return F.struct(x["part"].alias("part"), end.alias("end"), (s["sum"] + F.greatest(F.lit(0.0), x["hi"] - begin) * x["far"]).alias("sum"))
+
+    united = F.aggregate("spans", F.struct(F.lit(-1).alias("part"), F.lit(0.0).alias("end"), F.lit(0.0).alias("sum")), step, lambda s: s["sum"])
+    return spans.select("id_a", "id_b", united.alias("length"), "whole").where(F.col("length") >= least).select("id_a", "id_b", "length", (F.col("length") / F.col("whole")).alias("frac_a"))
+
+
+def whole_shares(table: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """``table`` if the shares of no grid cell add up to more than 1; else it raises, as mass would be counted twice."""
+    from tessera.operators import guards
+
+    guards.holds(table.groupBy("id_b").agg(F.sum("frac_b").alias("covered")), F.col("covered") <= 1 + tolerance, "the shares of a cell add up to more than 1")
+    return table
 
 
 def mass_deviation(table: DataFrame, complete: DataFrame) -> DataFrame:
