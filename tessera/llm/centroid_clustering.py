@@ -6,8 +6,9 @@ two, over the pivots, bounds the distance of a vector from a centroid from below
 bound gets its exact distance first; only centroids whose bound does not exceed it are measured too. Distances
 are exact whole numbers; the bounds carry a margin for the roots, so that no nearest centroid and no tie is lost.
 
-A task keeps sums and counts of its vectors by centroid and emits one row for each, which Spark adds up: a round
-shuffles ``k`` rows a task and no vectors, however uneven the clusters are. The driver holds the ``k`` centroids.
+A task keeps sums and counts of its vectors by centroid and emits these alone, which Spark adds up: a round
+shuffles ``k`` times the components of numbers a task and no vectors, however uneven the clusters are. The driver
+holds the ``k`` centroids.
 
 Edge cases: vectors that are null, of another length or with null or non-finite components are left out; equal
 vectors go to one cluster; repeated rows count as often as they stand; fewer vectors than ``k`` give as many
@@ -148,14 +149,17 @@ class Clustering:
                 found = nearest(v, t, centroids, of_pivots)[0]
                 np.add.at(total, found, v)
                 count += np.bincount(found, minlength=len(centroids))
-            used = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(count[used], pa.int64()), pa.array(total[used].tolist(), pa.list_(pa.int64()))], names=["cluster", "n", "sums"])
-
-        parts = self.table.select("v", "t").mapInArrow(sums, "cluster int, n long, sums array<long>")
-        at = [F.sum(F.col("sums")[d].cast("decimal(38,0)")).alias(f"s{d}") for d in range(dims)]
+            # place 0 of a centroid is its count, the others are the sums of its components
+            flat = np.c_[count, total]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(flat)), dims + 1), pa.int32()), pa.array(np.tile(np.arange(dims + 1), len(flat)), pa.int32()), pa.array(flat.ravel(), pa.int64())], names=["cluster", "place", "sum"])
+
+        parts = self.table.select("v", "t").mapInArrow(sums, "cluster int, place int, sum long")
+        found = np.zeros((len(centroids), dims + 1), object)
+        for row in parts.groupBy("cluster", "place").agg(F.sum(F.col("sum").cast("decimal(38,0)")).alias("sum")).collect():
+            found[row["cluster"], row["place"]] = int(row["sum"])
         moved = centroids.copy()
-        for row in parts.groupBy("cluster").agg(F.sum("n").alias("n"), *at).toLocalIterator():
-            moved[row["cluster"]] = [int(row[f"s{d}"]) // row["n"] for d in range(dims)]
+        for n in np.flatnonzero(found[:, 0]):
+            moved[n] = found[n, 1:] // found[n, 0]
         self.centroids = moved
         return bool((moved != centroids).any())
 
@@ -190,7 +194,7 @@ def clustered(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64,
         if not found.round():
             break
     rows = stored(found.assigned(), "clusters")
-    parts = {row["cluster"]: row["part"] for row in rows.groupBy("cluster").agg(F.sum("distance").alias("part")).toLocalIterator()}  # k rows at most
+    parts = {row["cluster"]: row["part"] for row in rows.groupBy("cluster").agg(F.sum("distance").alias("part")).collect()}  # k rows at most
     clusters = range(len(found.centroids))
     of = lambda values: F.element_at(F.array(*values), F.col("cluster") + 1)
     return rows.select(
