@@ -1,4 +1,4 @@
-"""Planar geometry: projection, hexagon cells, nearest and within joins, overlays, contested ground.
+"""Planar geometry: projection, hexagon cells, within joins, overlays, contested ground.
 
 Rings are ``array<struct<x:double,y:double>>`` without a repeated last point. Candidate pairs come from
 a bucket grid: each geometry stands in the buckets that its bounding box touches, and a pair is kept
@@ -12,8 +12,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import stored
-
 #: WGS84 and the transverse Mercator zone 18 south (fixed values).
 A, FLAT, SCALE0, MERIDIAN, EAST, NORTH = 6378137.0, 1 / 298.257223563, 0.9996, -75.0, 500000.0, 10000000.0
 
@@ -410,28 +408,6 @@ def within(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     return pairs.withColumn("distance", F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))).where(F.col("distance") <= radius)
 
 
-def nearest(points: DataFrame, targets: DataFrame, start: float) -> DataFrame:
-    """Nearest target of each point (ties: smallest target); NULL only where there is no target at all.
-
-    Waves of buckets: points without a target within the radius go on, written, to a radius four times as
-    large, until the radius spans everything.
-    """
-    corner = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    a, b = corner(points, "x", "y"), corner(targets, "tx", "ty")
-    if a[0] is None or b[0] is None:
-        return points.withColumn("distance", F.lit(None).cast("double")).withColumn("target", F.lit(None).cast(targets.schema["target"].dataType))
-    span = math.hypot(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2])) * (1 + 1e-9)
-    left, radius, found = points.select("id", "x", "y"), float(start), None
-    while True:
-        best = within(left, targets, radius).groupBy("id").agg(F.min(F.struct("distance", "target")).alias("m")).select("id", "m.distance", "m.target")
-        best = stored(best, "nearest")
-        found = best if found is None else found.unionByName(best)
-        left = stored(left.join(best, "id", "left_anti"), "left")
-        if radius >= span or left.isEmpty():
-            return points.join(found, "id", "left")
-        radius = min(radius * 4, max(span, start))
-
-
 def densest_disc(pieces: DataFrame, n: int, reach: int = 2) -> DataFrame:
     """``(q, r, pieces)``: the ``n`` densest cells within ``reach`` steps of the densest (``pieces``: q, r, id).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import events as ev
-from tessera.operators import graph, space
+from tessera.operators import graph, quadtree, space
 from tessera.plans import standins as st
 
 # --- events: place = user_id % 3, crowd day = purchases at or above the CROWD quantile of the place's days, incident = an error ---
@@ -229,7 +229,7 @@ def _targets(spark, d):
 
 
 def nearest_point(spark, d):
-    out = space.nearest(_points(spark, d).where("label <> 0"), _targets(spark, d), 20.0)
+    out = quadtree.nearest(_points(spark, d).where("label <> 0"), _targets(spark, d))
     return out.select("id", "target", F.round("distance", 6).alias("distance"), (F.col("distance") > 50).alias("far"))
 
 
