@@ -6,12 +6,17 @@ Windows are half open, ``[lo, hi)``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 OFFSETS = tuple(range(-12, 13))
+#: Groups whose draws a task of the bootstrap holds at a time.
+GROUPS_HELD = 256
 
 
 def calendar(spark, first: str, days: int) -> DataFrame:
@@ -109,38 +114,55 @@ def complement_counts(strata: DataFrame, incidents: DataFrame, lo: float, hi: fl
 def rate_ratio(counts: DataFrame, *by: str) -> DataFrame:
     """Mantel-Haenszel: sum of a * nc / (1 + nc) over sum of c / (1 + nc); missing if nothing was expected.
 
-    Support travels beside the value: strata, strata with incidents, controls, expected and excess.
+    Support travels beside the value: strata, strata with incidents, controls, expected and excess. These two are sums of
+    decimals, so that they are the same in whatever order rows come and an excess of nothing is 0.
     """
     a, c, nc = F.col("a"), F.col("c"), F.col("nc")
     bottom = F.sum(c / (1 + nc))
-    expected = F.sum(c / F.greatest(nc, F.lit(1)))
+    expected = F.sum(c.cast("decimal(18,0)") / F.greatest(nc, F.lit(1)).cast("decimal(18,0)"))
     return counts.groupBy(*by).agg(
         F.round(F.when(bottom > 0, F.sum(a * nc / (1 + nc)) / bottom), 6).alias("rr"), F.count("*").alias("strata"), F.count(F.when(a > 0, 1)).alias("with_events"), F.count(F.when(nc > 0, 1)).alias("with_controls"),
-        F.sum("a").cast("long").alias("observed"), F.round(expected, 6).alias("expected"), F.round(F.sum("a") - expected, 6).alias("excess"),
+        F.sum("a").cast("long").alias("observed"), F.round(expected, 6).cast("double").alias("expected"), F.round(F.sum("a").cast("decimal(18,0)") - expected, 6).cast("double").alias("excess"),
     )
 
 
 def bootstrap(counts: DataFrame, by: str, draws: int = 2000, seed: int = 1) -> DataFrame:
-    """95 % interval of the rate ratio of each group: strata drawn anew ``draws`` times, seeded by the group.
+    """95 % interval of the rate ratio of each group: strata drawn anew ``draws`` times.
 
-    Strata with equal (a, c, nc) are one row with a count, and a draw gives each row a multinomial share, so a group's
-    work depends on its different strata. Missing if fewer than half the draws are finite.
+    A stratum stands in a draw Poisson(1) times, which leaves the spread of a ratio of sums as if as many strata as there
+    are had been drawn. ``n`` strata with equal (a, c, nc) stand Poisson(n) times together, from a generator that the seed
+    and these numbers key. So a draw is a sum, which tasks add up in parts: a task holds two numbers for each draw and
+    group, whatever the size of a group. Missing if fewer than half the draws are finite.
     """
-    packed = counts.groupBy(by, "a", "c", "nc").agg(F.count("*").alias("n"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "c", "nc"])
-        rng = np.random.default_rng([seed, *str(key[0]).encode()])
-        n = pdf["n"].to_numpy()
-        weights = rng.multinomial(n.sum(), n / n.sum(), draws)
-        nc = pdf["nc"].to_numpy()
-        top, bottom = weights @ (pdf["a"].to_numpy() * nc / (1 + nc)), weights @ (pdf["c"].to_numpy() / (1 + nc))
-        rr = top[bottom > 0] / bottom[bottom > 0]
-        lo, hi = np.percentile(rr, [2.5, 97.5]) if len(rr) >= draws / 2 else (None, None)
-        return pd.DataFrame({by: [key[0]], "lo": [lo], "hi": [hi], "finite": [len(rr)]})
-
+    packed = counts.groupBy(by, "a", "c", "nc").agg(F.count("*").alias("n")).where("a > 0 OR c > 0")
+    share = packed.select(by, F.xxhash64(F.lit(seed), by, *[F.col(c).cast("double") for c in ("a", "c", "nc")]).alias("h"), "n", (F.col("a") * F.col("nc") / (1 + F.col("nc"))).alias("top"), (F.col("c") / (1 + F.col("nc"))).alias("bottom"))
     kind = dict(counts.dtypes)[by]
-    return packed.groupBy(by).applyInPandas(run, f"`{by}` {kind}, lo double, hi double, finite int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, sums in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([key] * draws, share_type), pa.array(np.arange(draws, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], names=[by, "draw", "top", "bottom"])
+            held.clear()
+
+        for batch in batches:
+            for key, h, n, top, bottom in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                times = np.random.Generator(np.random.Philox(key=h % 2**64)).poisson(n, draws)
+                if key not in held:
+                    if len(held) >= GROUPS_HELD:
+                        yield from out()
+                    held[key] = np.zeros((2, draws))
+                held[key] += np.outer((top, bottom), times)
+        yield from out()
+
+    share_type = to_arrow_type(counts.schema[by].dataType)
+    sums = share.mapInArrow(run, f"`{by}` {kind}, draw int, top double, bottom double").groupBy(by, "draw").agg(F.sum("top").alias("top"), F.sum("bottom").alias("bottom"))
+    ratio = F.col("top") / F.col("bottom")
+    ratios = sums.where("bottom > 0").groupBy(by).agg(F.percentile(ratio, F.lit(0.025)).alias("lo"), F.percentile(ratio, F.lit(0.975)).alias("hi"), F.count("*").cast("int").alias("finite"))
+    out = counts.select(by).distinct().join(ratios, by, "left")
+    enough = F.col("finite") >= draws / 2
+    return out.select(by, F.round(F.when(enough, F.col("lo")), 9).alias("lo"), F.round(F.when(enough, F.col("hi")), 9).alias("hi"), F.coalesce("finite", F.lit(0)).alias("finite"))
 
 
 def filled(profile: DataFrame, by: str, at: str, value: str) -> DataFrame:

@@ -63,7 +63,10 @@ def _counted(windows) -> str:
 
 
 _RR = """round(CASE WHEN sum(c / (1.0 + nc)) > 0 THEN sum(a * nc / (1.0 + nc)) / sum(c / (1.0 + nc)) END, 6) AS rr, count(*) AS strata, count(*) FILTER (WHERE a > 0) AS with_events,
-  count(*) FILTER (WHERE nc > 0) AS with_controls, sum(a)::BIGINT AS observed, round(sum(c / greatest(nc, 1)::DOUBLE), 6) AS expected, round(sum(a) - sum(c / greatest(nc, 1)::DOUBLE), 6) AS excess"""
+  count(*) FILTER (WHERE nc > 0) AS with_controls, sum(a)::BIGINT AS observed, round(_EXPECTED / 1e18, 6) + 0.0 AS expected, round((sum(a)::HUGEINT * 1000000000000000000 - _EXPECTED) / 1e18, 6) + 0.0 AS excess""".replace(
+    # whole numbers of 10**-18: the sum is the same in any order
+    "_EXPECTED", "sum(c::HUGEINT * 1000000000000000000 // greatest(nc, 1))::HUGEINT"
+)
 DOOR = [("door", -1.0, 2.0)]
 
 

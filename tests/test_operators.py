@@ -80,6 +80,31 @@ def test_bootstrap_is_stable_and_holds_the_estimate(spark):
     assert a == b and a["lo"] < one(events.rate_ratio(df, "w"))["rr"] < a["hi"]
 
 
+def test_bootstrap_intervals_are_those_of_drawn_strata(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k % 3, int(rng.poisson(3)), int(rng.poisson(9)), int(rng.integers(1, 5))) for k in range(3000)]
+    got = {r.w: (r.lo, r.hi, r.finite) for r in events.bootstrap(spark.createDataFrame(rows, "w int, a long, c long, nc long"), "w", 2000).collect()}
+    for w in range(3):
+        a, c, nc = np.array([r[1:] for r in rows if r[0] == w], float).T
+        times = rng.multinomial(len(a), np.full(len(a), 1 / len(a)), 2000)
+        lo, hi = np.percentile((times @ (a * nc / (1 + nc))) / (times @ (c / (1 + nc))), [2.5, 97.5])
+        assert got[w] == (pytest.approx(lo, rel=0.01), pytest.approx(hi, rel=0.01), 2000)
+
+
+def test_bootstrap_of_groups_without_controls_is_missing(spark, monkeypatch):
+    monkeypatch.setattr(events, "GROUPS_HELD", 1)
+    rows = [("none", 0, 0, 3), ("bare", 2, 0, 1), ("rare", 1, 1, 1), *[("full", 2, 3, 2)] * 50]
+    got = {r.w: (r.lo is None, r.finite) for r in events.bootstrap(spark.createDataFrame(rows, "w string, a long, c long, nc long"), "w", 200).collect()}
+    assert got["none"] == got["bare"] == (True, 0) and got["full"] == (False, 200) and 0 < got["rare"][1] < 200
+
+
+def test_excess_of_nothing_is_zero_in_any_order(spark):
+    rows = [("w", 1, 1, 3), ("w", 0, 1, 3), ("w", 0, 1, 3), ("w", 1, 5, 6), ("w", 0, 1, 6)] * 7
+    for n in (1, 4):
+        r = events.rate_ratio(spark.createDataFrame(rows, "w string, a long, c long, nc long").repartition(n), "w").first()
+        assert r.expected == 14 and math.copysign(1, r.excess) == 1 and r.excess == 0
+
+
 def test_ranks_with_ties_and_missing(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 1.0), (4, None)], "k int, v double")
     got = {r.k: r for r in rank.with_ranks(df, "v", best="b", average="m", percentile="p").collect()}

@@ -28,7 +28,7 @@ def plain(value):
     if isinstance(value, bool) or hasattr(value, "dtype") and value.dtype.kind == "b":
         return bool(value)
     try:
-        return round(float(value), 6)
+        return round(float(value), 6) + 0.0  # no sign on a zero
     except (TypeError, ValueError):
         return str(value)
 
