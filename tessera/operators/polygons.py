@@ -127,7 +127,7 @@ def signed_area(ring: np.ndarray) -> float:
 
 def union_of(convex: list[np.ndarray]) -> list[np.ndarray]:
     """Disjoint trapezoids of the union of convex rings."""
-    return swept(edges_of([r if signed_area(r) >= 0 else r[::-1] for r in convex if len(r) > 2]), True)
+    return swept(edges_of([r if signed_area(r) >= 0 else r[::-1] for r in convex if len(r) > 2]), True)  # all counter-clockwise
 
 
 def _rings(column: pa.Array) -> list[list[np.ndarray]]:
@@ -135,6 +135,17 @@ def _rings(column: pa.Array) -> list[list[np.ndarray]]:
     return [[np.array([(p["x"], p["y"]) for p in ring or ()], float).reshape(-1, 2) for ring in shape or ()] for shape in column.to_pylist()]
 
 
+def _flat(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rings of an Arrow column of rings."""
+    out = []
+    for chunk in column.chunks:
+        points = chunk.flatten()
+        x, y = (points.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+        ends = np.cumsum(np.array(chunk.value_lengths()))
+        out += np.split(np.c_[x, y], ends[:-1])
+    return out
+
+
 def _points(ring: np.ndarray) -> list[dict]:
     return [{"x": x, "y": y} for x, y in ring.tolist()]
 
@@ -181,37 +192,53 @@ def exploded(df: DataFrame, shape: str, number: str, area: str) -> DataFrame:
     return rows.select(*[c for c in df.columns if c != shape], area, F.posexplode("pieces__").alias(number, shape))
 
 
+def _inside(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
+    """A convex ring cut at the sides of a box, which its cuts meet exactly, so that neighbouring boxes agree on them."""
+    for axis, border, way in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        over = (ring[:, axis] - border) * way
+        if (over >= 0).all():
+            continue
+        after, next_ = np.roll(ring, -1, axis=0), np.roll(over, -1)
+        cross = over * next_ < 0
+        share = over[cross] / (over[cross] - next_[cross])
+        met = ring[cross] + (after[cross] - ring[cross]) * share[:, None]
+        met[:, axis] = border
+        # each corner that stays, then the place where its side is cut
+        rows = np.r_[np.flatnonzero(over >= 0) * 2, np.flatnonzero(cross) * 2 + 1]
+        ring = np.r_[ring[over >= 0], met][np.argsort(rows, kind="stable")]
+        if len(ring) < 3:
+            break
+    return ring
+
+
 def _cells(rows: DataFrame, side: Column) -> DataFrame:
-    """Pieces cut at the borders of square cells: ``bx``, ``by`` count cells of ``side``."""
-    low = lambda c: F.floor(F.array_min(F.transform("piece", lambda p: p[c])) / side)
-    high = lambda c: F.floor(F.array_max(F.transform("piece", lambda p: p[c])) / side)
-    rows = rows.withColumn("bx", F.explode(F.sequence(low("x"), high("x")))).withColumn("by", F.explode(F.sequence(low("y"), high("y"))))
-    box = space.box_ring(F.col("bx") * side, F.col("by") * side, (F.col("bx") + 1) * side, (F.col("by") + 1) * side)
-    whole = (low("x") == high("x")) & (low("y") == high("y"))
-    cut = rows.withColumn("piece", F.when(whole, F.col("piece")).otherwise(space.clipped(F.col("piece"), box)))
-    return cut.where((F.size("piece") > 2) & (space.ring_area(F.col("piece")) > 0))
+    """Pieces in every square cell of ``side`` that their box meets (``bx``, ``by``), not cut yet."""
+    at = lambda f, c: F.floor(f(F.transform("piece", lambda p: p[c])) / side).alias(f"{c}{f.__name__}__")
+    rows = rows.select("*", *[at(f, c) for c in "xy" for f in (F.array_min, F.array_max)])
+    spread = lambda c: F.explode(F.sequence(f"{c}array_min__", f"{c}array_max__"))
+    return rows.withColumn("bx", spread("x")).withColumn("by", spread("y")).drop(*[f"{c}{f}__" for c in "xy" for f in ("array_min", "array_max")])
 
 
 def dissolved(df: DataFrame, by: str, size: float, shape: str = "shape", most: int = CELL_PIECES) -> DataFrame:
-    """``(by, level, bx, by, piece)``: the union of the shapes of each ``by``, as disjoint convex pieces in square cells.
+    """``(by, level, cell_x, cell_y, piece)``: the union of the shapes of each ``by``, as disjoint convex pieces in square cells.
 
     Cells have the side ``size / 2**level``. A cell of over ``most`` pieces is swept in parts, whose unions meet in its
     quarters; after ``DEPTH`` quarterings what is left is swept at once. Shapes that are NULL or without area add nothing.
     """
-    kind = df.schema[by].dataType.simpleString()
-    rows = decomposed(df.select(F.col(by).alias("key__"), F.col(shape).alias("shape__")), "shape__", "pieces__").select("key__", F.explode("pieces__").alias("piece"))
-    rows = _cells(rows.withColumn("level", F.lit(0)), F.lit(float(size)))
+    rows = decomposed(df.select(F.col(by).alias("key__"), F.col(shape).alias("shape__")), "shape__", "pieces__")
+    return _united(rows.select("key__", F.explode("pieces__").alias("piece")), by, size, most)
+
+
+def _united(rows: DataFrame, by: str, size: float, most: int = CELL_PIECES) -> DataFrame:
+    """``dissolved`` convex pieces (``key__``, ``piece``)."""
+    kind = rows.schema["key__"].dataType.simpleString()
+    rows = _cells(rows.where(F.size("piece") > 2).withColumn("level", F.lit(0)), F.lit(float(size)))
     keys = ["key__", "level", "bx", "by"]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         level, i, j = (key[k].as_py() for k in (1, 2, 3))
         side = size / 2**level
-        near = 1e-9 * (1 + max(abs(i), abs(j))) * side
-        pieces = [r[0] for r in _rings(pa.array([[p] for p in table.column("piece").to_pylist()], pa.list_(ARROW_RING)))]
-        for p in pieces:  # cuts end exactly on the border, so that neighbours agree on it
-            for axis, k in ((0, i), (1, j)):
-                for border in (k * side, (k + 1) * side):
-                    p[np.abs(p[:, axis] - border) < near, axis] = border
+        pieces = [_inside(r, i * side, j * side, (i + 1) * side, (j + 1) * side) for r in _flat(table.column("piece"))]
         found = union_of(pieces)
         n = len(found)
         head = [pa.array([key[k].as_py()] * n, table.schema.field(keys[k]).type) for k in range(4)]
@@ -268,16 +295,31 @@ def circle(x: Column, y: Column, radius: Column, corners: int = CORNERS) -> Colu
 
 
 def offset_pieces(rings: Column, radius: float) -> Column:
-    """Convex pieces that cover what lies within ``radius`` of the border of a shape: a strip along each edge and a circle at each corner."""
+    """Convex pieces that cover what lies within ``radius`` of the border of a shape.
+
+    A strip on both sides of each edge, and at each corner a sector of the circle where it turns away from the strips.
+    """
+    step = 2 * math.pi / CORNERS
+    place = lambda p, t: F.struct((p["x"] + radius * F.cos(t)).alias("x"), (p["y"] + radius * F.sin(t)).alias("y"))
 
     def strip(a: Column, b: Column) -> Column:
         far = F.hypot(b["x"] - a["x"], b["y"] - a["y"])
         nx, ny = -(b["y"] - a["y"]) / far * radius, (b["x"] - a["x"]) / far * radius
         corner = lambda p, s: F.struct((p["x"] + s * nx).alias("x"), (p["y"] + s * ny).alias("y"))
-        return F.when(far > 0, F.array(corner(a, 1), corner(a, -1), corner(b, -1), corner(b, 1)))
+        return F.array(corner(a, 1), corner(a, -1), corner(b, -1), corner(b, 1))
+
+    def sector(a: Column, b: Column) -> Column:
+        """At the end of edge ``a``, where edge ``b`` begins: from one edge's normal to the other's, on the outer side of the turn."""
+        ux, uy, vx, vy = a["q"]["x"] - a["p"]["x"], a["q"]["y"] - a["p"]["y"], b["q"]["x"] - b["p"]["x"], b["q"]["y"] - b["p"]["y"]
+        turn = F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)
+        begin = F.when(turn > 0, F.atan2(uy, ux) - math.pi / 2).otherwise(F.atan2(vy, vx) + math.pi / 2)
+        first, last = F.floor(begin / step) + 1, F.ceil((begin + F.abs(turn)) / step) - 1
+        arc = F.when(first <= last, F.transform(F.sequence(first, last), lambda k: place(b["p"], k * step))).otherwise(F.slice(F.array(place(b["p"], begin)), 1, 0))
+        return F.when(F.abs(turn) > 1e-9, F.concat(F.array(b["p"], place(b["p"], begin)), arc, F.array(place(b["p"], begin + F.abs(turn)))))
 
     def of(ring: Column) -> Column:
-        return F.concat(F.filter(F.zip_with(ring, space._turned(ring), strip), lambda s: s.isNotNull()), F.transform(ring, lambda p: circle(p["x"], p["y"], F.lit(float(radius)))))
+        edges = F.filter(F.zip_with(ring, space._turned(ring), lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda e: F.hypot(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]) > 0)
+        return space._let(edges, lambda e: F.concat(F.transform(e, lambda z: strip(z["p"], z["q"])), F.filter(F.zip_with(e, space._turned(e), sector), lambda x: x.isNotNull())))
 
     return F.flatten(F.transform(rings, of))
 
@@ -288,9 +330,9 @@ def buffered(df: DataFrame, by: str, radius: float, size: float, shape: str = "s
         raise ValueError("the radius has to be positive")
     one = isinstance(df.schema[shape].dataType.elementType, T.StructType)
     rings = F.array(F.col(shape)) if one else F.col(shape)
-    around = df.select(by, F.explode(offset_pieces(rings, radius)).alias("shape"))
-    inner = decomposed(df.select(by, shape), shape, "pieces__").select(by, F.explode("pieces__").alias("shape"))
-    return dissolved(inner.unionByName(around), by, size)
+    around = df.select(F.col(by).alias("key__"), F.explode(offset_pieces(rings, radius)).alias("piece"))
+    inner = decomposed(df.select(by, shape), shape, "pieces__").select(F.col(by).alias("key__"), F.explode("pieces__").alias("piece"))
+    return _united(inner.unionByName(around), by, size)
 
 
 def mask(shapes: DataFrame, radius: float, size: float, shape: str = "shape") -> DataFrame:

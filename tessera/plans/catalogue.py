@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import layers, relational, spatial, textual
+from tessera.plans import layers, relational, shapes, spatial, textual
 
-PARTS = (relational, spatial, textual, layers)
+PARTS = (relational, spatial, textual, layers, shapes)
 QUERIES = {k: f for p in PARTS for k, f in p.QUERIES.items()}
 ORACLE_SQL = {k: s for p in PARTS for k, s in p.ORACLE_SQL.items()}
