@@ -98,6 +98,19 @@ class Tree:
         """Points (``id, x, y, most``) with every target of the leaves that can hold their nearest."""
         return self.near(points).join(self.held, NODE)
 
+    def nearest(self, points: DataFrame) -> DataFrame:
+        """``(id, distance, target)`` of points (``id, x, y``) that have a place.
+
+        A point's own leaf gives a first answer, which is final if it is nearer than the leaf's border. All others go
+        down the tree from its root with that answer as a bound. Pairs that meet are at most a leaf for each looked at.
+        """
+        usable = points.select("id", "x", "y").where(_number("x") & _number("y"))
+        own = stored(self.own(usable), "own-leaf")
+        sure = own.where("sure").select("id", F.col("far").alias("distance"), "target")
+        rest = usable.join(sure, "id", "left_anti").join(own.select("id", F.col("far").alias("most")), "id", "left").withColumn("most", F.coalesce("most", F.lit(float("inf"))))
+        best = self.met(rest).groupBy("id").agg(F.min(F.struct(distance().alias("far"), "target")).alias("m")).select("id", F.col("m.far").alias("distance"), "m.target")
+        return sure.unionByName(best)
+
 
 def _number(c: str) -> Column:
     """Neither missing nor infinite."""
@@ -111,16 +124,9 @@ def distance() -> Column:
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     """``points`` (``id, x, y``; ids distinct) with the nearest target and its ``distance`` (ties: smallest target); NULL where there is none.
 
-    A point's own leaf gives a first answer, which is final if it is nearer than the leaf's border. All others go down
-    the tree from its root with that answer as a bound. Pairs that meet are at most ``LEAF`` for each leaf looked at.
     Points and targets without a finite place have no nearest and are none.
     """
     tree = Tree(targets)
     if tree.empty:
         return points.withColumn("distance", F.lit(None).cast("double")).withColumn("target", F.lit(None).cast(targets.schema["target"].dataType))
-    usable = points.select("id", "x", "y").where(_number("x") & _number("y"))
-    own = stored(tree.own(usable), "own-leaf")
-    sure = own.where("sure").select("id", F.col("far").alias("distance"), "target")
-    rest = usable.join(sure, "id", "left_anti").join(own.select("id", F.col("far").alias("most")), "id", "left").withColumn("most", F.coalesce("most", F.lit(float("inf"))))
-    best = tree.met(rest).groupBy("id").agg(F.min(F.struct(distance().alias("far"), "target")).alias("m")).select("id", F.col("m.far").alias("distance"), "m.target")
-    return points.join(sure.unionByName(best), "id", "left")
+    return points.join(tree.nearest(points), "id", "left")
