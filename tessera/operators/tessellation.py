@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import quadtree, space
+from tessera.operators import guards, quadtree, space
 from tessera.sources.shared import stored
 
 #: Sites of a leaf, relative slack of the certificate, and rounds of cuts at most.
@@ -56,14 +56,17 @@ def _box(limits: tuple[float, float, float, float]) -> np.ndarray:
     return np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)], float)
 
 
-def voronoi(sites: DataFrame, limits: tuple[float, float, float, float]) -> DataFrame:
+def voronoi(sites: DataFrame, limits: tuple[float, float, float, float] | None = None) -> DataFrame:
     """``(site, x, y, cell)``: the ground nearest to each of ``sites`` (``site`` long, ``x``, ``y``) inside a box (x0, y0, x1, y1).
 
+    Without ``limits`` each site has a box of its own, in columns of these names.
+
     Of sites at one place the smallest has the cell and the others have none, as have sites outside the box or without a
     place. A corner of a cell is ``x, y`` and the site ``beyond`` the side that begins there, NULL for the limits.
     """
-    x0, y0, x1, y1 = limits
-    inner = sites.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+    if limits:
+        sites = sites.select("site", "x", "y", *[F.lit(float(v)).alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), limits, strict=True)])
+    inner = sites.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     tree = quadtree.Tree(inner.select(F.col("site").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")), LEAF)
     if tree.empty:
         return sites.sparkSession.createDataFrame([], f"site long, x double, y double, cell {CELL}")
@@ -72,10 +75,11 @@ def voronoi(sites: DataFrame, limits: tuple[float, float, float, float]) -> Data
     def start(key: tuple, table: pa.Table) -> pa.Table:
         at = np.c_[table.column("tx").to_numpy(), table.column("ty").to_numpy()]
         number = table.column("target").to_numpy()
+        boxes = zip(*[table.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1")], strict=True)
         cells = []
-        for p in at:
+        for p, box in zip(at, boxes, strict=True):
             away = np.hypot(*(at - p).T)
-            ring, beyond = _box(limits), np.full(4, -1, np.int64)
+            ring, beyond = _box(box), np.full(4, -1, np.int64)
             for k in np.argsort(away, kind="stable")[1:]:
                 if away[k] > 2 * np.hypot(*(ring - p).T).max():
                     break
@@ -94,7 +98,7 @@ def voronoi(sites: DataFrame, limits: tuple[float, float, float, float]) -> Data
                 cells.append(_record(ring, beyond))
             yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("x"), batch.column("y"), pa.array(cells, BORDER)], names=["site", "x", "y", "cell"])
 
-    held = tree.held.select("target", "tx", "ty", *quadtree.NODE)
+    held = tree.held.select("target", "tx", "ty", *quadtree.NODE).join(inner.select(F.col("site").alias("target"), "x0", "y0", "x1", "y1"), "target")
     open_ = stored(held.groupBy(*quadtree.NODE).applyInArrow(start, schema), "cells")
     done = None
     for _ in range(ROUNDS):
@@ -131,8 +135,7 @@ def tessellated(shapes: DataFrame, step: float, limits: tuple[float, float, floa
     points = shapes.select("id", F.explode(along(F.col("shape"), step)).alias("p")).groupBy("p.x", "p.y").agg(F.min("id").alias("id"))
     # a number of a site follows from its place alone, so that it is the same whenever it is computed
     sites = stored(points.select(F.shiftrightunsigned(F.xxhash64("x", "y"), 1).alias("site"), "id", "x", "y"), "sites")
-    if sites.groupBy("site").count().where("count > 1").limit(1).count():
-        raise ValueError("two places have one number")
+    guards.unique(sites, "site")
     found = stored(voronoi(sites, limits).join(sites.select("site", "id"), "site"), "tessellation")
     cells = found.select("id", F.transform("cell", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("piece"))
     corners = F.zip_with("cell", space._turned(F.col("cell")), lambda a, b: F.struct(a["beyond"].alias("beyond"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("far")))
@@ -140,3 +143,31 @@ def tessellated(shapes: DataFrame, step: float, limits: tuple[float, float, floa
     other = sites.select("site", F.col("id").alias("other"))
     edges = sides.distinct().join(other, "site").where("id <> other").select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
     return cells, edges
+
+
+def enclosed(shapes: DataFrame, enclosures: DataFrame, step: float, size: float) -> DataFrame:
+    """``(id, enclosure, piece)``: each enclosure (``id``, ``shape``) shared out among the shapes (``id``, ``shape``) whose border begins in it.
+
+    A shape stands in the enclosure of the first point of its border, and competes there alone: its ground ends at
+    the streets. Enclosures without a shape have no pieces. ``size`` is the side of the buckets in which shapes meet.
+    """
+    first = shapes.select("id", F.col("shape")[0]["x"].alias("x"), F.col("shape")[0]["y"].alias("y"))
+    cells = enclosures.select(F.col("id").alias("id_b"), F.col("shape").alias("shape_b"))
+    own = space.assigned(first, cells, size).where("id_b IS NOT NULL").select("id", F.col("id_b").alias("enclosure")).join(shapes.select("id", "shape"), "id")
+    points = own.select("enclosure", "id", F.explode(along(F.col("shape"), step)).alias("p")).groupBy("enclosure", "p.x", "p.y").agg(F.min("id").alias("id"))
+    points = stored(points, "enclosed-sites")
+    boxes = cells.select(F.col("id_b").alias("enclosure"), F.explode("shape_b").alias("p")).groupBy("enclosure").agg(*[f(f"p.{c}").alias(f"{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))])
+    widest = boxes.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
+    # enclosures are laid out so far apart that no corner of a cell is nearer to a site of another one
+    apart, place = 4.0 * (widest or 1.0), Window.partitionBy("row__").orderBy("enclosure")
+    laid = boxes.withColumn("row__", F.pmod(F.xxhash64("enclosure"), F.lit(256))).withColumn("column__", F.row_number().over(place))
+    laid = stored(laid.select("enclosure", "x0", "y0", "x1", "y1", (F.col("column__") * apart - F.col("x0")).alias("dx"), (F.col("row__") * apart - F.col("y0")).alias("dy")), "enclosed-boxes")
+    sites = points.join(laid, "enclosure").where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    moved = [(F.col(c) + F.col(f"d{c[0]}")).alias(c) for c in ("x", "y", "x0", "y0", "x1", "y1")]
+    sites = stored(sites.select(F.shiftrightunsigned(F.xxhash64("enclosure", "x", "y"), 1).alias("site"), "id", "enclosure", "dx", "dy", *moved), "sites")
+    guards.unique(sites, "site")
+    found = voronoi(sites.select("site", "x", "y", "x0", "y0", "x1", "y1")).join(sites.select("site", "id", "enclosure", "dx", "dy"), "site")
+    pieces = found.select("id", "enclosure", F.transform("cell", lambda c: F.struct((c["x"] - F.col("dx")).alias("x"), (c["y"] - F.col("dy")).alias("y"))).alias("piece"))
+    ground = space._exploded(cells, "shape_b", "k", "area").select(F.col("id_b").alias("enclosure"), "shape_b")
+    part = space._measured(pieces.join(ground, "enclosure"), "part", space.clipped(F.col("piece"), F.col("shape_b")))
+    return part.where(space.ring_area(F.col("part")) > 1e-9).select("id", "enclosure", F.col("part").alias("piece"))
