@@ -37,7 +37,7 @@ def reason(district: str = "ubigeo", audited: str = "tiene_auditoria", recorded:
 
 def coverage(grid: DataFrame, observed: DataFrame, audit: DataFrame) -> DataFrame:
     """The grid, left joined with support and quality: counts are filled with 0, qualities stay missing."""
-    grid = grid.withColumn("ubigeo", no_blank(F.col("ubigeo")))
+    grid = grid.withColumns({c: no_blank(F.col(c)) for c in ("ubigeo", "distrito", "departamento") if c in grid.columns})
     out = grid.join(support(observed), "h3_index", "left").join(district_quality(observed, audit), "ubigeo", "left")
     out = out.fillna(0, subset=["soporte_registros", "soporte_anios", "soporte_categorias"])
     out = out.withColumn("tiene_registro", F.col("soporte_registros") > 0).withColumn("tiene_auditoria", F.col("n_geo").isNotNull())

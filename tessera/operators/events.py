@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.functions.scalar import clock_hours
+
 OFFSETS = tuple(range(-12, 13))
 #: Groups whose draws a task of the bootstrap holds at a time.
 GROUPS_HELD = 256
@@ -111,6 +113,60 @@ def complement_counts(strata: DataFrame, incidents: DataFrame, lo: float, hi: fl
     return sizes.join(found, ["stadium", "day"], "left").select("stadium", "day", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("c", F.lit(0)).alias("c"), "nc")
 
 
+def cleaned(raw: DataFrame, rules: list[tuple[Column, str]], years: tuple[int, int], box: tuple[float, float, float, float], most: int, cells: DataFrame, zone: str, wanted: str) -> DataFrame:
+    """Reports as incidents, in the one order of steps that keeps the counts: ``cat, lat, lng, cell, at, hour, midnight``.
+
+    ``raw``: ``flag, year, located, lat, lng, cell, at_ms`` and what ``rules`` read. Flag and years, then any category at
+    all, then a place in the box; pile-ups are counted over all categories, as a police station piles up every kind; then the
+    cells of ``cells`` and the local time of ``zone``; the ``wanted`` category comes last.
+    """
+    none = F.lit(None).cast("string")
+    known = raw.withColumn("cat", category(none, none, none, rules)).where("cat IS NOT NULL")
+    placed = coerced(known.where(F.upper("located") == "CON COORDENADA"), years, box)
+    kept = without_pileups(placed, ("lat", "lng"), most).join(cells.select("cell").distinct(), "cell", "left_semi")
+    at = kept.withColumn("at", F.from_utc_timestamp(F.timestamp_millis("at_ms"), zone)).where(F.col("cat") == wanted)
+    hour = F.hour("at") + F.minute("at") / 60.0
+    return at.select("cat", "lat", "lng", "cell", "at", hour.alias("hour"), (F.col("at") == F.date_trunc("day", "at")).alias("midnight"))
+
+
+def kickoffs(files: dict[str, DataFrame], domain: tuple[str, ...], first: str) -> DataFrame:
+    """``(stadium, event, day, kh)`` of calendars (``stadium, event, date, kickoff``): each file's events, or those of its name where
+    it names none, in the ``domain``; a kickoff that is missing or no clock time is left out, and of equal rows one stays."""
+    out = None
+    for name, df in files.items():
+        event = F.col("event") if "event" in df.columns else F.lit(name)
+        part = df.select("stadium", event.alias("event"), F.datediff(F.to_date("date"), F.lit(first)).alias("day"), clock_hours(F.col("kickoff")).alias("kh"))
+        out = part if out is None else out.unionByName(part)
+    return out.where(F.col("event").isin(*domain) & F.col("kh").isNotNull() & F.col("day").isNotNull()).distinct()
+
+
+def bundle(strata: DataFrame, incidents: DataFrame, windows: list[tuple[str, float, float]], outside: tuple[str, float, float], by: tuple[str, ...] = ("ring", "variant")) -> DataFrame:
+    """Counts of every measure, ring and variant at once: ``(by, measure, stadium, day, a, c, nc)``, zeros too.
+
+    ``incidents``: ``stadium, t`` and ``by``. They are counted by minute, meet the days that look at them in one join, and
+    each adds to all windows that hold its distance from the kickoff, and to the measure ``outside`` if it lies on
+    the calendar day but beyond ``[lo, hi)``: one pass over the incidents, however many measures there are.
+    """
+    name, lo, hi = outside
+    reach = (min([lo, *[w[1] for w in windows]]), max([hi, *[w[2] for w in windows]]))
+    base = long_strata(strata).withColumn("base", F.col("at_day") * 24 + F.col("kh"))
+    days = F.sequence(F.least(F.floor((F.col("base") + reach[0]) / 24), F.col("at_day").cast("long")), F.greatest(F.floor((F.col("base") + reach[1] - 1e-9) / 24), F.col("at_day").cast("long")))
+    looks = base.withColumn("d", F.explode(days))
+    seen = incidents.groupBy("stadium", F.floor(F.col("t") / 24).alias("d"), "t", *by).agg(F.count("*").alias("n"))
+    met = looks.join(seen, ["stadium", "d"]).withColumn("off", F.col("t") - F.col("base"))
+    within = [F.when((F.col("off") >= a) & (F.col("off") < b), F.lit(w)) for w, a, b in windows]
+    beyond = F.when((F.col("d") == F.col("at_day")) & ((F.col("off") < lo) | (F.col("off") >= hi)), F.lit(name))
+    hits = met.withColumn("measure", F.explode(F.array_compact(F.array(*within, beyond))))
+    sums = hits.groupBy(*by, "measure", "stadium", "day").agg(F.sum(F.when(F.col("treated"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("treated"), F.col("n")).otherwise(0)).alias("c"))
+    # a handful of rings and variants, as many as the incidents have
+    sizes = strata.groupBy("stadium", "day").agg(F.count("*").alias("nc")).withColumn("measure", F.explode(F.array(*[F.lit(w) for w, _, _ in windows], F.lit(name))))
+    kinds = incidents.groupBy("stadium", *by).agg(F.lit(1).alias("one")).select(*by).distinct()
+    listed = kinds.agg(F.collect_set(F.struct(*by)).alias("kinds"))
+    every = sizes.withColumn("kinds", listed.scalar()).withColumn("k", F.explode("kinds")).select("stadium", "day", "nc", "measure", "k.*")
+    out = every.join(sums, [*by, "measure", "stadium", "day"], "left")
+    return out.select(*by, "measure", "stadium", "day", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("c", F.lit(0)).alias("c"), "nc")
+
+
 def rate_ratio(counts: DataFrame, *by: str) -> DataFrame:
     """Mantel-Haenszel: sum of a * nc / (1 + nc) over sum of c / (1 + nc); missing if nothing was expected.
 

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import guards
+
 from tessera.sources.shared import stored
 
 BUCKETS = 256
@@ -70,9 +72,10 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def base_rate(df: DataFrame, flag: str, length: str) -> DataFrame:
-    """Share of flagged rows, by count and by length."""
+    """Share of flagged rows, by count and by length; a table without rows raises, as there is no rate to measure."""
     hit = F.when(F.col(flag), F.col(length)).otherwise(0.0)
-    return df.agg(F.round(F.avg(F.col(flag).cast("double")), 6).alias("base"), F.round(F.sum(hit) / F.sum(length), 6).alias("base_length"))
+    share = F.when(F.count("*") == 0, F.raise_error(F.lit("no rows: there is no base rate")).cast("double")).otherwise(F.avg(F.col(flag).cast("double")))
+    return df.agg(F.round(share, 6).alias("base"), F.round(F.sum(hit) / F.sum(length), 6).alias("base_length"))
 
 
 def precision_curve(df: DataFrame, column: str, key: str, flag: str, ks: tuple[int, ...]) -> DataFrame:
@@ -85,6 +88,39 @@ def precision_curve(df: DataFrame, column: str, key: str, flag: str, ks: tuple[i
     return out.select("k", F.round("p", 6).alias("precision"), F.round("b", 6).alias("base"), F.round(F.col("p") - F.col("b"), 6).alias("excess"), F.round(F.when(F.col("b") > 0, F.col("p") / F.col("b")), 6).alias("lift"))
 
 
+def fitting(df: DataFrame, ks: tuple[int, ...]) -> tuple[int, ...]:
+    """The k that a table reaches, in order; larger ones are left out, as they would repeat its end. Raises if none is left."""
+    rows = df.count()
+    found = tuple(sorted({int(k) for k in ks if 1 <= k <= rows}))
+    if not found:
+        raise ValueError(f"no k of {tuple(ks)} fits {rows} rows")
+    return found
+
+
+def reached(df: DataFrame, k: int) -> DataFrame:
+    """``df`` if it has at least ``k`` rows; else, or for ``k`` under 1, it raises."""
+    if k < 1 or df.limit(k).count() < k:
+        raise ValueError(f"k = {k} is out of range")
+    return df
+
+
+def precision_at(df: DataFrame, column: str, key: str, flag: str, k: int) -> DataFrame:
+    """One row of ``precision_curve``; ``k`` out of range raises."""
+    return precision_curve(reached(df, k), column, key, flag, (k,))
+
+
+def united(rows: DataFrame, measures: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """``rows`` with their ``columns`` of ``measures``, one to one; a repeated key, or a row that stays without a measure, raises.
+
+    Left alone, such a row would sort to the end and read as one that carries nothing.
+    """
+    lost = set(columns) - set(measures.columns)
+    if lost:
+        raise ValueError(f"no columns {sorted(lost)}")
+    joined = guards.unique(rows, key).join(guards.unique(measures.select(key, *columns), key), key, "left")
+    return guards.no_missing(joined, *columns)
+
+
 def undeclared(df: DataFrame, column: str, key: str, flag: str, k: int) -> DataFrame:
     """Of the first k, those that the hierarchy does not declare."""
     return top(df, column, key, k).where(~F.col(flag))

@@ -8,6 +8,8 @@ entry, or a family, which stands for its canonical variant.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ ANCHOR = r"CANON:\s*([\w.\-]+)\s*=\s*([~×xX]?\s*[-\d.,]+)(\s+variant-ok)?"
 MALFORMED = r"(?i)\bcanon\b"
 NUMBER = r"(^|[^\w.])[×xX~]?\s*\d+\.\d+"
 #: Rounding without a policy, and the most decimals that are shown.
-DECIMALS, MODE, MOST_DECIMALS = 4, "half_up", 12
+DECIMALS, MODE = 4, "half_up"
 
 
 def with_policy(entries: DataFrame, policies: DataFrame) -> DataFrame:
@@ -35,17 +37,64 @@ def with_policy(entries: DataFrame, policies: DataFrame) -> DataFrame:
     return out.withColumn("canonical", F.coalesce(F.col("variant") == F.col("wanted__"), F.lit(False))).drop("wanted__")
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def rounded(value: Column, decimals: Column, mode: Column) -> Column:
     """Decimal rounding of the shortest text of a value: half_up, half_even or floor; as text with that many decimals.
 
-    Covers 0 to ``MOST_DECIMALS``, each with its own scale, as a decimal's scale is part of its type.
+    The text is rounded once, digit by digit, so any number of decimals holds. NULL for values that are not finite; a
+    negative number of decimals raises.
     """
-    out = F.lit(None).cast("string")
-    exact = value.cast("string").cast("decimal(38,15)")
-    for d in range(MOST_DECIMALS + 1):
-        shown = F.when(mode == "half_even", F.bround(exact, d)).when(mode == "floor", F.floor(exact, F.lit(d))).otherwise(F.round(exact, d))
-        out = F.when(decimals == d, shown.cast(f"decimal(38,{d})").cast("string")).otherwise(out)
-    return out
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(F.lit(0), n).cast("int"))
+    first = lambda x, n: F.substring(x, F.lit(1), n)
+
+    def read(s: Column) -> Column:
+        """All digits, and how many of them are kept."""
+        parts = F.split(F.ltrim(F.replace(s["text"], F.lit("-"), F.lit(" "))), "[.E]")
+        power = F.when(s["text"].contains("E"), F.regexp_extract(s["text"], "E(.*)$", 1).cast("int")).otherwise(0)
+        digits = F.concat(parts[0], F.when(s["text"].contains("."), parts[1]).otherwise(""))
+        keep = F.length(parts[0]) + power + s["decimals"]
+        return F.struct(digits.alias("digits"), keep.cast("int").alias("keep"), s["text"].startswith("-").alias("negative"), s["decimals"].alias("decimals"), s["mode"].alias("mode"))
+
+    def cut(s: Column) -> Column:
+        """The digits that are kept, one at least, and the rest."""
+        padded = F.concat(zeros(1 - s["keep"]), s["digits"], zeros(s["keep"] - F.length(s["digits"])))
+        at = F.greatest(s["keep"], F.lit(1))
+        return F.struct(padded.alias("padded"), at.alias("at"), s["negative"].alias("negative"), s["decimals"].alias("decimals"), s["mode"].alias("mode"))
+
+    def turn(s: Column) -> Column:
+        """Does the last digit grow, and what does not change before it?"""
+        head, rest = first(s["padded"], s["at"]), F.substring(s["padded"], s["at"] + 1, F.length(s["padded"]))
+        tie, half = F.rtrim(F.replace(rest, F.lit("0"), F.lit(" "))) == "5", rest >= "5"
+        odd = F.substring(head, -1, 1).cast("int") % 2 == 1
+        up = F.when(s["mode"] == "floor", s["negative"] & (F.replace(rest, F.lit("0"), F.lit("")) != "")).when(s["mode"] == "half_even", half & (~tie | odd)).otherwise(half)
+        return F.struct(head.alias("head"), up.alias("up"), F.rtrim(F.replace(head, F.lit("9"), F.lit(" "))).alias("front"), s["negative"].alias("negative"), s["decimals"].alias("decimals"))
+
+    def grown(s: Column) -> Column:
+        """All digits after the rounding: the last that is no 9 grows by one, and 9s behind it turn to 0."""
+        front = F.replace(s["front"], F.lit(" "), F.lit("9"))
+        nines = zeros(F.length(s["head"]) - F.length(front))
+        more = F.concat(F.substring(front, F.lit(1), F.length(front) - 1), (F.substring(front, -1, 1).try_cast("int") + 1).cast("string"), nines)
+        digits = F.when(~s["up"], s["head"]).when(front == "", F.concat(F.lit("1"), nines)).otherwise(more)
+        return F.struct(F.concat(zeros(s["decimals"] + 1 - F.length(digits)), digits).alias("digits"), s["negative"].alias("negative"), s["decimals"].alias("decimals"))
+
+    def shown(s: Column) -> Column:
+        point = F.length(s["digits"]) - s["decimals"]
+        whole = F.regexp_replace(first(s["digits"], point), "^0+(?=.)", "")
+        text = F.when(s["decimals"] == 0, whole).otherwise(F.concat(whole, F.lit("."), F.substring(s["digits"], point + 1, s["decimals"])))
+        return F.when(s["negative"] & (F.replace(s["digits"], F.lit("0"), F.lit("")) != ""), F.concat(F.lit("-"), text)).otherwise(text)
+
+    def checked(s: Column) -> Column:
+        out = s
+        for step in (read, cut, turn, grown):
+            out = _let(out, step)
+        out = F.when(s["decimals"] < 0, F.raise_error(F.lit("negative number of decimals")).cast("string")).otherwise(_let(out, shown))
+        return F.when(s["text"].rlike("^-?[0-9]"), out)
+
+    return _let(F.struct(value.cast("string").alias("text"), decimals.alias("decimals"), mode.alias("mode")), checked)
 
 
 def emitted(numbers: DataFrame, policies: DataFrame) -> DataFrame:

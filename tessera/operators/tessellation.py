@@ -138,15 +138,22 @@ def tessellated(shapes: DataFrame, step: float, limits: tuple[float, float, floa
     guards.unique(sites, "site")
     found = stored(voronoi(sites, limits).join(sites.select("site", "id"), "site"), "tessellation")
     cells = found.select("id", F.transform("cell", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("piece"))
+    return cells, _touched(found, sites)
+
+
+def _touched(found: DataFrame, sites: DataFrame) -> DataFrame:
+    """``(src, dst)``: ids whose cells have a side in common."""
     corners = F.zip_with("cell", space._turned(F.col("cell")), lambda a, b: F.struct(a["beyond"].alias("beyond"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("far")))
     sides = found.select("id", F.explode(corners).alias("s")).where("s.beyond IS NOT NULL AND s.far > 1e-9").select("id", F.col("s.beyond").alias("site"))
     other = sites.select("site", F.col("id").alias("other"))
-    edges = sides.distinct().join(other, "site").where("id <> other").select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
-    return cells, edges
+    return sides.distinct().join(other, "site").where("id <> other").select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
+
 
+def enclosed(shapes: DataFrame, enclosures: DataFrame, step: float, size: float) -> tuple[DataFrame, DataFrame]:
+    """``(cells, edges)``: each enclosure (``id``, ``shape``) shared out among the shapes (``id``, ``shape``) whose border begins in it.
 
-def enclosed(shapes: DataFrame, enclosures: DataFrame, step: float, size: float) -> DataFrame:
-    """``(id, enclosure, piece)``: each enclosure (``id``, ``shape``) shared out among the shapes (``id``, ``shape``) whose border begins in it.
+    ``cells``: ``id, enclosure, piece``. ``edges``: ``src, dst`` of cells of one enclosure that touch; cells on both sides of a street
+    do not. Where an enclosure bends, the side that two cells share may lie outside: ``space.touching`` tells these.
 
     A shape stands in the enclosure of the first point of its border, and competes there alone: its ground ends at
     the streets. Enclosures without a shape have no pieces. ``size`` is the side of the buckets in which shapes meet.
@@ -166,8 +173,8 @@ def enclosed(shapes: DataFrame, enclosures: DataFrame, step: float, size: float)
     moved = [(F.col(c) + F.col(f"d{c[0]}")).alias(c) for c in ("x", "y", "x0", "y0", "x1", "y1")]
     sites = stored(sites.select(F.shiftrightunsigned(F.xxhash64("enclosure", "x", "y"), 1).alias("site"), "id", "enclosure", "dx", "dy", *moved), "sites")
     guards.unique(sites, "site")
-    found = voronoi(sites.select("site", "x", "y", "x0", "y0", "x1", "y1")).join(sites.select("site", "id", "enclosure", "dx", "dy"), "site")
+    found = stored(voronoi(sites.select("site", "x", "y", "x0", "y0", "x1", "y1")).join(sites.select("site", "id", "enclosure", "dx", "dy"), "site"), "enclosed-cells")
     pieces = found.select("id", "enclosure", F.transform("cell", lambda c: F.struct((c["x"] - F.col("dx")).alias("x"), (c["y"] - F.col("dy")).alias("y"))).alias("piece"))
     ground = space._exploded(cells, "shape_b", "k", "area").select(F.col("id_b").alias("enclosure"), "shape_b")
     part = space._measured(pieces.join(ground, "enclosure"), "part", space.clipped(F.col("piece"), F.col("shape_b")))
-    return part.where(space.ring_area(F.col("part")) > 1e-9).select("id", "enclosure", F.col("part").alias("piece"))
+    return part.where(space.ring_area(F.col("part")) > 1e-9).select("id", "enclosure", F.col("part").alias("piece")), _touched(found, sites)

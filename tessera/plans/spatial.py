@@ -106,6 +106,20 @@ def bootstrap_ci(spark, d):
     return ev.bootstrap(ev.window_counts(_strata(spark, d), _incidents(spark, d), WINDOWS), "window")
 
 
+HOURS = [(f"h{k:+03d}", float(k), float(k + 1)) for k in ev.OFFSETS]
+OUTSIDE = ("outside", -1.0, 2.0)
+
+
+def event_bundle(spark, d):
+    """All hours, the window at the door and the rest of the day, for two rings and two variants, from one pass."""
+    e = st.table(spark, d, "events").where("event_type = 'error'")
+    t = F.datediff(F.to_date("ts"), F.lit(FIRST)) * 24 + F.hour("ts") + F.minute("ts") / 60
+    ring = F.when(F.col("value") < 100, "near").otherwise("far")
+    variant = F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.minute("ts") > 0, "known"))))
+    rows = e.select((F.col("user_id") % 3).cast("int").alias("stadium"), t.cast("double").alias("t"), ring.alias("ring"), variant.alias("variant"))
+    return ev.rate_ratio(ev.bundle(_strata(spark, d), rows, HOURS + DOOR, OUTSIDE), "ring", "variant", "measure")
+
+
 def gap_fill_log2(spark, d):
     e = _incidents(spark, d).groupBy("stadium", F.floor(F.col("t") / 4).cast("int").alias("slot")).agg(F.count("*").alias("n"))
     every = spark.range(DAYS * 6).select(F.col("id").cast("int").alias("slot")).withColumn("stadium", F.explode(F.array(*[F.lit(k) for k in range(3)])))
@@ -320,7 +334,7 @@ def circuity(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        event_calendar, matched_strata, window_counts, complement_counts, mh_rate_ratio, event_profile, moving_estimate, bootstrap_ci, gap_fill_log2, pileup_filter, crosswalk_case, json_props,
+        event_calendar, matched_strata, window_counts, complement_counts, mh_rate_ratio, event_profile, moving_estimate, bootstrap_ci, event_bundle, gap_fill_log2, pileup_filter, crosswalk_case, json_props,
         segment_key, collapse_parallel, betweenness_nodes, betweenness_arcs, betweenness_sampled, arc_to_segment, components, strong_components, closeness, degree_density, degree_table, clustering,
         nearest_point, within_radius, distance_rings, label_names, hex_coverage, polygon_overlap, mass_deviation, grid_coverage, line_overlay, length_deviation, orientation, orientation_bins, circuity,
     )
@@ -345,6 +359,13 @@ ORACLE_SQL = {
     "mh_rate_ratio": f"WITH {_counted(DOOR)} SELECT stadium, {_RR} FROM counts GROUP BY stadium",
     "event_profile": f"""WITH {_counted([(f"h{k:+03d}", float(k), float(k + 1)) for k in ev.OFFSETS])} SELECT "window", {_RR} FROM counts GROUP BY 1""",
     "moving_estimate": f"""WITH {_counted([(f"h{k:+03d}", k - 1.5, k + 1.5) for k in ev.OFFSETS])} SELECT "window", {_RR} FROM counts GROUP BY 1""",
+    "event_bundle": f"""WITH i AS (SELECT (user_id % 3)::INTEGER AS stadium, date_diff('day', DATE '{FIRST}', ts::DATE) * 24 + hour(ts) + minute(ts) / 60.0 AS t, CASE WHEN value < 100 THEN 'near' ELSE 'far' END AS ring, minute(ts) > 0 AS known FROM events WHERE event_type = 'error'),
+      incidents AS (SELECT stadium, t, ring, 'all' AS variant FROM i UNION ALL SELECT stadium, t, ring, 'known' FROM i WHERE known), {STRATA}, w(measure, lo, hi) AS (VALUES {", ".join(f"('{n}', {lo}, {hi})" for n, lo, hi in HOURS + DOOR)}),
+      met AS (SELECT ring, variant, l.stadium, l.day, treated, i.t - l.at_day * 24 - kh AS gap, floor(i.t / 24) = at_day AS same FROM looks l JOIN incidents i ON i.stadium = l.stadium),
+      seen AS (SELECT ring, variant, measure, stadium, day, treated FROM met JOIN w ON gap >= lo AND gap < hi UNION ALL SELECT ring, variant, 'outside', stadium, day, treated FROM met WHERE same AND (gap < -1 OR gap >= 2)),
+      hits AS (SELECT ring, variant, measure, stadium, day, count(*) FILTER (WHERE treated) AS a, count(*) FILTER (WHERE NOT treated) AS c FROM seen GROUP BY ALL), kinds AS (SELECT DISTINCT ring, variant FROM incidents), measures AS (SELECT measure FROM w UNION ALL SELECT 'outside'),
+      counts AS (SELECT k.ring, k.variant, m.measure, s.stadium, s.day, coalesce(a, 0) AS a, coalesce(c, 0) AS c, nc FROM sizes s CROSS JOIN kinds k CROSS JOIN measures m LEFT JOIN hits h ON h.ring = k.ring AND h.variant = k.variant AND h.measure = m.measure AND h.stadium = s.stadium AND h.day = s.day)
+      SELECT ring, variant, measure, {_RR} FROM counts GROUP BY ALL""",
     "gap_fill_log2": f"""WITH {INCIDENTS}, e AS (SELECT stadium, floor(t / 4)::INTEGER AS slot, count(*) AS n FROM incidents GROUP BY 1, 2 HAVING count(*) > 3),
       g AS (SELECT s::INTEGER AS stadium, k::INTEGER AS slot, n FROM range(3) a(s) CROSS JOIN range({DAYS * 6}) b(k) LEFT JOIN e ON e.stadium = s AND e.slot = k),
       f AS (SELECT *, last_value(CASE WHEN n > 0 THEN {{'t': slot, 'l': log2(n)}} END IGNORE NULLS) OVER (PARTITION BY stadium ORDER BY slot) AS p,

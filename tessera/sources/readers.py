@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import struct
-import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from html import unescape
 from io import BytesIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import strict_bool
 from tessera.operators.space import in_ring, utm18s
+from tessera.sources import wkb
+from tessera.sources.shared import stored
 
 
 def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -85,37 +88,117 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
+#: Begins of a tag's name and attributes, and the entities of XML (fixed values of the format).
+_ATTRIBUTE = re.compile(r"""([\w:.-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+
+
+def _element(tags: list[str], names_of: str) -> tuple:
+    """``(kind, u, v, key, data)`` of one node, edge or key, from its tags, each with the text behind it."""
+    attributes = lambda tag: {k: unescape(a or b) for k, a, b in _ATTRIBUTE.findall(tag.split(">", 1)[0])}
+    head = attributes(tags[0])
+    if names_of == "key":
+        return "key", head.get("id"), head.get("attr.name"), None, []
+    data = {}
+    for tag in tags[1:]:
+        if re.split(r"[\s>/]", tag, maxsplit=1)[0].rsplit(":", 1)[-1] == "data":
+            text = tag.split(">", 1)[1] if not tag.split(">", 1)[0].endswith("/") else ""
+            data[attributes(tag).get("key")] = unescape(text)
+    first = head.get("id") if names_of == "node" else head.get("source")
+    return names_of, first, head.get("target"), head.get("id"), list(data.items())
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Complete elements of each block of a file; what a block cuts off at its ends comes as text with its place."""
+    kinds, out, open_, block, lead = ("node", "edge", "key"), [], [], None, None
+
+    def text(side: str, tags: list[str]) -> None:
+        out.append((side, block[0], block[1], block[2], None, [("text", "<".join(tags))]))
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
+        found = pa.RecordBatch.from_arrays([pa.array([None if x is None else x if k == 5 else str(x) for x in c], t) for k, (c, t) in enumerate(zip(cols, types, strict=True))], names=["kind", "file", "u", "v", "key", "data"])
+        out.clear()
+        return found
+
+    def take(tag: str) -> None:
+        nonlocal open_, lead
+        name = tag.split(">", 1)[0].rstrip("/").split(None, 1)
+        name = name[0].rsplit(":", 1)[-1] if name else ""
+        closing = name.startswith("/")
+        name = name.lstrip("/")
+        if lead is not None:  # before the first element that begins in this block: the end of the one before
+            if name in kinds and not closing:
+                text("head", lead)
+                lead = None
+            else:
+                lead.append(tag)
+                return
+        if open_:
+            open_.append(tag)
+        elif name in kinds and not closing:
+            open_ = [tag]
+        if open_ and name in kinds and (closing or tag.split(">", 1)[0].endswith("/")):
+            kind, *rest = _element(open_, name)
+            out.append((kind, block[0], *rest))
+            open_ = []
+
+    def end() -> None:
+        nonlocal open_
+        if block is not None:
+            if lead is not None:
+                text("through", lead)
+            elif open_:
+                text("tail", open_)
+        open_ = []
+
+    for batch in batches:
+        for value, file, start, length in zip(*[batch.column(c).to_pylist() for c in ("value", "file", "start", "length")], strict=True):
+            if block is None or block[:2] != (file, start):
+                end()
+                block, lead = (file, start, start + length), [] if start else None
+            take(value)
+            if len(out) >= 4096:
+                yield flush()
+    end()
+    yield flush()
 
 
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, arcs)`` of GraphML files: each file is parsed in the task that reads it, as a stream of elements.
+    """``(nodes, arcs)`` of GraphML files, which are split into blocks and read once, by as many tasks as there are blocks.
 
-    Attributes come as a map of text; ``typed`` picks and types them.
+    A row of the text reader is a tag with the text behind it. A task makes elements of them; elements that a block
+    cuts are put together from what its end and the next blocks' begins hold. Attributes come as a map of text, named
+    by the keys of their file; ``typed`` picks and types them.
     """
-
-    def parse(kind: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for content in batch.column("content"):
-                    names, rows = {}, []
-                    for _, e in ET.iterparse(BytesIO(content.as_py())):
-                        if _local(e.tag) == "key":
-                            names[e.get("id")] = e.get("attr.name")
-                        elif _local(e.tag) == kind:
-                            data = {names.get(x.get("key"), x.get("key")): x.text for x in e}
-                            rows.append((e.get("id") if kind == "node" else e.get("source"), e.get("target"), e.get("id"), list(data.items())))
-                            e.clear()
-                    first, second, third, data = zip(*rows, strict=True) if rows else ((), (), (), ())
-                    yield pa.RecordBatch.from_arrays([pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(third, pa.string()), pa.array(data, pa.map_(pa.string(), pa.string()))], names=["u", "v", "key", "data"])
-
-        return run
-
-    schema = "u string, v string, key string, data map<string,string>"
-    files = _files(spark, path).select("content")
-    nodes = files.mapInArrow(parse("node"), schema).select(F.col("u").alias("node_id"), F.col("data")["x"].cast("double").alias("x"), F.col("data")["y"].cast("double").alias("y"), F.col("data")["street_count"].cast("int").alias("street_count"))
-    arcs = files.mapInArrow(parse("edge"), schema).withColumn("key", F.coalesce(F.col("key").cast("int"), F.lit(0)))
+    raw = spark.read.option("lineSep", "<").text(path)
+    tags = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("length"))
+    found = stored(tags.mapInArrow(_elements, "kind string, file string, u string, v string, key string, data map<string,string>"), "graphml")
+    cut = found.where("kind IN ('tail', 'head', 'through')").select("file", F.col("u").cast("long").alias("start"), "kind", F.col("data")["text"].alias("text"))
+    # an element that begins in a block ends in the next block in which another one begins; of a file's blocks each has a row or two
+    w = Window.partitionBy("file").orderBy("start", F.when(F.col("kind") == "tail", 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, -1)
+    tail, head = (F.max(F.when(F.col("kind") == k, F.col("start"))).over(w) for k in ("tail", "head"))
+    of = F.when(F.col("kind") == "tail", F.col("start")).when(F.coalesce(head, F.lit(-1)) <= tail, tail)
+    grouped = cut.withColumn("of", of).where("of IS NOT NULL")
+    whole = grouped.groupBy("file", "of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", F.when(F.col("kind") == "tail", 1).otherwise(0).alias("k"), "text"))), lambda x: x["text"]), "<").alias("text"))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                tags = content.split("<")
+                name = tags[0].split(">", 1)[0].split(None, 1)[0].rsplit(":", 1)[-1]
+                kind, *rest = _element(tags, name)
+                rows.append((kind, file, *rest))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols[:5]], pa.array(cols[5], pa.map_(pa.string(), pa.string()))], names=["kind", "file", "u", "v", "key", "data"])
+
+    all_ = found.where("kind IN ('node', 'edge', 'key')").unionByName(whole.select("file", "text").mapInArrow(close, "kind string, file string, u string, v string, key string, data map<string,string>"))
+    # the keys of a file are the few attributes it declares
+    names = all_.where("kind = 'key'").groupBy("file").agg(F.map_from_entries(F.collect_set(F.struct("u", "v"))).alias("names"))
+    rows = all_.where("kind <> 'key'").join(names, "file", "left").withColumn("data", F.when(F.col("names").isNull(), F.col("data")).otherwise(F.transform_keys("data", lambda k, _: F.coalesce(F.col("names")[k], k)))).drop("names")
+    nodes = rows.where("kind = 'node'").select(F.col("u").alias("node_id"), F.col("data")["x"].cast("double").alias("x"), F.col("data")["y"].cast("double").alias("y"), F.col("data")["street_count"].cast("int").alias("street_count"))
+    arcs = rows.where("kind = 'edge'").select("u", "v", F.coalesce(F.col("key").try_cast("int"), F.lit(0)).alias("key"), "data")
     return nodes, arcs
 
 
@@ -217,3 +300,23 @@ def _wkb(blob: bytes | None) -> tuple[bytes | None, tuple | None]:
     order = "<" if blob[3] & 1 else ">"
     kind = blob[3] >> 1 & 7
     return blob[8 + (0, 32, 48, 48, 64)[kind] :], struct.unpack_from(order + "4d", blob, 8) if kind else None
+
+
+def projected_layer(spark: SparkSession, path: str, layer: str, columns: list[str], box: tuple[float, float, float, float] | None = None, only: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """``columns``, ``kind`` and metric ``parts`` of a GeoPackage layer of degrees: box first, then the values to keep, then the projection.
+
+    Raises if nothing is left, as without shapes or barriers there is no ground to share out. Rows without a geometry are
+    left out.
+    """
+    rows = geopackage(spark, path, layer, columns, box)
+    for column, values in (only or {}).items():
+        rows = rows.where(F.col(column).isin(*values))
+    rows = wkb.read(rows).where(F.size("parts") > 0)
+    if rows.isEmpty():
+        raise ValueError(f"{layer} has nothing of {only or 'any kind'} in {box or 'any box'}")
+
+    def metric(p: Column) -> Column:
+        x, y = utm18s(p["y"], p["x"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return rows.withColumn("parts", F.transform("parts", lambda part: F.transform(part, lambda ring: F.transform(ring, metric))))

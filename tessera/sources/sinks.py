@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ def read_sidecar(spark: SparkSession, path: str) -> dict | None:
     """The fields of a sidecar, None if there is none."""
     try:
         rows = spark.read.text(path).take(1)
-    except Exception as e:  # the reader's own class of a missing path
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
     return json.loads(rows[0][0]) if rows else None

@@ -315,3 +315,53 @@ def test_segments_keep_the_first_direction(spark):
     arcs = spark.createDataFrame([("b", "a", 0, 5.0, "back"), ("a", "b", 0, 7.0, None)], "u string, v string, key int, length double, name string")
     assert tuple(graph.segments(arcs, ("name",)).first()) == ("a-b-0", "a", "b", 0, 5.0, None)
     assert tuple(graph.segments(arcs.where("u = 'b'"), ("name",)).first()) == ("a-b-0", "a", "b", 0, 5.0, "back")
+
+
+def test_any_number_of_decimals_is_rounded_once(spark):
+    import decimal
+
+    rng = random.Random(7)
+    values = [0.0, -0.0, 12.5, 0.1, 2.5, -2.5, 9.9e-7, 1e22, 123456789.123456789, -0.05, 0.045, 99.95, -99.995, 1.0e-300, 5e-324, *[rng.uniform(-1, 1) * 10 ** rng.randint(-9, 9) for _ in range(40)]]
+    modes = {"half_up": decimal.ROUND_HALF_UP, "half_even": decimal.ROUND_HALF_EVEN, "floor": decimal.ROUND_FLOOR}
+    rows = [(v, d, m) for v in values for d in (0, 1, 2, 5, 14, 20) for m in modes]
+    got = spark.createDataFrame(rows, "v double, d int, m string").select("v", "d", "m", F.col("v").cast("string").alias("t"), registry.rounded(F.col("v"), F.col("d"), F.col("m")).alias("r")).collect()
+    with decimal.localcontext() as ctx:
+        ctx.prec = 400
+        for r in got:
+            want = decimal.Decimal(r.t).quantize(decimal.Decimal(1).scaleb(-r.d), rounding=modes[r.m])
+            assert r.r == f"{abs(want) if want == 0 else want:f}", (r.v, r.d, r.m)
+    assert spark.createDataFrame([(float("nan"), 2, "half_up"), (None, 2, "half_up")], "v double, d int, m string").select(registry.rounded(F.col("v"), F.col("d"), F.col("m")).alias("r")).collect() == [(None,), (None,)]
+
+
+def test_raises_of_rates_ladders_and_joins(spark):
+    rows = spark.createDataFrame([("a", 3.0, True, 5.0), ("b", 1.0, False, 5.0)], "id string, v double, f boolean, l double")
+    with pytest.raises(Exception, match="no base rate"):
+        rank.base_rate(rows.where("false"), "f", "l").collect()
+    assert rank.fitting(rows, (5, 2, 1, 0)) == (1, 2) and rank.precision_at(rows, "v", "id", "f", 1).first().precision == 1
+    for call in (lambda: rank.fitting(rows, (3, 0)), lambda: rank.precision_at(rows, "v", "id", "f", 3), lambda: rank.reached(rows, 0)):
+        with pytest.raises(ValueError):
+            call()
+    bc = spark.createDataFrame([("a", 0.5), ("b", 0.25)], "id string, bc double")
+    assert {r.id: r.bc for r in rank.united(rows, bc, "id", ("bc",)).collect()} == {"a": 0.5, "b": 0.25}
+    for wrong, columns in ((bc.where("id = 'a'"), ("bc",)), (bc.union(bc), ("bc",)), (bc, ("other",))):
+        with pytest.raises(ValueError):
+            rank.united(rows, wrong, "id", columns)
+    shares = spark.createDataFrame([(1, 0.6), (1, 0.5)], "id_b long, frac_b double")
+    assert space.whole_shares(shares.limit(1)).count() == 1
+    with pytest.raises(ValueError, match="more than 1"):
+        space.whole_shares(shares)
+
+
+def test_cleaning_keeps_its_order(spark):
+    # 3 reports at one spot, of which one alone has the wanted category: the pile-up is seen before the category is
+    at = 1546387200000  # 2019-01-02 00:00 UTC, 19:00 of the day before in Lima
+    spot = [(1, "2019", "con coordenada", "-12.1", "-77.0", "c", at, kind) for kind in ("robo", "estafa", "estafa")]
+    rows = [*spot, (1, "2019", "CON COORDENADA", "-12.2", "-77.0", "c", at, "robo"), (1, "2019", "SIN", "-12.3", "-77.0", "c", at, "robo"), (1, "x", "CON COORDENADA", "-12.4", "-77.0", "c", at, "robo"), (0, "2019", "CON COORDENADA", "-12.5", "-77.0", "c", at, "robo")]
+    rows += [(1, "2019", "CON COORDENADA", "-12.6", "-77.0", "elsewhere", at, "robo"), (1, "2019", "CON COORDENADA", "-12.7", "-77.0", "c", at + 5 * 3600000, "robo"), (1, "2019", "CON COORDENADA", "-12.8", "-77.0", "c", at, None)]
+    raw = spark.createDataFrame(rows, "flag int, year string, located string, lat string, lng string, cell string, at_ms long, kind string")
+    rules = [(F.col("kind") == "robo", "street"), (F.col("kind") == "estafa", "fraud")]
+    got = events.cleaned(raw, rules, (2019, 2023), (-13.0, -78.0, -12.0, -76.0), 2, spark.createDataFrame([("c",)], "cell string"), "America/Lima", "street").collect()
+    assert sorted((r.lat, r.hour, r.midnight) for r in got) == [(-12.7, 0.0, True), (-12.2, 19.0, False)]
+    files = {"liga": spark.createDataFrame([("s", "2024-01-03", "19:30"), ("s", "2024-01-03", "19:30"), ("s", "2024-01-04", None), ("s", "2024-01-05", "late")], "stadium string, date string, kickoff string")}
+    files["extra"] = spark.createDataFrame([("s", "cup", "2024-01-02", "20:15"), ("s", "concert", "2024-01-02", "21:00")], "stadium string, event string, date string, kickoff string")
+    assert sorted(map(tuple, events.kickoffs(files, ("liga", "cup"), "2024-01-01").collect())) == [("s", "cup", 1, 20.25), ("s", "liga", 2, 19.5)]

@@ -1,12 +1,17 @@
 """Readers and sinks on small files."""
 
+import random
 import sqlite3
 import struct
 import zipfile
+from xml.sax.saxutils import escape
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.sources import readers, sinks
+from tessera.operators import polygons, space
+from tessera.sources import readers, sinks, wkb
 from tessera.streaming import windows
 
 GRAPH = """<?xml version="1.0"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">
@@ -40,6 +45,71 @@ def test_shapefile(spark, tmp_path):
         readers.districts(spark, str(tmp_path / "d.zip"), ["010101", "020202"])
 
 
+def test_graphml_in_blocks_equals_the_whole(spark, tmp_path):
+    rng = random.Random(3)
+    nodes = [(f"n{k}", rng.uniform(-77, -76), rng.uniform(-13, -12)) for k in range(40)]
+    arcs = [(rng.choice(nodes)[0], rng.choice(nodes)[0], k, f"Calle <{k}> & \u00d1 \"x\"" + "y" * rng.choice([0, 3, 400])) for k in range(60)]
+    body = "".join(f'  <node id="{i}"><data key="d0">{x!r}</data><data key="d1">{y!r}</data></node>\n' for i, x, y in nodes)
+    body += "".join(f"  <edge source='{u}' target='{v}' id='{k}'>\n    <data key='d2'>{escape(name)}</data><data key='d3' />\n  </edge>\n" for u, v, k, name in arcs)
+    body += '<edge source="n1" target="n2"/>'
+    keys = "".join(f'<key id="d{k}" for="all" attr.name="{name}" attr.type="string"/>' for k, name in enumerate(("x", "y", "name", "note")))
+    (tmp_path / "g.graphml").write_text(f'<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="directed">\n{body}</graph></graphml>\n', encoding="utf-8")
+    try:
+        for block in (1 << 20, 2000, 300):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+            got_nodes, got_arcs = readers.graphml(spark, str(tmp_path / "g.graphml"))
+            assert sorted((r.node_id, r.x, r.y) for r in got_nodes.collect()) == sorted(nodes)
+            got = sorted((r.u, r.v, r.key, r.data.get("name")) for r in got_arcs.collect())
+            assert got == sorted([*arcs, ("n1", "n2", 0, None)], key=lambda a: a[:3]) or sorted(map(repr, got)) == sorted(map(repr, [*arcs, ("n1", "n2", 0, None)]))
+            if block == 2000:
+                assert spark.read.option("lineSep", "<").text(str(tmp_path / "g.graphml")).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+SQUARE, HOLE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(1.0, 1.0), (1.0, 2.0), (2.0, 2.0)]
+
+
+def test_wkb_of_both_byte_orders(spark):
+    big = struct.pack(">BI", 0, 3) + struct.pack(">I", 1) + struct.pack(">I", 4) + struct.pack(">8d", 0, 0, 1, 0, 1, 1, 0, 0)
+    heights = struct.pack("<BI", 1, 1001) + struct.pack("<3d", 5, 6, 7)
+    extended = struct.pack("<BIi", 1, 0x20000000 | 0x80000000 | 2, 4326) + struct.pack("<I", 2) + struct.pack("<6d", 0, 0, 9, 1, 1, 9)
+    got = [wkb.parsed(x) for x in (big, heights, extended)]
+    assert [(k, [[r.tolist() for r in p] for p in parts]) for k, parts in got] == [("polygon", [[[[0, 0], [1, 0], [1, 1]]]]), ("point", [[[[5, 6]]]]), ("line", [[[[0, 0], [1, 1]]]])]
+    rows = [("point", [[SQUARE[:1]]]), ("line", [[SQUARE]]), ("polygon", [[SQUARE, HOLE]]), ("multipolygon", [[SQUARE, HOLE], [HOLE]]), ("multipoint", [[SQUARE[:1]], [HOLE[:1]]]), ("multiline", [[SQUARE], [HOLE]]), ("polygon", []), ("point", []), (None, None)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"id int, kind string, parts {wkb.SHAPE}")
+    back = wkb.read(wkb.write(frame)).orderBy("id").collect()
+    assert [(r.kind, r.parts and [[[(p.x, p.y) for p in ring] for ring in part] for part in r.parts]) for r in back] == [(k, p) for k, p in rows]
+    area = polygons.decomposed(wkb.polygons(wkb.read(wkb.write(frame.where("id = 2"))))).select(space.pieces_area(F.col("pieces"))).first()[0]
+    assert area == 15.5
+    for broken in (b"", big[:20], struct.pack("<BI", 1, 17)):
+        with pytest.raises(ValueError):
+            wkb.parsed(broken)
+
+
+def test_projected_layer_of_a_geopackage(spark, tmp_path):
+    db = sqlite3.connect(tmp_path / "o.gpkg")
+    db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
+    db.execute("INSERT INTO gpkg_geometry_columns VALUES ('water', 'geom')")
+    db.execute("CREATE TABLE water (fid INTEGER PRIMARY KEY, fclass TEXT, geom BLOB)")
+    for k, kind in enumerate(("river", "dock", "river")):
+        x = -75.0 + k
+        raw = wkb.written("multipolygon", [[np.array([(x, -12.0), (x + 0.01, -12.0), (x + 0.01, -11.99), (x, -11.99)])]])
+        db.execute("INSERT INTO water VALUES (?, ?, ?)", (k, kind, b"GP\0\x03" + struct.pack("<i4d", 4326, x, x + 0.01, -12, -11.99) + raw))
+    db.execute("INSERT INTO water VALUES (9, 'river', NULL)")
+    db.commit()
+    db.close()
+    read = lambda **more: readers.projected_layer(spark, str(tmp_path / "o.gpkg"), "water", ["fclass"], **more)
+    (row,) = read(box=(-75.5, -13, -74.5, -11), only={"fclass": ("river", "riverbank")}).collect()
+    corner = row.parts[0][0][0]
+    assert (row.kind, round(corner.x), 8.6e6 < corner.y < 8.7e6) == ("multipolygon", 500000, True)
+    area = abs(polygons.signed_area(np.array([(p.x, p.y) for p in row.parts[0][0]])))
+    assert area == pytest.approx(0.01**2 * 110_600 * 108_900, rel=0.01)
+    assert read().count() == 3
+    with pytest.raises(ValueError, match="nothing"):
+        read(only={"fclass": ("canal",)})
+
+
 def test_geopackage_with_box(spark, tmp_path):
     db = sqlite3.connect(tmp_path / "o.gpkg")
     db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
