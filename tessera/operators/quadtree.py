@@ -37,7 +37,7 @@ class Tree:
         below = nodes.withColumn("px", up("cx")).withColumn("py", up("cy")).join(above, ["level", "px", "py"], "left_semi")
         self.nodes = stored(nodes.where("level = 0").withColumn("px", F.lit(0).cast("long")).withColumn("py", F.lit(0).cast("long")).unionByName(below).withColumn("leaf", ~full), "tree")
         self.leaves = self.nodes.where("leaf")
-        self.held = self._ancestors(self.places, "tx", "ty").join(self.leaves.select(*NODE), NODE)
+        self.held = stored(self._ancestors(self.places, "tx", "ty").join(self.leaves.select(*NODE), NODE), "leaves")
 
     def _fine(self, c: str, low: float) -> Column:
         at = F.floor((F.col(c) - low) / self.side * 2**LEVELS)

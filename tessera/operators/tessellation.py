@@ -2,8 +2,8 @@
 
 A cell starts as the limits and is cut by the bisectors with the other sites of its quadtree leaf. It is right if every
 corner has no nearer site than its own: a site that cuts it would be nearer to one of them. So the corners of open
-cells look for their nearest site in the tree, the sites that are nearer cut the cell, and rounds go on until no
-corner finds one. A site meets its leaf and what its corners find, however uneven the sites are; no cell needs a halo
+cells look for their nearest site in the tree; if it is nearer than the cell's own, the sites of its leaf that are
+nearer cut the cell, and rounds go on until no corner finds one. A site meets its leaf and what its corners find, however uneven the sites are; no cell needs a halo
 of a set width.
 
 The cell of a shape is the union of the cells of points along its border, which are disjoint convex pieces; each side
@@ -98,14 +98,16 @@ def voronoi(sites: DataFrame, limits: tuple[float, float, float, float] | None =
                 cells.append(_record(ring, beyond))
             yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("x"), batch.column("y"), pa.array(cells, BORDER)], names=["site", "x", "y", "cell"])
 
-    held = tree.held.select("target", "tx", "ty", *quadtree.NODE).join(inner.select(F.col("site").alias("target"), "x0", "y0", "x1", "y1"), "target")
+    held = stored(tree.held.select("target", "tx", "ty", *quadtree.NODE).join(inner.select(F.col("site").alias("target"), "x0", "y0", "x1", "y1"), "target"), "leaf-sites")
     open_ = stored(held.groupBy(*quadtree.NODE).applyInArrow(start, schema), "cells")
     done = None
     for _ in range(ROUNDS):
         corners = open_.select("site", F.col("x").alias("sx"), F.col("y").alias("sy"), F.posexplode("cell").alias("k", "c")).select(F.struct("site", "k").alias("id"), F.col("c.x").alias("x"), F.col("c.y").alias("y"), F.hypot(F.col("c.x") - F.col("sx"), F.col("c.y") - F.col("sy")).alias("far"))
         corners = stored(corners, "corners")
-        found = corners.select("id", "far").join(tree.nearest(corners), "id").where(F.col("distance") < F.col("far") * (1 - SLACK) - SLACK * tree.side)
-        nearer = found.select(F.col("id.site").alias("site"), "target").distinct().join(tree.places, "target")
+        found = corners.join(tree.nearest(corners), "id").where(F.col("distance") < F.col("far") * (1 - SLACK) - SLACK * tree.side)
+        # all sites of that leaf which are nearer to the corner, so that few rounds are needed
+        leaves = found.join(held.select("target", *quadtree.NODE), "target").select(F.col("id.site").alias("site"), "x", "y", "far", *quadtree.NODE)
+        nearer = leaves.join(held.select("target", "tx", "ty", *quadtree.NODE), quadtree.NODE).where(quadtree.distance() < F.col("far")).select("site", "target", "tx", "ty").distinct()
         others = stored(nearer.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("target", "tx", "ty"))).alias("others")), "nearer")
         sure = open_.join(others, "site", "left_anti")
         done = sure if done is None else done.unionByName(sure)
