@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import time
 
@@ -328,3 +329,41 @@ def test_toxicity_samples_4000_clean_rows_and_trains_alike_in_parts(spark, monke
     monkeypatch.setattr(toxicity, "PART_WORDS", 50)
     parts = toxicity.train(texts, [k % 3 == 0 for k in range(60)], epochs=5)
     assert abs(whole.weights - parts.weights).max() < 1e-9 and abs(whole.bias - parts.bias) < 1e-9
+
+
+def test_toxicity_slopes_by_differences():
+    rng = np.random.default_rng(2)
+    size = np.array([3, 1, 6, 4])
+    flat, y, s = rng.integers(0, 7, size.sum()), np.array([1.0, 0.0, 0.0, 1.0]), rng.normal(size=7)
+    bias, heat = -0.3, 2.5
+    got, by_bias = toxicity._slopes(flat, size, y, s, bias, heat)
+    texts = np.split(flat, np.cumsum(size)[:-1])
+    held = [np.exp(heat * s[t]) / np.exp(heat * s[t]).sum() for t in texts]  # the weights stay while a logit moves
+
+    def loss(logits, b):
+        z = [p @ logits[t] + b for p, t in zip(held, texts, strict=True)]
+        return sum(np.log1p(np.exp(x)) - label * x for x, label in zip(z, y, strict=True))
+
+    step = 1e-6
+    want = [(loss(s + step * (np.arange(7) == k), bias) - loss(s - step * (np.arange(7) == k), bias)) / (2 * step) for k in range(7)]
+    assert got == pytest.approx(want, abs=1e-6)
+    assert by_bias == pytest.approx((loss(s, bias + step) - loss(s, bias - step)) / (2 * step), abs=1e-6)
+
+
+def test_toxicity_scores_by_plain_python(spark):
+    texts, labels = labelled(60)
+    texts += [None, "", " \n", "grobnik", "unseen wörd " * 300, texts[0]]
+    model = toxicity.train(texts[:60], labels)
+
+    def score(text):
+        logits = []
+        for word in (text or "").lower().split():
+            rows, _ = toxicity.grams([word])
+            logits.append(sum(model.weights[r] for r in rows) / len(rows))
+        if not logits:
+            return 1 / (1 + math.exp(-model.bias))
+        weights = [math.exp(toxicity.HEAT * x) for x in logits]
+        return 1 / (1 + math.exp(-model.bias - sum(w * x for w, x in zip(weights, logits, strict=True)) / sum(weights)))
+
+    got = {r.doc_id: r.score for r in toxicity.scored(frame(spark, texts), model).collect()}
+    assert all(got[k] == pytest.approx(score(t), abs=1e-9) for k, t in enumerate(texts))
