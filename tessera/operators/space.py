@@ -347,7 +347,7 @@ def coordinate_lists(cells: DataFrame) -> DataFrame:
     """``(id, lng, lat)`` as lists of the largest piece's corners, rounded to six places; empty shapes are left out."""
     largest = F.array_max(F.transform("pieces", lambda p: F.struct(ring_area(p).alias("area"), p.alias("ring"))))["ring"]
     rows = cells.where(F.size("pieces") > 0).withColumn("ring", largest)
-    return rows.select("id", *[F.transform("ring", lambda q, c=c: F.round(q[c], 6)).alias(name) for name, c in (("lng", "x"), ("lat", "y"))])
+    return rows.select("id", *[F.transform(F.col("ring")[c], lambda v: F.round(v, 6)).alias(name) for name, c in (("lng", "x"), ("lat", "y"))])
 
 
 def correspondence(a: DataFrame, b: DataFrame, size: float, least: float = 1.0) -> DataFrame:

@@ -365,3 +365,22 @@ def test_cleaning_keeps_its_order(spark):
     files = {"liga": spark.createDataFrame([("s", "2024-01-03", "19:30"), ("s", "2024-01-03", "19:30"), ("s", "2024-01-04", None), ("s", "2024-01-05", "late")], "stadium string, date string, kickoff string")}
     files["extra"] = spark.createDataFrame([("s", "cup", "2024-01-02", "20:15"), ("s", "concert", "2024-01-02", "21:00")], "stadium string, event string, date string, kickoff string")
     assert sorted(map(tuple, events.kickoffs(files, ("liga", "cup"), "2024-01-01").collect())) == [("s", "cup", 1, 20.25), ("s", "liga", 2, 19.5)]
+
+
+def test_small_functions_by_hand(spark):
+    row = spark.createDataFrame([([7, 8], [], "50 mph", "none", 40.0, 7000.0, 2.0, 10.0)], "a array<int>, e array<int>, t string, u string, lo double, ext double, obs double, lat_ double")
+    got = row.select(
+        scalar.first_of(F.col("a")).alias("a"), scalar.first_of(F.col("e")).alias("e"), scalar.leading_number(F.col("t")).alias("t"), scalar.leading_number(F.col("u")).alias("u"),
+        scalar.scale_bar(F.col("ext")).alias("bar"), scalar.scale_bar(F.col("lo")).alias("ten"), scalar.blend(F.col("obs"), F.col("lat_"), 0.25).alias("mix"),
+    ).first()
+    assert tuple(got) == (7, None, 50.0, None, 1000.0, 10.0, 4.0)
+    assert scalar.downcast(row).dtypes[4:] == [(n, "float") for n in ("lo", "ext", "obs", "lat_")] and scalar.downcast(row).dtypes[2] == ("t", "string")
+    curve = spark.createDataFrame([(0.1,), (0.25,)], "rate double")
+    assert curves.measured_level(curve, 0.2504).first()[0] and not curves.measured_level(curve, 0.2).first()[0]
+    nodes = spark.createDataFrame([(5, 1.0, 2.0, 3, "more")], "node_id long, x double, y double, street_count int, other string")
+    assert graph.intersections(nodes).first().asDict() == {"node_id": "5", "x": 1.0, "y": 2.0, "street_count": 3}
+    east, north = spark.range(1).select(*space.equirectangular(F.lit(-11.99), F.lit(-76.99), -12.0, -77.0)).first()
+    assert north == pytest.approx(1111.95, abs=0.1) and east == pytest.approx(1111.95 * math.cos(math.radians(12)), abs=0.1)
+    square = lambda s: [(0.0, 0.0), (s, 0.0), (s, s), (0.0, s)]
+    cells = spark.createDataFrame([(1, [square(1.0), square(3.1234567)]), (2, [])], "id long, pieces array<array<struct<x:double,y:double>>>")
+    assert [tuple(r) for r in space.coordinate_lists(cells).collect()] == [(1, [0.0, 3.123457, 3.123457, 0.0], [0.0, 0.0, 3.123457, 3.123457])]
