@@ -47,6 +47,20 @@ def cut(ring: np.ndarray, beyond: np.ndarray, site: np.ndarray, other: np.ndarra
     return np.r_[ring[stays], met][order], np.r_[kept, behind][order]
 
 
+def trimmed(ring: np.ndarray, beyond: np.ndarray, site: np.ndarray, others: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``cut`` by all ``others`` that reach into the ring, the nearest first."""
+    way = others - site
+    border, away = ((others + site) / 2 * way).sum(axis=1), np.hypot(*way.T)
+    away[away == 0] = np.inf  # the site itself
+    while True:
+        reach = np.where((ring @ way.T - border).max(axis=0) > 1e-12 * (1 + np.abs(border)), away, np.inf)
+        k = int(reach.argmin()) if len(reach) else 0
+        if not len(reach) or np.isinf(reach[k]):
+            return ring, beyond
+        ring, beyond = cut(ring, beyond, site, others[k], int(numbers[k]))
+        away[k] = np.inf
+
+
 def _record(ring: np.ndarray, beyond: np.ndarray) -> list[dict]:
     return [{"x": x, "y": y, "beyond": int(b) if b >= 0 else None} for (x, y), b in zip(ring.tolist(), beyond.tolist(), strict=True)]
 
@@ -78,13 +92,7 @@ def voronoi(sites: DataFrame, limits: tuple[float, float, float, float] | None =
         boxes = zip(*[table.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1")], strict=True)
         cells = []
         for p, box in zip(at, boxes, strict=True):
-            away = np.hypot(*(at - p).T)
-            ring, beyond = _box(box), np.full(4, -1, np.int64)
-            for k in np.argsort(away, kind="stable")[1:]:
-                if away[k] > 2 * np.hypot(*(ring - p).T).max():
-                    break
-                ring, beyond = cut(ring, beyond, p, at[k], number[k])
-            cells.append(_record(ring, beyond))
+            cells.append(_record(*trimmed(_box(box), np.full(4, -1, np.int64), p, at, number)))
         return pa.Table.from_arrays([pa.array(number), pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(cells, BORDER)], names=["site", "x", "y", "cell"])
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +101,7 @@ def voronoi(sites: DataFrame, limits: tuple[float, float, float, float] | None =
             for x, y, cell, others in zip(*[batch.column(c).to_pylist() for c in ("x", "y", "cell", "others")], strict=True):
                 p = np.array([x, y])
                 ring, beyond = np.array([(c["x"], c["y"]) for c in cell]), np.array([-1 if c["beyond"] is None else c["beyond"] for c in cell], np.int64)
-                for o in others:
-                    ring, beyond = cut(ring, beyond, p, np.array([o["tx"], o["ty"]]), o["target"])
-                cells.append(_record(ring, beyond))
+                cells.append(_record(*trimmed(ring, beyond, p, np.array([(o["tx"], o["ty"]) for o in others]), np.array([o["target"] for o in others], np.int64))))
             yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("x"), batch.column("y"), pa.array(cells, BORDER)], names=["site", "x", "y", "cell"])
 
     held = stored(tree.held.select("target", "tx", "ty", *quadtree.NODE).join(inner.select(F.col("site").alias("target"), "x0", "y0", "x1", "y1"), "target"), "leaf-sites")
