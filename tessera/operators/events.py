@@ -17,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tessera.functions.scalar import clock_hours
 
 OFFSETS = tuple(range(-12, 13))
+#: Text of a report that has a place, upper-cased (fixed value).
+LOCATED = "CON COORDENADA"
 #: Groups whose draws a task of the bootstrap holds at a time.
 GROUPS_HELD = 256
 
@@ -122,7 +124,7 @@ def cleaned(raw: DataFrame, rules: list[tuple[Column, str]], years: tuple[int, i
     """
     none = F.lit(None).cast("string")
     known = raw.withColumn("cat", category(none, none, none, rules)).where("cat IS NOT NULL")
-    placed = coerced(known.where(F.upper("located") == "CON COORDENADA"), years, box)
+    placed = coerced(known.where(F.upper("located") == LOCATED), years, box)
     kept = without_pileups(placed, ("lat", "lng"), most).join(cells.select("cell").distinct(), "cell", "left_semi")
     at = kept.withColumn("at", F.from_utc_timestamp(F.timestamp_millis("at_ms"), zone)).where(F.col("cat") == wanted)
     hour = F.hour("at") + F.minute("at") / 60.0
