@@ -9,16 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import stored
 
-#: Largest graph, in arcs, that is sent to every task for shortest paths (about 32 bytes each).
-BROADCAST_ARCS = 10_000_000
+#: Largest graph, in arcs, that a task of shortest paths holds in arrays (about 32 bytes each), and arcs of a row that travels there.
+TASK_ARCS, ROW_ARCS = 10_000_000, 1 << 15
+#: Buckets of hashed ids in which nodes are numbered.
+NUMBER_BUCKETS = 256
 #: Sources that a task takes at once, distances that it holds at most, and arcs that it relaxes at a time.
 SOURCES_AT_ONCE, BLOCK_CELLS, RUN_ARCS = 32, 1 << 22, 1 << 15
 
@@ -71,10 +71,8 @@ class Paths:
     """
 
     def __init__(self, n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray):
-        if len(w) and not w.min() > 0:
-            raise ValueError("weights must be positive")
-        order = np.argsort(v, kind="stable")
-        self.n, self.order, self.u, self.v, self.w = n, order, u[order], v[order], w[order].astype(float)
+        order = np.lexsort((u, v))
+        self.n, self.u, self.v, self.w = n, u[order].astype(np.int64), v[order].astype(np.int64), w[order]
 
     def _runs(self, arcs: np.ndarray) -> Iterator[np.ndarray]:
         """``arcs`` in slices that end with a target's last arc."""
@@ -128,7 +126,7 @@ class Paths:
         raise RuntimeError("shortest paths did not settle")
 
     def dependencies(self, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Brandes' dependencies of these sources, summed: by node, and by arc in the order given."""
+        """Brandes' dependencies of these sources, summed: by node, and by arc."""
         if not len(self.u):
             return np.zeros(self.n), np.zeros(0)
         dist, k = self.distances(sources), len(sources)
@@ -139,8 +137,7 @@ class Paths:
         count = self._settled(lambda c: root + np.bincount(head, c[tail], len(root)), root)
         share = count[tail] / count[head]
         owed = self._settled(lambda x: np.bincount(tail, share * (1 + x[head]), len(root)), np.zeros(len(root)))
-        arc = np.zeros(len(self.u))
-        arc[self.order] = np.bincount(arcs, share * (1 + owed[head]), len(self.u))
+        arc = np.bincount(arcs, share * (1 + owed[head]), len(self.u))
         owed[sources * k + np.arange(k)] = 0
         return owed.reshape(self.n, k).sum(1), arc
 
@@ -149,37 +146,69 @@ def _pairs(arcs: DataFrame, weight: str) -> DataFrame:
     return _kept(arcs.groupBy("u", "v").agg(F.min(weight).alias("w")).where("u <> v"))
 
 
-def _indexed(pairs: DataFrame) -> tuple[pa.Table, Paths, pa.Table]:
-    """Its nodes, the graph in arrays, and its arcs' ends, for a graph of at most ``BROADCAST_ARCS`` arcs."""
-    table = pairs.select("u", "v", F.col("w").cast("double").alias("w")).toArrow()
-    # a fixed order of arcs, and nodes numbered in the order of their ids
-    table = table.sort_by([("u", "ascending"), ("v", "ascending")]).combine_chunks()
-    ids = pc.unique(pa.chunked_array([*table["u"].chunks, *table["v"].chunks], table["u"].type))
-    ids = ids.take(pc.sort_indices(ids))
-    place = lambda c: np.asarray(pc.index_in(table[c], ids)).astype(np.int64)
-    graph = Paths(len(ids), place("u"), place("v"), table["w"].to_numpy())
-    return pa.table({"at": pa.array(np.arange(len(ids))), "node": ids}), graph, table.select(["u", "v"]).append_column("at", pa.array(np.arange(len(table))))
+def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(at, node)`` with the nodes numbered from 0, and ``(u, v, a, b, w)``, the arcs with the numbers of their ends.
 
-
-def _by_blocks(spark, graph: Paths, sources: DataFrame, run, schema: str) -> DataFrame:
-    """``run(graph, sources)`` over blocks of sources of bounded memory, spread over the tasks."""
-    shared = spark.sparkContext.broadcast(graph)
-    most = max(1, min(SOURCES_AT_ONCE, BLOCK_CELLS // max(1, graph.n)))
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = pdf["id"].to_numpy()
-            for k in range(0, len(ids), most):
-                yield run(shared.value, ids[k : k + most])
-
-    tasks = max(1, min(-(-graph.n // most), spark.sparkContext.defaultParallelism * 4))
-    return sources.repartition(tasks).mapInPandas(blocks, schema)
-
-
-def _scores(graph: Paths, sources: np.ndarray) -> pd.DataFrame:
-    node, arc = graph.dependencies(sources)
-    at, on = np.flatnonzero(node), np.flatnonzero(arc)
-    return pd.DataFrame({"is_arc": np.r_[np.zeros(len(at), bool), np.ones(len(on), bool)], "at": np.r_[at, on], "score": np.r_[node[at], arc[on]]})
+    Nodes are numbered in buckets of their hashes, behind the nodes of the buckets before; weights that are not
+    positive raise.
+    """
+    nodes = _kept(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(NUMBER_BUCKETS)).cast("int")))
+    # the window without partitions runs over at most NUMBER_BUCKETS rows
+    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = nodes.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+    names = _kept(nodes.join(F.broadcast(offsets), "bucket").select((F.col("before") + place - 1).cast("int").alias("at"), "node"))
+    weight = F.when(F.col("w") > 0, F.col("w").cast("double")).otherwise(F.raise_error(F.lit("weights must be positive")).cast("double"))
+    ends = pairs.join(names.toDF("a", "u"), "u").join(names.toDF("b", "v"), "v").select("u", "v", "a", "b", weight.alias("w"))
+    return names, _kept(ends)
+
+
+def _by_sources(ends: DataFrame, n: int, sources: DataFrame, run, schema: str) -> DataFrame:
+    """``run(graph, blocks)`` in tasks, each with the graph in arrays and its share of the ``sources`` (``at``) in blocks of bounded memory.
+
+    The arcs are packed into rows of arrays once; a shuffle hands every task all of these rows and its sources, so
+    the driver holds none of them. ``run`` yields Arrow batches.
+    """
+    most = max(1, min(SOURCES_AT_ONCE, BLOCK_CELLS // max(1, n)))
+    tasks = max(1, min(sources.count(), ends.sparkSession.sparkContext.defaultParallelism * 4))
+    row = F.pmod(F.xxhash64("a", "b"), F.lit(max(1, ends.count() // ROW_ARCS))).alias("row")
+    packed = ends.groupBy(row).agg(F.collect_list(F.struct("a", "b", "w")).alias("arcs"))
+    packed = _kept(packed.select(*[F.col(f"arcs.{c}").alias(c) for c in ("a", "b", "w")]))
+    everywhere = packed.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(None).cast("int").alias("at"), "a", "b", "w")
+    shares = sources.repartition(tasks).select(F.spark_partition_id().alias("task"), "at")
+    # a task's arcs stand before its sources
+    dealt = everywhere.unionByName(shares, allowMissingColumns=True).repartitionById(tasks, F.col("task")).sortWithinPartitions(F.col("at").asc_nulls_first())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays, graph = {"a": [], "b": [], "w": []}, []
+
+        def blocks() -> Iterator[np.ndarray]:
+            for batch in batches:
+                for column, parts in arrays.items():
+                    parts.append(batch.column(column).flatten().to_numpy())
+                ids = batch.column("at").drop_null().to_numpy()
+                if len(ids) and not graph:
+                    graph.append(Paths(n, *[np.concatenate(parts) for parts in arrays.values()]))
+                    arrays.clear()
+                for k in range(0, len(ids), most):
+                    yield ids[k : k + most]
+
+        yield from run(graph, blocks())
+
+    return dealt.drop("task").mapInArrow(work, schema)
+
+
+def _scores(graph: list[Paths], blocks: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A task's dependencies by node (``b`` is -1) and by arc, summed over its sources."""
+    node = arc = 0.0
+    for ids in blocks:
+        more = graph[0].dependencies(ids)
+        node, arc = node + more[0], arc + more[1]
+    if graph:
+        at, on = np.flatnonzero(node), np.flatnonzero(arc)
+        for a, b, score in ((at, np.full(len(at), -1), node[at]), (graph[0].u[on], graph[0].v[on], arc[on])):
+            whole = pa.record_batch({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "score": pa.array(score)})
+            yield from (whole.slice(k, ROW_ARCS) for k in range(0, len(a), ROW_ARCS))
 
 
 def betweenness(arcs: DataFrame, weight: str, sources: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -187,24 +216,23 @@ def betweenness(arcs: DataFrame, weight: str, sources: int | None = None, seed:
 
     Brandes: the sources are spread over the tasks, each task adds up its own dependencies, and one
     aggregate sums them. Normalised by (n - 1)(n - 2) and n(n - 1); a sample is scaled by n / sources.
-    A graph of over ``BROADCAST_ARCS`` arcs is not sent to the tasks; joins then do the same work.
+    Tasks do not hold a graph of over ``TASK_ARCS`` arcs; joins then do the same work.
     """
-    spark, pairs = arcs.sparkSession, _pairs(arcs, weight)
-    order = [F.xxhash64(F.lit(seed), "id"), "id"]
-    if pairs.count() > BROADCAST_ARCS:
-        names = _kept(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+    pairs = _pairs(arcs, weight)
+    order = lambda c: [F.xxhash64(F.lit(seed), c), c]
+    if pairs.count() > TASK_ARCS:
+        names = _kept(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
         n = names.count()
-        picked = names.orderBy(*order).limit(sources) if sources else names
-        node, arc = dependencies_by_joins(pairs, picked.select(F.col("id").alias("s")))
-        node, arc = names.select(F.col("id").alias("node")).join(node, "node", "left"), pairs.select("u", "v").join(arc, ["u", "v"], "left")
+        picked = names.orderBy(*order("node")).limit(sources) if sources else names
+        node, arc = dependencies_by_joins(pairs, picked.select(F.col("node").alias("s")))
+        node, arc = names.join(node, "node", "left"), pairs.select("u", "v").join(arc, ["u", "v"], "left")
     else:
-        names, graph, ends = _indexed(pairs)
-        n = graph.n
-        every = spark.range(n)
-        picked = every.orderBy(*order).limit(sources) if sources else every
-        sums = _by_blocks(spark, graph, picked, _scores, "is_arc boolean, at long, score double").groupBy("is_arc", "at").agg(F.sum("score").alias("score"))
-        node = spark.createDataFrame(names).join(sums.where("not is_arc"), "at", "left") if n else spark.createDataFrame([], f"node {dict(arcs.dtypes)['u']}, score double")
-        arc = spark.createDataFrame(ends).join(sums.where("is_arc"), "at", "left") if n else spark.createDataFrame([], f"u {dict(arcs.dtypes)['u']}, v {dict(arcs.dtypes)['v']}, score double")
+        names, ends = _numbered(pairs)
+        n = names.count()
+        picked = names.orderBy(*order("node")).limit(sources) if sources else names
+        sums = _kept(_by_sources(ends, n, picked.select("at"), _scores, "a int, b int, score double").groupBy("a", "b").agg(F.sum("score").alias("score")))
+        node = names.join(sums.where("b = -1").select(F.col("a").alias("at"), "score"), "at", "left")
+        arc = ends.select("u", "v", "a", "b").join(sums, ["a", "b"], "left")
     scale = n / sources if sources and sources < n else 1.0
     scored = lambda most: (F.coalesce("score", F.lit(0.0)) * scale / max(1, most)).alias("bc")
     return node.select("node", scored((n - 1) * (n - 2))), arc.select("u", "v", scored(n * (n - 1)))
@@ -258,26 +286,24 @@ def to_segments(bc: DataFrame, tramos: DataFrame, weight: str = "length") -> Dat
 
 def closeness(arcs: DataFrame, weight: str) -> DataFrame:
     """Incoming closeness ``(N - 1) / sum of distances towards the node`` within the largest strong component."""
-    spark = arcs.sparkSession
     strong = strong_components(arcs)
     giant = strong.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "component").limit(1)
     inside = strong.join(F.broadcast(giant.select("component")), "component").select("node")
     kept = arcs.join(inside.select(F.col("node").alias("u")), "u", "left_semi").join(inside.select(F.col("node").alias("v")), "v", "left_semi")
     # distances towards a node are those from it against the arcs
     pairs = _pairs(kept.select(F.col("v").alias("u"), F.col("u").alias("v"), weight), weight)
-    if pairs.count() > BROADCAST_ARCS:
+    if pairs.count() > TASK_ARCS:
         far = distances_by_joins(pairs, inside.select(F.col("node").alias("s")))
         return far.groupBy(F.col("s").alias("node")).agg(F.when(F.sum("d") > 0, (F.count("*") - 1) / F.sum("d")).alias("closeness"))
-    names, graph, _ = _indexed(pairs)
-    if not graph.n:
-        return spark.createDataFrame([], f"node {dict(arcs.dtypes)['u']}, closeness double")
+    names, ends = _numbered(pairs)
+    n = names.count()
 
-    def sums(graph: Paths, sources: np.ndarray) -> pd.DataFrame:
-        total = graph.distances(sources).sum(0)
-        return pd.DataFrame({"at": sources, "closeness": np.where(total > 0, (graph.n - 1) / np.where(total > 0, total, 1), np.nan)})
+    def sums(graph: list[Paths], blocks: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for ids in blocks:
+            yield pa.record_batch({"at": pa.array(ids, pa.int32()), "total": pa.array(graph[0].distances(ids).sum(0))})
 
-    found = _by_blocks(spark, graph, spark.range(graph.n), sums, "at long, closeness double")
-    return spark.createDataFrame(names).join(found, "at").select("node", F.nanvl("closeness", F.lit(None).cast("double")).alias("closeness"))
+    found = _by_sources(ends, n, names.select("at"), sums, "at int, total double")
+    return names.join(found, "at").select("node", F.when(F.col("total") > 0, (n - 1) / F.col("total")).alias("closeness"))
 
 
 def _kept(df: DataFrame) -> DataFrame:

@@ -185,9 +185,9 @@ def test_betweenness_against_all_paths(spark, seed, monkeypatch):
     full = graph.betweenness(df, "length", len(nodes))[0]
     want = {r.node: pytest.approx(r.bc) for r in got.collect()}
     assert {r.node: r.bc for r in full.collect()} == want
-    if seed == 1:  # the same without sending the graph to the tasks
+    if seed == 1:  # the same without arrays of the graph in the tasks
         near = {r.node: pytest.approx(r.closeness) for r in graph.closeness(df, "length").collect()}
-        monkeypatch.setattr(graph, "BROADCAST_ARCS", 0)
+        monkeypatch.setattr(graph, "TASK_ARCS", 0)
         got, on = graph.betweenness(df, "length")
         assert {r.node: r.bc for r in got.collect()} == want and {(r.u, r.v): pytest.approx(r.bc) for r in on.collect()} == edges
         assert {r.node: r.closeness for r in graph.closeness(df, "length").collect()} == near
