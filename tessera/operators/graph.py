@@ -170,7 +170,7 @@ def _by_sources(ends: DataFrame, n: int, sources: DataFrame, run, schema: str) -
     the driver holds none of them. ``run`` yields Arrow batches.
     """
     most = max(1, min(SOURCES_AT_ONCE, BLOCK_CELLS // max(1, n)))
-    tasks = max(1, min(sources.count(), ends.sparkSession.sparkContext.defaultParallelism * 4))
+    tasks = max(1, min(sources.count(), ends.sparkSession.sparkContext.defaultParallelism * 2))
     row = F.pmod(F.xxhash64("a", "b"), F.lit(max(1, ends.count() // ROW_ARCS))).alias("row")
     packed = ends.groupBy(row).agg(F.collect_list(F.struct("a", "b", "w")).alias("arcs"))
     packed = _kept(packed.select(*[F.col(f"arcs.{c}").alias(c) for c in ("a", "b", "w")]))
