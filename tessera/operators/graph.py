@@ -332,12 +332,94 @@ def weak_components(arcs: DataFrame) -> DataFrame:
 def strong_components(arcs: DataFrame) -> DataFrame:
     """``(node, component)``: nodes that reach each other; the component is its smallest node.
 
-    Forward colouring and backward sweep: every node takes the smallest node that reaches it, and the
-    part of a colour that reaches back to its root is a component. It leaves, and the rest goes on.
+    The graph first shrinks in rounds that do not depend on its diameter: places joined by two-way arcs become one
+    (in streets, most), a node that only one other leads to joins that one (``_hung``), and nodes that nothing
+    leads to leave. Every round turns the arcs round, so that the same holds for what follows. The core that no longer
+    shrinks by a quarter in two rounds is coloured (``_coloured``), and its components go back over the rounds.
     """
-    done = None
-    left = _kept(arcs.where("u <> v").select("u", "v").distinct())
     nodes = _kept(arcs.select(F.col("u").alias("node")).union(arcs.select("v")).distinct())
+    left = _kept(arcs.where("u <> v").select("u", "v").distinct())
+    undo, sizes = [], [left.count()]
+    while sizes[-1] and (len(sizes) < 3 or sizes[-1] < 0.75 * sizes[-3]):
+        twice = _kept(left.join(left.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_semi").where("u < v"))
+        if not twice.isEmpty():
+            roots = weak_components(twice).withColumnRenamed("component", "root")
+            undo.append(lambda found, roots=roots: _with_roots(found, roots))
+            left = _kept(_moved(_moved(left, roots, "u"), roots, "v").where("u <> v").distinct())
+        left, back = _hung(left)
+        if back:
+            undo.append(back)
+        # nodes that nothing leads to are components of their own
+        left = _kept(left.join(left.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sizes.append(left.count())
+    # (node, root) of all nodes that are not their own root
+    found = _coloured(left).withColumnRenamed("component", "root").where("node <> root") if sizes[-1] else nodes.select("node", F.col("node").alias("root")).where("false")
+    for back in reversed(undo):
+        found = _kept(back(found))
+    every = _kept(nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    least = every.groupBy("root").agg(F.min("node").alias("component"))
+    return every.join(least, "root").select("node", "component")
+
+
+def _moved(arcs: DataFrame, roots: DataFrame, end: str) -> DataFrame:
+    """``arcs`` with one end replaced by its root, if it has one."""
+    moved = arcs.join(roots.select(F.col("node").alias(end), "root"), end, "left")
+    return moved.withColumn(end, F.coalesce("root", end)).select("u", "v")
+
+
+def _with_roots(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """``found`` and the nodes of ``roots``, which share what their root has found."""
+    through = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # a root is among the nodes of both, with the same result
+    return through.unionByName(found).distinct().where("node <> root")
+
+
+def _hung(left: DataFrame):
+    """The arcs after each node that only one node leads to has joined that one, and what undoes it (None if none has).
+
+    Such nodes hang in trees, whose roots pointer jumping finds; a ring of them has its smallest node as its root.
+    All other arcs then lead to roots. A node is strongly connected with its root if it, or a node that hangs below
+    it, has an arc to a root of the same component; else it is a component of its own.
+    """
+    hanging = _kept(left.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("up")).where("n = 1").select(F.col("v").alias("node"), "up"))
+    n = hanging.count()
+    if not n:
+        return left, None
+    # ``low``: the smallest of the nodes passed; ``open``: the way up has not come to an end
+    jumps = [_kept(hanging.join(hanging.select(F.col("node").alias("up"), F.lit(True).alias("open")), "up", "left").select("node", "up", F.least("node", "up").alias("low"), F.coalesce("open", F.lit(False)).alias("open")))]
+    while 2 ** (len(jumps) - 1) < n and not jumps[-1].where("open").isEmpty():
+        last = jumps[-1]
+        far = last.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("low").alias("below"), F.col("open").alias("on"))
+        step = last.join(far, "up", "left").select("node", F.coalesce("far", "up").alias("up"), F.least("low", F.coalesce("below", "low")).alias("low"), (F.col("open") & F.coalesce("on", F.lit(False))).alias("open"))
+        jumps.append(_kept(step))
+    last = jumps[-1]
+    # who is still under way has passed a whole ring, and stands on it
+    ring = last.select(F.col("node").alias("up"), F.col("low").alias("least"))
+    roots = _kept(last.join(ring, "up", "left").select("node", F.when(F.col("open"), F.col("least")).otherwise(F.col("up")).alias("root")))
+    hung = roots.where("node <> root")
+    exits = _kept(left.join(hung.select(F.col("node").alias("v")), "v", "left_anti").select("u", "v"))
+
+    def back(found: DataFrame) -> DataFrame:
+        top = found.select(F.col("node").alias("r"), F.col("root").alias("top"))
+        named = lambda df, c, name: df.join(top.withColumnRenamed("r", c), c, "left").withColumn(name, F.coalesce("top", c)).drop("top")
+        own = exits.join(hung.select(F.col("node").alias("u"), "root"), "u")
+        marked = _kept(named(named(own, "root", "a"), "v", "b").where("a = b").select(F.col("u").alias("node")).distinct())
+        for jump in jumps:
+            marked = _kept(marked.unionByName(jump.join(marked, "node").select(F.col("up").alias("node"))).distinct())
+        joined = named(hung.join(marked, "node", "left_semi"), "root", "a").select("node", F.col("a").alias("root"))
+        return joined.unionByName(found)
+
+    return _kept(_moved(exits, hung, "u").where("u <> v").distinct()), back
+
+
+def _coloured(left: DataFrame) -> DataFrame:
+    """``(node, component)`` by forward colouring and backward sweep.
+
+    Every node takes the smallest node that reaches it, and the part of a colour that reaches back to its root is a
+    component. It leaves, and the rest goes on.
+    """
+    done = None
+    nodes = _kept(left.select(F.col("u").alias("node")).union(left.select("v")).distinct())
     while True:
         colour = _spread(nodes.select("node", F.col("node").alias("c")), left)
         same = _kept(left.join(colour.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(colour.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv").select("u", "v"))
