@@ -334,13 +334,15 @@ def strong_components(arcs: DataFrame) -> DataFrame:
 
     The graph first shrinks in rounds that do not depend on its diameter: places joined by two-way arcs become one
     (in streets, most), a node that only one other leads to joins that one (``_hung``), and nodes that nothing
-    leads to leave. Every round turns the arcs round, so that the same holds for what follows. The core that no longer
+    leads to, or that lead nowhere, leave. Every round turns the arcs round, so that the same holds for what follows. The core that no longer
     shrinks by a quarter in two rounds is coloured (``_coloured``), and its components go back over the rounds.
     """
     nodes = _kept(arcs.select(F.col("u").alias("node")).union(arcs.select("v")).distinct())
     left = _kept(arcs.where("u <> v").select("u", "v").distinct())
     undo, sizes = [], [left.count()]
     while sizes[-1] and (len(sizes) < 3 or sizes[-1] < 0.75 * sizes[-3]):
+        # nodes that nothing leads to, or that lead nowhere, are components of their own
+        left = _kept(left.join(left.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(left.select(F.col("u").alias("v")).distinct(), "v", "left_semi"))
         twice = _kept(left.join(left.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_semi").where("u < v"))
         if not twice.isEmpty():
             roots = weak_components(twice).withColumnRenamed("component", "root")
@@ -349,8 +351,7 @@ def strong_components(arcs: DataFrame) -> DataFrame:
         left, back = _hung(left)
         if back:
             undo.append(back)
-        # nodes that nothing leads to are components of their own
-        left = _kept(left.join(left.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select(F.col("v").alias("u"), F.col("u").alias("v")))
+        left = left.select(F.col("v").alias("u"), F.col("u").alias("v"))
         sizes.append(left.count())
     # (node, root) of all nodes that are not their own root
     found = _coloured(left).withColumnRenamed("component", "root").where("node <> root") if sizes[-1] else nodes.select("node", F.col("node").alias("root")).where("false")
