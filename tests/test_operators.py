@@ -384,3 +384,21 @@ def test_small_functions_by_hand(spark):
     square = lambda s: [(0.0, 0.0), (s, 0.0), (s, s), (0.0, s)]
     cells = spark.createDataFrame([(1, [square(1.0), square(3.1234567)]), (2, [])], "id long, pieces array<array<struct<x:double,y:double>>>")
     assert [tuple(r) for r in space.coordinate_lists(cells).collect()] == [(1, [0.0, 3.123457, 3.123457, 0.0], [0.0, 0.0, 3.123457, 3.123457])]
+
+
+@pytest.mark.parametrize("most", [None, 3, 0])
+def test_betweenness_with_nodes_that_lead_nowhere(spark, most, monkeypatch):
+    """Arcs to dead ends, ties among them, a source beside the inner graph; in the tasks, half in them, and by joins."""
+    random.seed(4)
+    arcs = [(random.choice("abcd"), random.choice("abcdwxyz"), random.randint(1, 2)) for _ in range(26)] + [("s", "x", 1), ("s", "y", 2)]
+    df = spark.createDataFrame([(u, v, 0, w) for u, v, w in arcs], "u string, v string, key int, length long")
+    nodes, edges = brute_betweenness(arcs)
+    inner = {(u, v) for u, v in edges if v in {e[0] for e in edges}}
+    if most is not None:
+        monkeypatch.setattr(graph, "TASK_ARCS", len(inner) if most else 0)
+    dealt, kept = [], graph._by_sources
+    monkeypatch.setattr(graph, "_by_sources", lambda ends, sources, *a: dealt.append((ends.count(), sources.count())) or kept(ends, sources, *a))
+    got, on = graph.betweenness(df, "length")
+    assert {r.node: pytest.approx(r.bc) for r in got.collect()} == nodes
+    assert {(r.u, r.v): pytest.approx(r.bc) for r in on.collect()} == edges
+    assert dealt == {None: [(len(edges), 5)], 3: [(len(inner), 4)] * 2, 0: []}[most]
