@@ -402,3 +402,18 @@ def test_betweenness_with_nodes_that_lead_nowhere(spark, most, monkeypatch):
     assert {r.node: pytest.approx(r.bc) for r in got.collect()} == nodes
     assert {(r.u, r.v): pytest.approx(r.bc) for r in on.collect()} == edges
     assert dealt == {None: [(len(edges), 5)], 3: [(len(inner), 4)] * 2, 0: []}[most]
+
+
+def test_closeness_reads_its_arcs_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [("a", "b", 0, 1), ("b", "c", 0, 2), ("c", "a", 0, 4), ("c", "d", 0, 1), ("d", "d", 0, 1)]
+    df = spark.createDataFrame(rows, "u string, v string, key int, length long")
+    got = {r.node: r.closeness for r in graph.closeness(df.mapInArrow(counted, df.schema), "length").collect()}
+    assert got == {"a": pytest.approx(2 / (4 + 6)), "b": pytest.approx(2 / (1 + 5)), "c": pytest.approx(2 / (2 + 3))}
+    assert read.value == len(rows)
