@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators import space
+from tessera.operators import cuts, space
 from tessera.sources.shared import stored
 
 RING = "array<struct<x:double,y:double>>"
+_RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 ARROW_RING = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 #: Numbers held by a sweep at a time, pieces of a cell that are swept together, and quarterings of a cell at most.
 BLOCK, CELL_PIECES, DEPTH = 1 << 21, 512, 12
@@ -130,11 +131,6 @@ def union_of(convex: list[np.ndarray]) -> list[np.ndarray]:
     return swept(edges_of([r if signed_area(r) >= 0 else r[::-1] for r in convex if len(r) > 2]), True)  # all counter-clockwise
 
 
-def _rings(column: pa.Array) -> list[list[np.ndarray]]:
-    """Shapes (lists of rings) of an Arrow column; NULL is no ring."""
-    return [[np.array([(p["x"], p["y"]) for p in ring or ()], float).reshape(-1, 2) for ring in shape or ()] for shape in column.to_pylist()]
-
-
 def _flat(column: pa.ChunkedArray) -> list[np.ndarray]:
     """The rings of an Arrow column of rings."""
     out = []
@@ -152,13 +148,15 @@ def _points(ring: np.ndarray) -> list[dict]:
 
 def is_convex(ring: Column) -> Column:
     """Does a ring turn one way only, once around?"""
-    after, next_ = space._turned(ring), space._turned(space._turned(ring))
-    way = F.zip_with(ring, after, lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
-    ahead = F.zip_with(after, next_, lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
-    turns = F.zip_with(way, ahead, lambda a, b: F.atan2(a["x"] * b["y"] - a["y"] * b["x"], a["x"] * b["x"] + a["y"] * b["y"]))
-    total = F.aggregate(turns, F.lit(0.0), lambda s, t: s + t)
-    one_way = F.forall(turns, lambda t: t >= -1e-12) | F.forall(turns, lambda t: t <= 1e-12)
-    return (F.size(ring) > 2) & one_way & (F.abs(total) < 6.5)
+    ways = lambda r, after: F.zip_with(r, after, lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
+    angle = lambda a, b: F.atan2(a["x"] * b["y"] - a["y"] * b["x"], a["x"] * b["x"] + a["y"] * b["y"])
+    turns = space._let(ring, lambda r: space._let(ways(r, space._turned(r)), lambda way: F.zip_with(way, space._turned(way), angle)))
+
+    def once(t: Column) -> Column:
+        one_way = F.forall(t, lambda z: z >= -1e-12) | F.forall(t, lambda z: z <= 1e-12)
+        return (F.size(t) > 2) & one_way & (F.abs(F.aggregate(t, F.lit(0.0), lambda s, z: s + z)) < 6.5)
+
+    return space._let(turns, once)
 
 
 def decomposed(df: DataFrame, shape: str = "shape", out: str = "pieces") -> DataFrame:
@@ -170,20 +168,21 @@ def decomposed(df: DataFrame, shape: str = "shape", out: str = "pieces") -> Data
     rings = F.array(F.col(shape)) if one else F.col(shape)
     kind = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
     marked = df.withColumn(out, rings.cast(kind))
-    plain = (F.size(out) == 1) & is_convex(F.element_at(out, 1))
+    plain = F.when(F.size(out) == 1, is_convex(F.element_at(out, 1)))
     at = marked.columns.index(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                pieces = [[_points(t) for t in swept(edges_of(shape), False)] for shape in _rings(part.column(at))]
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
                 columns = part.columns
-                columns[at] = pa.array(pieces, pa.list_(ARROW_RING))
+                columns[at] = cuts.decomposed(part.column(at), lambda rings: swept(edges_of(rings), False))
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     simple = F.coalesce(plain, F.lit(False))
-    return marked.where(simple).unionByName(marked.where(~simple).mapInArrow(run, marked.schema))
+    # a small file of many shapes is one split, and their sweeps are the work
+    tasks = df.sparkSession.sparkContext.defaultParallelism * 2
+    return marked.where(simple).unionByName(marked.where(~simple).repartition(tasks).mapInArrow(run, marked.schema))
 
 
 def exploded(df: DataFrame, shape: str, number: str, area: str) -> DataFrame:
@@ -343,10 +342,19 @@ def mask(shapes: DataFrame, radius: float, size: float, shape: str = "shape") ->
 
 def ring_polygons(places: DataFrame, edges: tuple[float, ...]) -> DataFrame:
     """``(place, ring, pieces)``: the ground between two distances of each place (``place, px, py``), as convex pieces; the first ring may start at 0."""
-    out = None
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        outer = F.array(circle(F.col("px"), F.col("py"), F.lit(float(hi))))
-        pieces = outer if lo == 0 else space.difference(outer, circle(F.col("px"), F.col("py"), F.lit(float(lo))))
-        part = places.select("place", F.lit(f"r{lo:g}_{hi:g}").alias("ring"), pieces.alias("pieces"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    hulls = [circle(F.col("px"), F.col("py"), F.lit(float(r))).alias(f"c{k}__") if r else F.lit(None).cast(RING).alias(f"c{k}__") for k, r in enumerate(edges)]
+    names = [f"r{lo:g}_{hi:g}" for lo, hi in zip(edges, edges[1:], strict=False)]
+    schema = T.StructType([places.schema["place"], T.StructField("ring", T.StringType()), T.StructField("pieces", T.ArrayType(_RING))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                for j, name in enumerate(names):
+                    outer, inner = (cuts.padded(part.column(f"c{i}__")) for i in (j + 1, j))
+                    whole = (np.arange(part.num_rows), *outer)
+                    row, pieces, n = cuts.difference(*outer, *inner) if edges[j] else whole
+                    yield pa.RecordBatch.from_arrays([part.column("place"), pa.array([name] * part.num_rows), cuts.nested(row, cuts.ring_array(pieces, n), part.num_rows)], names=schema.names)
+
+    tasks = places.sparkSession.sparkContext.defaultParallelism * 2
+    return places.repartition(tasks).select("place", *hulls).mapInArrow(run, schema)

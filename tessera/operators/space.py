@@ -8,10 +8,15 @@ in the one bucket that holds the lower corner of the common box, so no pair is c
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import cuts
+
 #: WGS84 and the transverse Mercator zone 18 south (fixed values).
 A, FLAT, SCALE0, MERIDIAN, EAST, NORTH = 6378137.0, 1 / 298.257223563, 0.9996, -75.0, 500000.0, 10000000.0
 
@@ -146,17 +151,18 @@ def _bucketed(df: DataFrame, shape: str, size: float, mark: str) -> DataFrame:
     return df.withColumnsRenamed({f"{c}__": f"{c}{mark}" for c in ("x0", "y0", "x1", "y1")})
 
 
-def candidates(a: DataFrame, b: DataFrame, size: float, shape_a: str = "shape_a", shape_b: str = "shape_b") -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, size: float, shape_a: str = "shape_a", shape_b: str = "shape_b", dealt: bool = True) -> DataFrame:
     """Pairs (``id_a``, ``id_b``) whose bounding boxes meet, each once.
 
     Cutting shapes costs far more than moving them, so the pairs are dealt out by their ids: neither the
     pairs of a crowded bucket nor those of a broadcast join over few splits stay in one task. Pieces of one shape
-    (``k_a``) are dealt out by their numbers too.
+    (``k_a``) are dealt out by their numbers too. Cuts in arrays cost less than moving the pairs: they go without (``dealt``).
     """
     pairs = _bucketed(a, shape_a, size, "_a").join(_bucketed(b, shape_b, size, "_b"), ["bx", "by"])
     meet = (F.col("x0_a") <= F.col("x1_b")) & (F.col("x0_b") <= F.col("x1_a")) & (F.col("y0_a") <= F.col("y1_b")) & (F.col("y0_b") <= F.col("y1_a"))
     own = (F.floor(F.greatest("x0_a", "x0_b") / size) == F.col("bx")) & (F.floor(F.greatest("y0_a", "y0_b") / size) == F.col("by"))
-    return pairs.where(meet & own).drop("bx", "by", *[f"{c}_{m}" for m in "ab" for c in ("x0", "y0", "x1", "y1")]).repartition("id_a", "id_b", *(c for c in a.columns if c == "k_a"))
+    found = pairs.where(meet & own).drop("bx", "by", *[f"{c}_{m}" for m in "ab" for c in ("x0", "y0", "x1", "y1")])
+    return found.repartition("id_a", "id_b", *(c for c in a.columns if c == "k_a")) if dealt else found
 
 
 def _measured(pairs: DataFrame, name: str, value: Column) -> DataFrame:
@@ -356,8 +362,19 @@ def correspondence(a: DataFrame, b: DataFrame, size: float, least: float = 1.0)
     Shapes of both sides are rings or lists of rings of any form; each is counted by its convex pieces.
     """
     left, right = _exploded(a.select("id_a", "shape_a"), "shape_a", "k_a", "area_a"), _exploded(b.select("id_b", "shape_b"), "shape_b", "k_b", "area_b")
-    pairs = _measured(candidates(left, right, size), "area", clipped_area("shape_a", "shape_b")).where("area > 0")
-    sums = pairs.groupBy("id_a", "id_b").agg(F.sum("area").alias("area"), F.first("area_a").alias("of_a"), F.first("area_b").alias("of_b")).where(F.col("area") >= least)
+    met = candidates(left, right, size, dealt=False).select("id_a", "id_b", "shape_a", "shape_b", "area_a", "area_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                common = cuts.clipped(*cuts.padded(part.column("shape_a")), *cuts.padded(part.column("shape_b")))
+                area = np.abs(cuts.signed(*common)) / 2
+                columns = [*(part.column(c) for c in ("id_a", "id_b", "area_a", "area_b")), pa.array(area)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id_a", "id_b", "area_a", "area_b", "area"]).filter(pa.array(area > 0))
+
+    kept = met.drop("shape_a", "shape_b").withColumn("area", F.lit(0.0))
+    sums = met.mapInArrow(run, kept.schema).groupBy("id_a", "id_b").agg(F.sum("area").alias("area"), F.first("area_a").alias("of_a"), F.first("area_b").alias("of_b")).where(F.col("area") >= least)
     return sums.select("id_a", "id_b", "area", (F.col("area") / F.col("of_a")).alias("frac_a"), (F.col("area") / F.col("of_b")).alias("frac_b"))
 
 
