@@ -200,15 +200,21 @@ def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Nodes are numbered in buckets of their hashes, behind the nodes of the buckets before; weights that are not
     positive raise.
     """
-    nodes = _kept(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(NUMBER_BUCKETS)).cast("int")))
+    names = _names(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+    weight = F.when(F.col("w") > 0, F.col("w").cast("double")).otherwise(F.raise_error(F.lit("weights must be positive")).cast("double"))
+    ends = pairs.join(names.toDF("a", "u"), "u").join(names.toDF("b", "v"), "v").select("u", "v", "a", "b", weight.alias("w"))
+    return names, _kept(ends)
+
+
+def _names(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (``node`` and more) numbered from 0 (``at``)."""
+    more = [c for c in nodes.columns if c != "node"]
+    nodes = _kept(nodes.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(NUMBER_BUCKETS)).cast("int")))
     # the window without partitions runs over at most NUMBER_BUCKETS rows
     before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = nodes.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", before.alias("before"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-    names = _kept(nodes.join(F.broadcast(offsets), "bucket").select((F.col("before") + place - 1).cast("int").alias("at"), "node"))
-    weight = F.when(F.col("w") > 0, F.col("w").cast("double")).otherwise(F.raise_error(F.lit("weights must be positive")).cast("double"))
-    ends = pairs.join(names.toDF("a", "u"), "u").join(names.toDF("b", "v"), "v").select("u", "v", "a", "b", weight.alias("w"))
-    return names, _kept(ends)
+    return _kept(nodes.join(F.broadcast(offsets), "bucket").select((F.col("before") + place - 1).cast("int").alias("at"), "node", *more))
 
 
 def _by_sources(ends: DataFrame, sources: DataFrame, run, schema: str) -> DataFrame:
@@ -638,21 +644,65 @@ def clustering(arcs: DataFrame) -> DataFrame:
     """Mean clustering of the simple undirected graph; nodes of degree under 2 count 0.
 
     Every triangle is found once, from its node of least (degree, id): edges point from lower to higher, so
-    a hub's neighbours are not paired at the hub.
+    a hub's neighbours are not paired at the hub. An edge can close a triangle if its lower end is the higher one of another:
+    up to ``TASK_ARCS`` such edges travel to the tasks, which look up the pairs of neighbours of their nodes; beyond, joins do.
     """
-    edges = undirected(arcs)
+    edges = _kept(undirected(arcs))
     both = edges.union(edges.select("v", "u")).toDF("node", "other")
-    degree = both.groupBy("node").agg(F.count("*").alias("d"))
-    du, dv = degree.toDF("u", "du"), degree.toDF("v", "dv")
-    low = F.struct("du", "u") < F.struct("dv", "v")
-    directed = edges.join(du, "u").join(dv, "v").select(F.when(low, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("b"))
-    wedges = directed.toDF("a", "b").join(directed.toDF("a", "c"), "a").where("b <> c")
-    closed = wedges.join(directed.toDF("b", "c"), ["b", "c"])
-    tri = closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
-    each = degree.join(tri, "node", "left").select(F.when(F.col("d") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("c"))
+    degree = _names(both.groupBy("node").agg(F.count("*").alias("d")))
+    ends = edges.join(degree.toDF("a", "u", "da"), "u").join(degree.toDF("b", "v", "db"), "v")
+    low, a, b = F.struct("da", "u") < F.struct("db", "v"), F.col("a"), F.col("b")
+    directed = _kept(ends.select(F.when(low, a).otherwise(b).alias("a"), F.when(low, b).otherwise(a).alias("b")))
+    closing = _kept(directed.join(directed.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
+    if closing.count() > TASK_ARCS:
+        wedges = directed.toDF("a", "b").join(directed.toDF("a", "c"), "a").where("b < c")
+        closed = wedges.join(closing.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("c")), ["b", "c"])
+        tri = closed.select(F.explode(F.array("a", "b", "c")).alias("at")).groupBy("at").agg(F.count("*").alias("t"))
+    else:
+        near = _kept(directed.groupBy("a").agg(F.collect_list("b").alias("of")).where(F.size("of") > 1).select(F.col("a").alias("at"), F.col("of").alias("a")))
+        tri = _by_sources(closing.withColumn("w", F.lit(0.0)), near, _triangles, "at int, t long").groupBy("at").agg(F.sum("t").alias("t"))
+    each = degree.join(tri, "at", "left").select(F.when(F.col("d") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("c"))
     return each.agg(F.count("*").alias("nodes"), F.round(F.avg("c"), 6).alias("clustering"))
 
 
+def _triangles(arrays: list[np.ndarray], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(at, t)``: triangles of each node, from nodes with their neighbours (``a``) and the edges that close them."""
+    key = lambda b, c: np.minimum(b, c).astype(np.int64) << 32 | np.maximum(b, c)
+    edges = np.sort(key(arrays[0], arrays[1]))
+    bits = max(10, min(26, int(len(edges) * 8).bit_length()))
+    mixed = lambda k: ((k * 0x1E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF) >> (63 - bits)
+    seen = np.zeros(1 << bits, bool)
+    with np.errstate(over="ignore"):
+        seen[mixed(edges)] = True
+        found = np.zeros(0, np.int64)
+        for batch in rows:
+            at, of = batch.column("at").to_numpy(), batch.column("a")
+            size, values = of.value_lengths().to_numpy(zero_copy_only=False), of.flatten().to_numpy()
+            first = np.cumsum(size) - size
+            for k in np.unique(size):
+                own = np.flatnonzero(size == k)
+                step = max(1, BLOCK_CELLS // (int(k) * int(k)))
+                wide = max(1, BLOCK_CELLS // (2 * int(k) * min(step, len(own))))  # left neighbours of a pair at a time
+                for r in range(0, len(own), step):
+                    lists = values[first[own[r : r + step]][:, None] + np.arange(k)]
+                    for i in range(0, int(k) - 1, wide):
+                        p, q = np.nonzero(np.arange(i, min(i + wide, k))[:, None] < np.arange(k))
+                        b, c = lists[:, p + i], lists[:, q]
+                        pair = key(b, c)
+                        row, col = np.nonzero(seen[mixed(pair)])
+                        maybe = pair[row, col]
+                        hit = edges[np.minimum(np.searchsorted(edges, maybe), len(edges) - 1)] == maybe
+                        row, col = row[hit], col[hit]
+                        nodes = np.concatenate([at[own[r + row]], b[row, col], c[row, col]])
+                        if len(nodes):
+                            more = np.bincount(nodes, minlength=len(found))
+                            more[: len(found)] += found
+                            found = more
+    on = np.flatnonzero(found)
+    whole = pa.record_batch({"at": pa.array(on, pa.int32()), "t": pa.array(found[on])})
+    yield from (whole.slice(k, ROW_ARCS) for k in range(0, len(on), ROW_ARCS))
+
+
 def with_ends(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """``lines`` (u, v) with ``dx, dy`` from the coordinates of both ends, loops left out."""
     a = nodes.select(F.col("node_id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay"))

@@ -417,3 +417,39 @@ def test_closeness_reads_its_arcs_once(spark):
     got = {r.node: r.closeness for r in graph.closeness(df.mapInArrow(counted, df.schema), "length").collect()}
     assert got == {"a": pytest.approx(2 / (4 + 6)), "b": pytest.approx(2 / (1 + 5)), "c": pytest.approx(2 / (2 + 3))}
     assert read.value == len(rows)
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_clustering_looks_pairs_up_and_moves_none(spark, most, monkeypatch):
+    random.seed(3)
+    pairs = {(random.randint(0, 30), random.randint(0, 30)) for _ in range(160)} | {(0, k) for k in range(1, 31)}
+    if most is not None:
+        monkeypatch.setattr(graph, "TASK_ARCS", most)
+    dealt, kept = [], graph._by_sources
+    monkeypatch.setattr(graph, "_by_sources", lambda *a: dealt.append(1) or kept(*a))
+    got = graph.clustering(spark.createDataFrame([(str(u), str(v)) for u, v in pairs], "u string, v string"))
+    edges = {frozenset(p) for p in pairs if len(set(p)) == 2}
+    near = {k: {x for e in edges if k in e for x in e} - {k} for k in range(31)}
+    each = [2 * sum(frozenset(p) in edges for p in itertools.combinations(n, 2)) / (len(n) * (len(n) - 1)) if len(n) > 1 else 0 for n in near.values() if n]
+    assert one(got) == {"nodes": len(each), "clustering": pytest.approx(sum(each) / len(each), abs=1e-6)}
+    # the pairs of a node's neighbours are rows of a join only if the edges that close them do not fit
+    assert len(dealt) == (0 if most == 0 else 1)
+
+
+def test_triangles_in_slices(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(graph, "BLOCK_CELLS", 16)
+    rng = np.random.default_rng(2)
+    directed = [(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.4]
+    of = {a: [b for x, b in directed if x == a] for a in range(40)}
+    rows = pa.record_batch({"at": pa.array([a for a in of if of[a]], pa.int32()), "a": pa.array([b for b in of.values() if b], pa.list_(pa.int32()))})
+    ends = np.array(directed, np.int32)
+    got = {x["at"]: x["t"] for batch in graph._triangles([ends[:, 0], ends[:, 1], None], iter([rows])) for x in batch.to_pylist()}
+    want = {}
+    for a, b, c in itertools.combinations(range(40), 3):
+        if {(a, b), (a, c), (b, c)} <= set(directed):
+            for x in (a, b, c):
+                want[x] = want.get(x, 0) + 1
+    assert got == want
