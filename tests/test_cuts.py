@@ -64,3 +64,10 @@ def test_shapes_of_one_split_are_dealt_out(spark):
     places = spark.range(200).coalesce(1).select(F.col("id").alias("place"), F.col("id").cast("double").alias("px"), F.lit(0.0).alias("py"))
     rings = polygons.ring_polygons(places, (0, 50, 100)).select(F.spark_partition_id().alias("task"), F.size("pieces").alias("n"))
     assert rings.select("task").distinct().count() > 1 and sorted({r.n for r in rings.collect()}) == [1, 64]
+
+
+def test_pieces_of_a_cell_are_cut_and_turned_together():
+    rings = [box(-1.0, 0.0, 3.0, 2.0)[::-1], [(1.0, 1.0), (9.0, 1.0), (1.0, 6.0)], box(5.0, 5.0, 6.0, 6.0), [(0.0, 0.0), (1.0, 1.0)]]
+    edges = cuts.sides(*cuts.boxed(*cuts.padded(column([rings])[0].values), 0.0, 0.0, 4.0, 4.0))
+    assert sum(polygons.signed_area(r) for r in polygons.swept(edges, True)) == pytest.approx(6 + 9 - 2)
+    assert edges[:, :4].min() >= 0 and edges[:, :4].max() <= 4 and polygons.swept(cuts.sides(np.zeros((1, 4, 2)), np.array([0])), True) == []
